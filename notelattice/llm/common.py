@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from notelattice.functions.ship import ship
+
 #: The word separators of the contracts: space and U+0009 to U+000D.
 WS = r"\x20\x09-\x0D"
 #: Characters of text that a Python operator works on at once; bounds its memory, not the text.
@@ -44,6 +46,12 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow, once the executors can import this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], chars: int = BLOCK_CHARS) -> Iterator[tuple[list, list[str]]]:
     """(doc_ids, texts) blocks of at most about `chars` characters from batches whose first two
     columns are doc_id and text; a null text is empty. One longer text is a block of its own."""
@@ -96,8 +104,7 @@ _POW = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 def _powers(which: str, n: int) -> np.ndarray:
     have = _POW[which]
     if len(have) < n:
-        n = max(n, 2 * len(have), 1 << 16)
-        step = np.full(n, _BASE if which == "up" else _INV, np.uint64)
+        step = np.full(max(n, 2 * len(have), 1 << 16), _BASE if which == "up" else _INV, np.uint64)
         step[0] = 1
         have = _POW[which] = np.multiply.accumulate(step)
     return have[:n]
