@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import factorisation, hilbert, mixing, pii, piece_model, quality_rules, token_counts, toxicity, webp
+from . import factorisation, hilbert, jaccard_join, mixing, pii, piece_model, quality_rules, token_counts, toxicity, webp
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_model.encode_texts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -56,7 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = (
-        op1_quality_fm, op2_hilbert_shards, op3_webp_media, op4_pii_crf, op5_sentencepiece, op7_source_mix,
+        op1_quality_fm, op2_hilbert_shards, op3_webp_media, op4_pii_crf, op5_sentencepiece, op6_jaccard_join, op7_source_mix,
         op8_toxicity, op9_token_counts, op10_quality_rules,
     )
     return {f.__name__: f for f in own}
