@@ -155,7 +155,7 @@ class Codec:
         out, at = [], 0
         while self.cut and len(text) - at > PART:
             end = at + PART
-            while end < len(text) and not (text[end] == " " and text[end - 1] != " "):
+            while end < len(text) and not (text[end] == " " and text[end - 1] not in (" ", MARK)):
                 end += 1
             if end >= len(text) - 1:
                 break

@@ -785,7 +785,8 @@ def _repeats(buf: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
     place = np.arange(n, dtype=np.int32)
     table[slot[::-1]] = place[::-1]
     source = table[slot]
-    ok = (source < place) & (key[source] == key) & (doc[:n] == doc[MATCH - 1 :])
+    near = place - source <= (1 << 20) - 120  # the farthest that the format can name
+    ok = (source < place) & near & (key[source] == key) & (doc[:n] == doc[MATCH - 1 :])
     dist = np.where(ok, place - source, 0)
     edge = np.flatnonzero(np.diff(dist, prepend=0, append=0))
     out, free = [], 0
