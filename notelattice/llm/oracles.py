@@ -1,3 +1,53 @@
-"""DuckDB SQL of the llm queries that SQL can express."""
+"""DuckDB SQL of the llm queries that SQL can express. The others have brute-force tests."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from .hilbert import SHARDS, curve
+from .mixing import CAP, SHARE_PCT, WEIGHTS
+
+WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+
+def _crc_table() -> str:
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return "[" + ", ".join(f"{x}::BIGINT" for x in out) + "]"
+
+
+#: CRC-32 of UTF-8 text, byte by byte over its hex form.
+CRC32 = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen({t})), lambda i: ('0x' || substr(hex(encode({t})), 2 * i + 1, 2))::BIGINT)),"
+    " lambda acc, b: xor(tab[xor(acc & 255, b) + 1], acc >> 8)), 4294967295::BIGINT)"
+)
+
+
+def _nibble(column: str) -> str:
+    return f"(strpos('0123456789abcdef', substr(md5(coalesce({column}, '')), 1, 1)) - 1)"
+
+
+HILBERT = f"""WITH tab AS (SELECT {_crc_table()} AS tab, {curve()} AS curve),
+d AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 1 AS size, {_nibble('source')} AS a, {_nibble('lang')} AS b, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT AS tie FROM documents),
+k AS (SELECT doc_id, size, CAST({CRC32.format(t='t')} AS BIGINT) AS text_crc32, curve[a * 256 + b * 16 + greatest(0, least(15, length(bin(size)) - 4)) + 1] AS hilbert, tie FROM d, tab),
+r AS (SELECT *, row_number() OVER (ORDER BY hilbert, tie, doc_id, text_crc32, size) - 1 AS rank, count(*) OVER () AS total FROM k),
+s AS (SELECT *, CAST(rank * {SHARDS} // total AS INT) AS shard FROM r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, shard, CAST(rank - (shard * total + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, CAST(hilbert AS INT) AS hilbert FROM s"""
+
+MIX = f"""WITH d AS (SELECT doc_id, source, CAST({WORDS} AS BIGINT) AS size, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS marks,
+ (CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT AS DOUBLE) + 1) / 281474976710656.0::DOUBLE AS u FROM documents),
+k AS (SELECT doc_id, source, size, -ln(u) / greatest(0.25::DOUBLE, CAST(size AS DOUBLE) / (CAST(size + marks AS DOUBLE) + 1e-9::DOUBLE)) AS k FROM d),
+g AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM k GROUP BY source),
+w AS (SELECT *, CASE (rank - 1) % {len(WEIGHTS)} {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(WEIGHTS))} END AS weight FROM g),
+o AS (SELECT *, row_number() OVER (ORDER BY CAST(source_size AS DOUBLE) / weight, rank) AS place, sum(source_size) OVER () AS total FROM w),
+l AS (SELECT *, coalesce(sum(source_size) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fullsum, sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM o),
+m AS (SELECT *, CAST(2 * {SHARE_PCT} * total AS DOUBLE) / 100 - CAST(2 * {CAP} * fullsum AS DOUBLE) AS left2 FROM l),
+e AS (SELECT min(place) AS ends FROM m WHERE left2 * weight <= 2 * {CAP} * source_size * rest),
+v AS (SELECT left2 AS l2, rest AS r FROM m, e WHERE place = ends),
+t AS (SELECT source, source_size, CASE WHEN place < ends THEN CAST({CAP} * source_size AS DOUBLE) ELSE weight * l2 / CAST(2 * r AS DOUBLE) END AS target FROM m, e, v),
+p AS (SELECT k.doc_id, k.size, t.source_size, t.target, coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.k, k.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead,
+ CASE WHEN t.source_size = 0 THEN 0 ELSE CAST(floor(t.target / t.source_size) AS BIGINT) END AS epochs FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN target - epochs * source_size > 0 AND 2 * ahead + size <= 2 * (target - epochs * source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM p"""
+
+ORACLES: dict[str, str] = {"op2_hilbert_shards": HILBERT, "op7_source_mix": MIX}
