@@ -3,8 +3,8 @@
 DataFrame and SQL functions only. One pass over all documents counts hashed word n-grams in a
 fixed number of buckets, for the raw corpus and for the trusted texts among them; the bucket table
 (fixed size) becomes the model. A second pass scores each document by the mean log ratio of its
-n-grams and compares that with a fixed threshold; a few base rules come first. n is 1 or 2; with
-n = 1, the default, junk and clean texts stood further apart on labelled rows than with n = 2.
+n-grams and compares that with a fixed threshold; a few base rules come first. n-grams are single
+words and, with order 2, pairs too.
 
 Defined results: a null or empty text has no word and fails the base rules; a table without trusted
 texts has all ratios 0, so only the base rules decide; repeated rows are judged one by one, equal
@@ -21,16 +21,16 @@ from pyspark.sql import functions as F
 
 from .common import WS
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
 #: Order of the n-grams, and the mean log ratio from which a document is kept.
-NGRAM, THRESHOLD = 1, -0.075
+NGRAM, THRESHOLD = 2, -0.07
 #: Add-alpha smoothing, in pseudo counts for each bucket.
 ALPHA = 1.0
 #: Trusted texts are fitted on at most so many labelled rows, those of least hash.
 TRUSTED_ROWS = 20_000
 #: Base rules: words at least, and percent of words in repeated windows at most.
 MIN_WORDS, MAX_REPEAT_PCT, WINDOW = 10, 20, 5
-GRAMS = {1: "s.h.ones", 2: "s.h.twos"}
+GRAMS = {1: "s.h.ones", 2: "concat(s.h.ones, s.h.twos)"}
 
 
 def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
@@ -58,7 +58,7 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, n: int = NG
     row for each bucket, whatever the corpus."""
     # a hint, not a guess: trusted_ids() bounds this side
     marked = docs.join(F.broadcast(trusted), docs["doc_id"] == trusted["trusted_id"], "left")
-    grams = with_grams(marked, F.col("trusted_id").isNotNull().alias("good")).select("good", F.explode(GRAMS[n]).alias("gram"))
+    grams = with_grams(marked, F.col("trusted_id").isNotNull().alias("good")).select("good", F.explode(F.expr(GRAMS[n])).alias("gram"))
     rows = grams.groupBy(F.expr(f"pmod(gram, {buckets})").alias("bucket")).agg(F.count("*").alias("raw"), F.count_if("good").alias("target")).collect()
     raw, target = [0] * buckets, [0] * buckets
     for r in rows:
@@ -87,8 +87,9 @@ def repeated_words() -> str:
 
 def judge(docs: DataFrame, ratios: list[float], threshold: float, n: int, *keep: Column) -> DataFrame:
     """One row for each document: the base counts, base_failed, llr and kept, plus `keep`."""
-    # one literal, folded to an array once; not a literal call for each bucket
-    counted = with_grams(docs, *keep).withColumn("weights", F.from_json(F.lit(json.dumps(ratios)), "array<double>"))
+    # one literal, folded to an array once; not a literal call for each bucket. Six digits are kept,
+    # so that the plan stays small
+    counted = with_grams(docs, *keep).withColumn("weights", F.from_json(F.lit(json.dumps([round(r, 6) for r in ratios])), "array<double>"))
     lines = let("a", r"split(txt, '\\n', -1)", rf"if(size(a) = size(array_distinct(a)), 0, {let('f', rf'filter(a, l -> l rlike {chr(39)}[^{WS}]{chr(39)})', 'size(f) - size(array_distinct(f))')})".replace("\\", "\\\\"))
     scored = counted.select(
         "doc_id",
