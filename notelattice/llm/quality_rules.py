@@ -23,9 +23,11 @@ from .common import WS
 
 BUCKETS = 1 << 16
 #: Order of the n-grams, and the mean log ratio from which a document is kept.
-NGRAM, THRESHOLD = 2, -0.07
-#: Add-alpha smoothing, in pseudo counts for each bucket.
-ALPHA = 1.0
+NGRAM, THRESHOLD = 2, -0.08
+#: Pseudo counts for each bucket, added to what the target has and to what the raw corpus lets
+#: expect there: a bucket that few n-grams fall in says little, so that clean texts of rare words
+#: outside of the trusted sample are not taken for junk.
+ALPHA = 20.0
 #: Trusted texts are fitted on at most so many labelled rows, those of least hash.
 TRUSTED_ROWS = 20_000
 #: Base rules: words at least, and percent of words in repeated windows at most.
@@ -65,8 +67,8 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, n: int = NG
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     if not sum(target):
         return [0.0] * buckets
-    p, q = sum(target) + alpha * buckets, sum(raw) + alpha * buckets
-    return [math.log((t + alpha) / p) - math.log((c + alpha) / q) for t, c in zip(target, raw, strict=True)]
+    share = sum(target) / sum(raw)
+    return [math.log((t + alpha) / (c * share + alpha)) for t, c in zip(target, raw, strict=True)]
 
 
 def repeated_words() -> str:

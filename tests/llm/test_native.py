@@ -72,7 +72,8 @@ def test_ratios(spark, sf_dir):
             target[b % 64] += d["doc_id"] in good
     import math
 
-    want = [math.log((target[b] + 1) / (sum(target.values()) + 64)) - math.log((raw[b] + 1) / (sum(raw.values()) + 64)) for b in range(64)]
+    share, alpha = sum(target.values()) / sum(raw.values()), quality_rules.ALPHA
+    want = [math.log((target[b] + alpha) / (raw[b] * share + alpha)) for b in range(64)]
     assert quality_rules.fit(docs, quality_rules.trusted_ids(labels), 64, 1) == pytest.approx(want)
     assert quality_rules.fit(docs, quality_rules.trusted_ids(labels.limit(0)), 64) == [0.0] * 64
 
