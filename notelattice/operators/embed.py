@@ -1,8 +1,9 @@
-"""Embedders: the protocol, a deterministic hash embedder, a table embedder."""
+"""Embedders: the protocol, a deterministic hash embedder, a table embedder, a remote one."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notelattice.errors import DimensionMismatch, VaultError
 from notelattice.functions.ship import ship
 
 
@@ -68,3 +70,36 @@ def with_vectors(chunks: DataFrame, embedder: Embedder) -> DataFrame:
             yield pd.Series(list(got))
 
     return chunks.withColumn("vector", run("embed_text"))
+
+
+def backoff(attempt: int, first: float = 1.0, cap: float = 30.0) -> float:
+    """Seconds to wait after a failed attempt, counted from 0."""
+    return min(first * 2**attempt, cap)
+
+
+class HttpEmbedder:
+    """Vectors from a remote service, through `post(texts) -> (status, vectors)`. A call takes at most
+    `batch` texts; 429 and server errors are tried again, other failures are not."""
+
+    def __init__(self, post: Callable[[list[str]], tuple[int, list[list[float]]]], dim: int, batch: int = 96, attempts: int = 5, sleep: Callable[[float], None] = time.sleep):
+        self.post, self.dim, self.batch, self.attempts, self.sleep = post, dim, batch, attempts, sleep
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        out: list[list[float]] = []
+        for at in range(0, len(texts), self.batch):
+            out += self._call(texts[at : at + self.batch])
+        got = np.array(out, np.float32).reshape(len(out), -1)
+        if len(out) and got.shape[1] != self.dim:
+            raise DimensionMismatch(self.dim, got.shape[1])
+        return got
+
+    def _call(self, part: list[str]) -> list[list[float]]:
+        for attempt in range(self.attempts):
+            status, vectors = self.post(part)
+            if status == 200:
+                return vectors
+            if status != 429 and status < 500:
+                break
+            if attempt + 1 < self.attempts:
+                self.sleep(backoff(attempt))
+        raise VaultError(f"the embedder answered {status}")

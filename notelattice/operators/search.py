@@ -142,3 +142,14 @@ def evaluate(expected: DataFrame, hits: DataFrame, k: int = 5) -> DataFrame:
     met = expected.join(best.withColumnRenamed("path", "expected_path"), ["query_id", "expected_path"], "left")
     share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
     return met.agg(share(F.col("rank") <= 1).alias("recall_at_1"), share(F.col("rank") <= k).alias("recall_at_k"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
+
+
+def seed_queries(spark, path: str) -> DataFrame:
+    """query_id, query, expected_path, mode and note of a JSON array of golden queries. A row without
+    query or expected path, or with an unknown mode, is an error."""
+    schema = "query string, expectedPath string, mode string, note string"
+    rows = spark.read.schema(schema).json(path, multiLine=True)
+    bad = rows.where(F.col("query").isNull() | F.col("expectedPath").isNull() | ~F.coalesce("mode", F.lit("hybrid")).isin(*MODES))
+    if not bad.isEmpty():
+        raise InvalidInput("a seed query is incomplete or has an unknown mode")
+    return rows.select(F.xxhash64("query", "expectedPath").alias("query_id"), "query", F.col("expectedPath").alias("expected_path"), F.coalesce("mode", F.lit("hybrid")).alias("mode"), "note")

@@ -51,6 +51,27 @@ class Vault:
             raise NotFound(path)
         return row.asDict()
 
+    def read_note(self, path: str) -> dict:
+        """A note as fields and body; other text as it is, and what is no text as base64."""
+        import base64
+
+        row = self.read_file(path)
+        try:
+            text = bytes(row["raw"]).decode("utf-8")
+        except UnicodeDecodeError:
+            return {"path": row["path"], "encoding": "base64", "content": base64.b64encode(bytes(row["raw"])).decode()}
+        if row["content_type"] != "text/markdown":
+            return {"path": row["path"], "encoding": "utf-8", "content": text}
+        fields, body = chunking.split_frontmatter(text)
+        return {"path": row["path"], "encoding": "utf-8", "content": body, "frontmatter": fields}
+
+    def status(self) -> dict:
+        """Documents, chunks and state of the index."""
+        rows = self.table.read(self.embedder.dim)
+        if rows is None:
+            return {"slug": self.slug, "state": "starting", "documents": 0, "chunks": 0}
+        return {"slug": self.slug, "state": "ready", **store.document_count(rows).first().asDict()}
+
     def chunks(self) -> DataFrame:
         rows = self.table.read(self.embedder.dim)
         if rows is None:

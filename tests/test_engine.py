@@ -236,3 +236,54 @@ def test_debounce_stream_equals_batch(spark, tmp_path):
     want = {tuple(r) for r in events.debounced(df, 2000).collect()}
     got = {tuple(r) for r in spark.table("bursts").collect()}
     assert got <= want
+
+
+def test_config():
+    from notelattice.config import ConfigError, load, parse_vaults
+
+    assert [v.slug for v in parse_vaults('[{"name": " My Vault! "}, {"name": "x", "slug": "B c"}]')] == ["my-vault", "b-c"]
+    for bad in ("", "{}", "[]", "[1]", '[{"name": ""}]', '[{"name": "!"}]', '[{"name": "a"}, {"name": "A"}]'):
+        with pytest.raises(ConfigError):
+            parse_vaults(bad)
+    assert load({"VAULTS_JSON": '[{"name": "a"}]', "EMBEDDER_DIM": "8"}).dim == 8
+    with pytest.raises(ConfigError):
+        load({"VAULTS_JSON": '[{"name": "a"}]', "EMBEDDER": "other"})
+
+
+def test_embedders():
+    import numpy as np
+
+    h = embed.HashEmbedder(8).embed(["a", "b", "a"])
+    assert np.allclose(np.linalg.norm(h, axis=1), 1) and (h[0] == h[2]).all() and (h[0] != h[1]).any()
+    assert embed.TableEmbedder({"a": [1.0, 2.0]}, 2).embed(["a", "x"]).tolist() == [[1, 2], [0, 0]]
+    answers, waits = iter([(500, []), (429, []), (200, [[1.0], [2.0]]), (200, [[3.0]])]), []
+    e = embed.HttpEmbedder(lambda t: next(answers), 1, batch=2, sleep=waits.append)
+    assert e.embed(["a", "b", "c"]).tolist() == [[1], [2], [3]] and waits == [1, 2]
+    with pytest.raises(Exception, match="400"):
+        embed.HttpEmbedder(lambda t: (400, []), 1).embed(["a"])
+    assert embed.backoff(9) == 30
+
+
+def test_golden_queries(spark, vault, tmp_path):
+    """The verbatim query comes first, and the tables report it."""
+    (tmp_path / "q.json").write_text('[{"query": "alpha alpha", "expectedPath": "b/three.md"}, {"query": "gamma delta", "expectedPath": "a/two.md", "mode": "fts"}]')
+    vault.index()
+    seeds = search.seed_queries(spark, str(tmp_path / "q.json"))
+    hits = None
+    for q in seeds.collect():
+        part = vault.search(q["query"], mode=q["mode"], max_per_path=1).select(F.lit(q["query_id"]).alias("query_id"), "path", "position")
+        hits = part if hits is None else hits.unionByName(part)
+    row = search.evaluate(seeds, hits).first()
+    assert row["recall_at_k"] == 1.0 and row["mrr"] > 0.7
+    (tmp_path / "bad.json").write_text('[{"query": "x", "expectedPath": "y", "mode": "psychic"}]')
+    with pytest.raises(InvalidInput):
+        search.seed_queries(spark, str(tmp_path / "bad.json"))
+
+
+def test_reading(vault):
+    assert vault.read_note("a/one.md")["frontmatter"] == {"k": 1}
+    (vault._at("b/raw.bin")).write_bytes(b"\xff\x00")
+    assert vault.read_note("b/raw.bin") == {"path": "b/raw.bin", "encoding": "base64", "content": "/wA="}
+    assert vault.status()["state"] == "starting"
+    with pytest.raises(NotFound):
+        vault.read_note("a/none.md")
