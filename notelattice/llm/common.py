@@ -19,7 +19,8 @@ from notelattice.functions.ship import ship
 #: The word separators of the contracts: space and U+0009 to U+000D.
 WS = r"\x20\x09-\x0D"
 #: Characters of text that a Python operator works on at once; bounds its memory, not the text.
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 600_000
+ROWS_A_BATCH = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,8 +48,12 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """mapInArrow, once the executors can import this package."""
+    """mapInArrow, once the executors can import this package. Rows go in batches of ROWS_A_BATCH
+    unless the session asks for another number: whole texts are long, and a worker holds a batch."""
     ship(df.sparkSession)
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":  # the default
+        conf.set(key, ROWS_A_BATCH)
     return df.mapInArrow(run, schema)
 
 
