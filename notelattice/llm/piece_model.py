@@ -6,7 +6,8 @@ scores, or the merges that BPE scores imply), byte fallback and decoder. Batches
 library's threads. Parity is verified against the sentencepiece library.
 
 A text may be cut wherever a non-space meets a space if no piece of the vocabulary spans such a
-place; then words are encoded on their own and very long texts in parts, with the same ids.
+place, which is read off the vocabulary; then words stand alone, and a batch's distinct words are
+encoded and verified once each. For other models whole texts are.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; equal rows get equal
 ids; an empty table gives no rows; columns other than doc_id and text are not read.
@@ -15,10 +16,12 @@ ids; an empty table gives no rows; columns other than doc_id and text are not re
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -29,9 +32,11 @@ MARK = "▁"
 #: Piece types of the protobuf.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Characters encoded at once; bounds a worker's memory.
-BLOCK, PART = 400_000, 200_000
+#: Characters taken at once; bounds a worker's memory.
+BLOCK = 600_000
 THREADS = 2
+#: Words that a worker remembers the ids of; when full it forgets them all.
+KNOWN = 300_000
 
 
 def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -115,7 +120,7 @@ class PieceModel:
         return [(x[4], x[5]) for x in sorted(out)]
 
     def tokenizer(self):
-        from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+        from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
         names = [p for p, _, _ in self.pieces]
         unk = self.unknown()
@@ -133,46 +138,92 @@ class PieceModel:
         tok.normalizer = normalizers.Sequence(steps)
         if self.cuttable():
             tok.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
-        back = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-        tok.decoder = decoders.Sequence(back + [decoders.Strip(" ", 1, 0)] * self.dummy_prefix)
+        tok.decoder = self.decoder(strip=self.dummy_prefix)
         return tok
 
+    def decoder(self, strip: bool):
+        from tokenizers import decoders
+
+        steps = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+        return decoders.Sequence(steps + [decoders.Strip(" ", 1, 0)] * strip)
+
 
 class Codec:
-    """Encodes and decodes batches of whole texts."""
+    """Encodes and decodes batches of whole texts.
+
+    Where words stand alone, each distinct one of a batch is encoded and decoded once, by the library's
+    threads, and checked against the sentencepiece library once; texts are put together from them.
+    """
 
     def __init__(self, path: str):
+        import sentencepiece
+
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         with open(path, "rb") as f:
             self.model = PieceModel.parse(f.read())
         self.tokenizer = self.model.tokenizer()
-        self.cut = self.model.cuttable() and self.model.dummy_prefix and not self.model.squeeze and not self.model.charsmap
-
-    def parts(self, text: str) -> list[str]:
-        """Parts whose ids, one after the other, are those of the text: a cut takes away the one
-        space that the dummy prefix of the next part puts back."""
-        out, at = [], 0
-        while self.cut and len(text) - at > PART:
-            end = at + PART
-            while end < len(text) and not (text[end] == " " and text[end - 1] not in (" ", MARK)):
-                end += 1
-            if end >= len(text) - 1:
-                break
-            out.append(text[at:end])
-            at = end + 1
-        return [*out, text[at:]]
+        self.peer = sentencepiece.SentencePieceProcessor(model_file=path)
+        m = self.model
+        self.by_word = m.cuttable() and m.dummy_prefix and m.escape and not m.squeeze and not m.charsmap
+        self.bare = m.tokenizer()
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = None
+        self.bare.decoder = m.decoder(strip=False)
+        self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.back: dict[str, str] = {}
+        self.flat, self.first, self.same = np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, bool)
+
+    def _peer_ids(self, words: list[str]) -> list[list[int]]:
+        """What the sentencepiece library gives for words that start with the mark; it adds the mark
+        itself, but not to nothing."""
+        got = self.peer.encode([w[1:] if w.strip(MARK) else "a" + w for w in words], num_threads=1)
+        return [g if w.strip(MARK) else g[1:] for w, g in zip(words, got, strict=True)]
+
+    def _learn(self, words: list[str], verify: bool) -> None:
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            ids = [e.ids for e in self.bare.encode_batch_fast(part, add_special_tokens=False)]
+            same = [a == b for a, b in zip(ids, self._peer_ids(part), strict=True)] if verify else [True] * len(part)
+            for w, text in zip(part, self.bare.decode_batch(ids, skip_special_tokens=False), strict=True):
+                self.known[w] = len(self.known)
+                self.back[w] = text
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+            self.same = np.concatenate([self.same, np.array(same, bool)])
+
+    def batch(self, texts: list[str], verify: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """(ids of all texts, their bounds, parity of each text, the texts that the ids decode to)."""
+        if not self.by_word:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            same = [a == b for a, b in zip(ids, self.peer.encode(texts, num_threads=1), strict=True)] if verify else [True] * len(texts)
+            return np.array([i for x in ids for i in x], np.int32), np.cumsum([0, *map(len, ids)]), np.array(same, bool), self.decode(ids)
+        words = [self.split.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        wanted = dict.fromkeys(w for x in words for w in x)
+        new = [w for w in wanted if w not in self.known]
+        if new and len(self.known) + len(new) > KNOWN:
+            self._forget()
+            new = list(wanted)
+        self._learn(new, verify)
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        code = np.fromiter((self.known[w] for x in words for w in x), np.int64, int(n.sum()))
+        size = self.first[code + 1] - self.first[code]
+        ahead = np.concatenate(([0], np.cumsum(size)))
+        ids = self.flat[np.repeat(self.first[code] - ahead[:-1], size) + np.arange(ahead[-1])]
+        word_at = np.concatenate(([0], np.cumsum(n)))
+        wrong = np.concatenate(([0], np.cumsum(~self.same[code])))
+        back = self.back
+        decoded = ["".join([back[w] for w in x])[1:] for x in words]
+        return ids, ahead[word_at], wrong[word_at[1:]] == wrong[word_at[:-1]], decoded
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        split = [self.parts(t) if t else [] for t in texts]
-        done = iter(self.tokenizer.encode_batch_fast([p for s in split for p in s], add_special_tokens=False))
-        out = []
-        for s in split:
-            ids = next(done).ids if s else []
-            for _ in s[1:]:
-                ids = ids + next(done).ids
-            out.append(ids)
-        return out
+        ids, bounds, _, _ = self.batch(texts, verify=False)
+        return [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -194,23 +245,12 @@ def encode_texts(docs: DataFrame, path: str, verify: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = codec(path)
-        if verify:
-            import sentencepiece
-
-            peer = sentencepiece.SentencePieceProcessor(model_file=path)
         for ids, texts in text_blocks(batches, BLOCK):
-            got = mine.encode(texts)
-            back = mine.decode(got)
-            flat = pa.array([i for x in got for i in x], pa.int32())
-            ends = [0]
-            for x in got:
-                ends.append(ends[-1] + len(x))
+            flat, bounds, same, back = mine.batch(texts, verify)
             columns = [
-                pa.array(ids), pa.array([len(t.encode("utf-8")) for t in texts], pa.int64()), pa.array([len(x) for x in got], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array([a == b for a, b in zip(back, texts, strict=True)]),
+                pa.array(ids), pa.array([len(t.encode("utf-8")) for t in texts], pa.int64()), pa.array(np.diff(bounds), pa.int64()),
+                pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat)), pa.array([a == b for a, b in zip(back, texts, strict=True)]),
             ]
-            if verify:
-                columns.append(pa.array([a == b for a, b in zip(got, peer.encode(texts, num_threads=1), strict=True)]))
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(same)] * verify, schema.names)
 
     return map_arrow(docs.select("doc_id", "text"), run, schema)

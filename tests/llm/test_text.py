@@ -56,15 +56,17 @@ def test_pieces(spark, sf_dir, odd):
         assert all(r["parity"] and r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in rows)
 
 
-def test_pieces_of_random_texts(monkeypatch):
+def test_pieces_of_random_texts():
     import sentencepiece
 
     sp, mine = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_model.Codec(PIECES)
     rng = random.Random(5)
     texts = ["".join(rng.choice("ab ▁\n\ré漢\U0001f600{};()t hein  ") for _ in range(60)) for _ in range(2000)]
-    assert mine.encode(texts) == sp.encode(texts)
-    monkeypatch.setattr(piece_model, "PART", 16)
-    assert mine.encode(texts) == sp.encode(texts)
+    assert mine.by_word and mine.encode(texts) == sp.encode(texts)
+    ids, bounds, same, back = mine.batch(texts)
+    assert same.all() and back == mine.decode([ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])])
+    mine.by_word = False  # whole texts
+    assert mine.encode(texts) == sp.encode(texts) and mine.batch(texts)[2].all()
     assert [a == b for a, b in zip(mine.decode(mine.encode(texts)), texts)] == ["▁" not in t for t in texts]
 
 
