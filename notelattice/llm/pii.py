@@ -41,8 +41,6 @@ AT = ("at", "[at]", "(at)", "@")
 DOT = ("dot", "[dot]", "(dot)")
 HEX = re.compile("[0-9a-f]{12,}")
 SHAPES = {c: "9" if chr(c).isdigit() else "A" if chr(c).isupper() else "a" for c in range(128) if chr(c).isalnum()}
-#: The longest word that the field reads.
-WORD = 80
 
 
 def luhn(digits: str) -> bool:
@@ -238,7 +236,7 @@ def words(text: str, at: int = 0, end: int | None = None) -> list[tuple[int, int
 
 
 def shape(word: str) -> str:
-    return "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word[:WORD])
+    return "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word)
 
 
 def squeezed(s: str) -> str:

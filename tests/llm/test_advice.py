@@ -15,3 +15,29 @@ def test_addresses_without_digit_or_at_sign():
         assert set(kinds_of(text)) == set(marks), text
     for text in ("He sat at home and looked at the dot.", "Die Frau ging mit dem Hund nach Hause und schlief.", "at at at at at at the", "x " * 3000):
         assert not kinds_of(text)
+
+
+def test_no_cut_in_a_line():
+    secret = "9f86d081884c7d659a2f"
+    for n in range(60, 110):  # whatever stands before it, across any number of characters
+        text = "row 12 of 7 " * (n // 3) + "x" * (n % 13) + f" key = {secret} do not share"
+        assert (("secret", text.index(secret), text.index(secret) + len(secret))) in pii.all_spans([text], pii.field())[0][1]
+    assert pii.shape("ab" * 50 + "1") == "a" * 100 + "9"
+
+
+def test_runs_decoded_by_themselves_are_the_best_path_of_the_line():
+    f = pii.field()
+    lines = [pii.MARKED.sub(lambda m: m[2], line).split() for line in pii.TABLE]
+    lines = [a + b + c for a, b, c in zip(lines, lines[7:], lines[13:], strict=False)]
+    s, start = f.scores().of(lines)
+    ys = pii.labels_of(f, s)
+    for ws, at in zip(lines, start, strict=True):
+        best, back = f.trans[-1] + s[at], []
+        for row in s[at + 1 : at + len(ws)]:
+            score = best[:, None] + f.trans[:-1]
+            back.append(score.argmax(0))
+            best = score.max(0) + row
+        y = [int(best.argmax())]
+        for b in reversed(back):
+            y.append(int(b[y[-1]]))
+        assert ys[at : at + len(ws)].tolist() == y[::-1]
