@@ -767,6 +767,27 @@ def _modes() -> list[dict]:
 MATCH = 16
 
 
+def _first_equal(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The first place of each place's (doc, key). A round settles all places of the pair that came
+    first in their slot of a table; the others go on to a round with other slots."""
+    n = len(key)
+    source = np.empty(n, np.int32)
+    left, k, d = np.arange(n, dtype=np.int32), key, doc
+    bits, turn = 21, 0
+    while len(left):
+        h = (k ^ (d.astype(np.uint64) + np.uint64(turn << 32)) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
+        slot = (h >> np.uint64(64 - bits)).astype(np.int64)
+        table = np.zeros(1 << bits, np.int32)
+        at = np.arange(len(left), dtype=np.int32)
+        table[slot[::-1]] = at[::-1]
+        first = table[slot]
+        same = (k[first] == k) & (d[first] == d)
+        source[left[same]] = left[first[same]]
+        left, k, d = left[~same], k[~same], d[~same]
+        bits, turn = max(8, min(21, len(left).bit_length() + 2)), turn + 1
+    return source
+
+
 def _repeats(buf: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
     """(place, length, distance) of disjoint repeats of MATCH bytes or more, within a document, in
     order. The first place with the same 16 bytes is the source."""
@@ -779,14 +800,10 @@ def _repeats(buf: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
     eight = four[:-4] * mul + four[4:] * np.uint64(0xC2B2AE3D27D4EB4F)
     eight ^= eight >> np.uint64(29)
     key = eight[:-8] * mul + eight[8:]
-    key = (key ^ doc[:n].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * mul
-    slot = (key >> np.uint64(64 - 21)).astype(np.int64)
-    table = np.zeros(1 << 21, np.int32)
     place = np.arange(n, dtype=np.int32)
-    table[slot[::-1]] = place[::-1]
-    source = table[slot]
+    source = _first_equal(key, doc[:n])
     near = place - source <= (1 << 20) - 120  # the farthest that the format can name
-    ok = (source < place) & near & (key[source] == key) & (doc[:n] == doc[MATCH - 1 :])
+    ok = (source < place) & near & (doc[:n] == doc[MATCH - 1 :])
     dist = np.where(ok, place - source, 0)
     edge = np.flatnonzero(np.diff(dist, prepend=0, append=0))
     out, free = [], 0
