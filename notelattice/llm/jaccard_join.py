@@ -1,10 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest, every link verified exactly.
+"""N-gram Jaccard join by MinHash prefixes, every link verified exactly.
 
 Texts become sets of hashed word 5-grams. Equal sets are one class, known by its least document id;
-only classes go on. Each class has TREES prefix tries of MinHash values; classes that share a prefix
-of `depth` values in any tree are candidates. The depth starts long and is shortened, one level at a
-time, until the estimated recall of links reaches the target: every verified link of similarity s
-stands for 1 / (1 - (1 - s ** depth) ** TREES) links.
+only classes go on. Each class has TREES runs of DEPTH MinHash values; classes that share a run in
+any tree are candidates. DEPTH is the longest at which a pair that is just similar enough is found
+with a probability of RECALL or more, whatever else the table holds; more similar pairs are found
+with a higher one.
 
 Candidates are not expanded into pairs. A prefix bucket gives a star of edges to its least class, the
 stars give components, and each component's 5-gram sets meet in blocks of BLOCK classes, so that a
@@ -31,11 +31,19 @@ from pyspark.sql.window import Window as W
 from .common import ByteWords, map_arrow, materialize, mix64, text_blocks, window_hashes
 
 N, THRESHOLD_PCT = 5, 80
-TREES, DEPTHS, RECALL = 16, (5, 4, 3), 0.9995
+TREES, RECALL = 16, 0.9995
 BLOCK = 256
+
+
+def recall(similarity: float, depth: int) -> float:
+    """The probability that a pair of this similarity shares a run in some tree."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
+DEPTH = max(d for d in range(1, 9) if recall(THRESHOLD_PCT / 100, d) >= RECALL)
 _SEED = np.random.default_rng(20240229)
-_MUL = _SEED.integers(1, 1 << 63, (TREES, max(DEPTHS)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _SEED.integers(0, 1 << 63, (TREES, max(DEPTHS)), dtype=np.uint64)
+_MUL = _SEED.integers(1, 1 << 63, (TREES, DEPTH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _SEED.integers(0, 1 << 63, (TREES, DEPTH), dtype=np.uint64)
 
 
 def shingles(texts: list[str], n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -77,21 +85,21 @@ def set_keys(bounds: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
-def prefixes(bounds: np.ndarray, value: np.ndarray, depth: int) -> np.ndarray:
-    """[set, tree] hashes of the first `depth` MinHash values; only sets that are not empty."""
+def prefixes(bounds: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """[set, tree] hashes of a tree's MinHash values; only sets that are not empty."""
     full = np.flatnonzero(np.diff(bounds) > 0)
     out = np.zeros((len(full), TREES), np.uint64)
     if not len(full):
         return out.view(np.int64)
     at = bounds[full]
     for t in range(TREES):
-        for d in range(depth):
+        for d in range(DEPTH):
             low = np.minimum.reduceat(value * _MUL[t, d] + _ADD[t, d], at)
             out[:, t] = mix64(out[:, t] * np.uint64(0x9E3779B97F4A7C15) + low)
     return out.view(np.int64)
 
 
-def signed(docs: DataFrame, depth: int) -> DataFrame:
+def signed(docs: DataFrame) -> DataFrame:
     """doc_id, th (text hash), k1, k2, n and trees of every document."""
     kinds = [("th", T.LongType()), ("k1", T.LongType()), ("k2", T.LongType()), ("n", T.LongType()), ("trees", T.ArrayType(T.LongType()))]
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(n, t) for n, t in kinds)])
@@ -102,7 +110,7 @@ def signed(docs: DataFrame, depth: int) -> DataFrame:
             n = np.diff(bounds)
             k1, k2 = set_keys(bounds, value)
             ends = np.concatenate(([0], np.cumsum((n > 0) * TREES))).astype(np.int32)
-            trees = pa.ListArray.from_arrays(ends, pa.array(prefixes(bounds, value, depth).ravel()))
+            trees = pa.ListArray.from_arrays(ends, pa.array(prefixes(bounds, value).ravel()))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), pa.array(k1), pa.array(k2), pa.array(n), trees], schema.names)
 
     return map_arrow(_hashed(docs), run, schema)
@@ -159,9 +167,9 @@ def components(edges: DataFrame) -> DataFrame:
     return whole if whole is not None else spark.createDataFrame([], "v long, c long")
 
 
-def link_blocks(left: list[tuple], right: list[tuple] | None, depth: int) -> list[tuple]:
+def link_blocks(left: list[tuple], right: list[tuple] | None) -> list[tuple]:
     """Links between two blocks of (v, k1, k2, copies, hashes), or within one: for each member
-    (v, k1, k2, root, links, found, stands_for). root is the least v that it is linked with here."""
+    (v, k1, k2, root, links). root is the least v that it is linked with here."""
     rows = left + (right or [])
     n, cut = len(rows), len(left)
     sizes = np.array([len(r[4]) for r in rows], np.int64)
@@ -190,8 +198,6 @@ def link_blocks(left: list[tuple], right: list[tuple] | None, depth: int) -> lis
         linked[:cut, :cut] = False
         linked[cut:, cut:] = False
     copies = np.array([r[3] for r in rows], np.int64)
-    s = np.where(linked, inter / np.maximum(union, 1), 1.0)
-    stands = np.where(linked, 1 / (1 - (1 - s**depth) ** TREES), 0.0)
     parent = list(range(n))
 
     def find(i: int) -> int:
@@ -208,13 +214,13 @@ def link_blocks(left: list[tuple], right: list[tuple] | None, depth: int) -> lis
             lo, hi = (a, b) if rank[a] < rank[b] else (b, a)
             parent[hi] = lo
     links = linked @ copies
-    return [(*r[:3], rows[find(i)][0], int(links[i]), int(linked[i].sum()), float(stands[i].sum())) for i, r in enumerate(rows) if linked[i].any()]
+    return [(*r[:3], rows[find(i)][0], int(links[i])) for i, r in enumerate(rows) if linked[i].any()]
 
 
-RESULT = "v long, k1 long, k2 long, root long, links long, found long, stands double"
+RESULT = "v long, k1 long, k2 long, root long, links long"
 
 
-def verify(members: DataFrame, depth: int) -> DataFrame:
+def verify(members: DataFrame) -> DataFrame:
     """Links of members (comp, v, k1, k2, copies, block, blocks, hashes binary), block by block."""
     pairs = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     pairs = pairs.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "v", "k1", "k2", "copies", "hashes")
@@ -227,11 +233,11 @@ def verify(members: DataFrame, depth: int) -> DataFrame:
                 seen.add((row[1], row[2]))
                 parts[block != lo].append((*row[:4], np.frombuffer(row[4], np.uint64)))
         if lo == hi:
-            return link_blocks(parts[0], None, depth) if len(parts[0]) > 1 else []
-        return link_blocks(*parts, depth) if parts[0] and parts[1] else []
+            return link_blocks(parts[0], None) if len(parts[0]) > 1 else []
+        return link_blocks(*parts) if parts[0] and parts[1] else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["v", "k1", "k2", "root", "links", "found", "stands"]
+        names = ["v", "k1", "k2", "root", "links"]
         group, at, out = [], None, []
         for batch in batches:
             for comp, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -274,9 +280,8 @@ def with_hashes(docs: DataFrame, members: DataFrame) -> DataFrame:
     return map_arrow(met, run, schema)
 
 
-def links_at(docs: DataFrame, classes: DataFrame, depth: int) -> tuple[DataFrame, float]:
-    """Verified links of classes (RESULT rows) with the forest cut at `depth`, and the recall that
-    they let expect."""
+def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Verified links of classes (RESULT rows)."""
     nodes = classes.where("n > 0").select("v", F.posexplode("trees").alias("tree", "prefix"))
     hubs = nodes.groupBy("tree", "prefix").agg(F.min("v").alias("hub"), F.count("*").alias("size")).where("size > 1").select(F.col("tree").alias("t2"), F.col("prefix").alias("p2"), "hub")
     stars = nodes.join(hubs, F.expr("tree = t2 AND prefix = p2")).where("v <> hub").select(F.col("hub").alias("a"), F.col("v").alias("b"))
@@ -286,9 +291,7 @@ def links_at(docs: DataFrame, classes: DataFrame, depth: int) -> tuple[DataFrame
     blocks = placed.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("c", "comp")
     members = classes.join(placed, "v").join(blocks, F.col("c") == F.col("comp"))
     members = members.withColumn("block", F.expr("cast(pmod(xxhash64(v), blocks) as int)")).select("comp", "v", "k1", "k2", "copies", "block", "blocks", "doc_id", "th")
-    found = materialize(verify(with_hashes(docs, members), depth), "links")
-    sums = found.agg(F.sum("found").alias("f"), F.sum("stands").alias("s")).first()
-    return found, (sums["f"] / sums["s"] if sums["s"] else 1.0)
+    return materialize(verify(with_hashes(docs, members)), "links")
 
 
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -296,14 +299,11 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     the representative, copies, links (documents of other classes it is linked with), group (the
     representative's id of the least class it is connected with by links) and lead (whether it is
     that class)."""
-    for depth in DEPTHS:
-        rows = materialize(signed(docs, depth), "signed")
-        rep = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("rep")
-        classes = rows.groupBy("k1", "k2").agg(rep, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("trees").alias("trees"))
-        classes = materialize(classes.select("k1", "k2", "rep.doc_id", "rep.th", "copies", "n", "trees", F.xxhash64("k1", "k2").alias("v")), "classes")
-        found, recall = links_at(docs, classes, depth)
-        if recall >= RECALL:
-            break
+    rows = materialize(signed(docs), "signed")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("rep")
+    classes = rows.groupBy("k1", "k2").agg(rep, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("trees").alias("trees"))
+    classes = materialize(classes.select("k1", "k2", "rep.doc_id", "rep.th", "copies", "n", "trees", F.xxhash64("k1", "k2").alias("v")), "classes")
+    found = links_of(docs, classes)
     links = found.groupBy("k1", "k2").agg(F.sum("links").alias("links"))
     groups = components(found.where("v <> root").select(F.least("v", "root").alias("a"), F.greatest("v", "root").alias("b")))
     joined = classes.drop("n", "trees").join(links, ["k1", "k2"], "left").join(groups, "v", "left").withColumn("c", F.coalesce("c", "v"))
