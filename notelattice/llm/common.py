@@ -6,6 +6,8 @@ these are the few things that several of them need.
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
 
 from notelattice.functions.ship import ship
 
@@ -20,7 +23,6 @@ from notelattice.functions.ship import ship
 WS = r"\x20\x09-\x0D"
 #: Characters of text that a Python operator works on at once; bounds its memory, not the text.
 BLOCK_CHARS = 600_000
-ROWS_A_BATCH = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,11 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where
-    it is unset (tests on one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A session on one machine
+    that has none gets a temporary one; on a cluster a folder of one machine would be of no use."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="scratch-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
@@ -47,14 +51,27 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    """The Arrow type of a column: what a worker passes on keeps its type."""
+    return to_arrow_type(df.schema[column].dataType)
+
+
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """mapInArrow, once the executors can import this package. Rows go in batches of ROWS_A_BATCH
-    unless the session asks for another number: whole texts are long, and a worker holds a batch."""
+    """mapInArrow, once the executors can import this package. Spark bounds a batch by bytes
+    (spark.sql.execution.arrow.maxBytesPerBatch), however long its texts are. After its task a worker
+    gives back the memory it doesn't use: workers are reused, and the next stage needs it."""
     ship(df.sparkSession)
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":  # the default
-        conf.set(key, ROWS_A_BATCH)
-    return df.mapInArrow(run, schema)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return df.mapInArrow(lean, schema)
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], chars: int = BLOCK_CHARS) -> Iterator[tuple[list, list[str]]]:

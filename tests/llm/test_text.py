@@ -56,18 +56,41 @@ def test_pieces(spark, sf_dir, odd):
         assert all(r["parity"] and r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in rows)
 
 
-def test_pieces_of_random_texts():
+def test_pieces_of_random_texts(monkeypatch):
     import sentencepiece
 
     sp, mine = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_model.Codec(PIECES)
     rng = random.Random(5)
-    texts = ["".join(rng.choice("ab ▁\n\ré漢\U0001f600{};()t hein  ") for _ in range(60)) for _ in range(2000)]
-    assert mine.by_word and mine.encode(texts) == sp.encode(texts)
+    texts = ["".join(rng.choice("ab ▁\n\ré漢\U0001f600{};()t hein  ,.1'²_") for _ in range(60)) for _ in range(2000)]
+    texts += texts[:5]
+    assert mine.units and mine.units.classes.max() == 2 and mine.encode(texts) == sp.encode(texts)
     ids, bounds, same, back = mine.batch(texts)
     assert same.all() and back == mine.decode([ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])])
-    mine.by_word = False  # whole texts
-    assert mine.encode(texts) == sp.encode(texts) and mine.batch(texts)[2].all()
+    # parts of a text give the ids of the whole
+    longer = [" ".join(texts[i : i + 40]) for i in range(0, 800, 40)] + ["word " * 300, " " * 300, "x" * 300, ""]
+    want = mine.batch(longer)
+    assert all(len(mine.parts(t, 50)) > 5 for t in longer[:21])
+    got = mine.batch(longer, chars=50)
+    assert got[2].all() and got[3] == want[3] and all((a == b).all() for a, b in zip(got[:2], want[:2])) and mine.encode(longer) == sp.encode(longer)
+    # units that are forgotten again and again, and none at all
+    monkeypatch.setattr(piece_model, "KNOWN", 50)
+    mine.units.forget()
+    assert [mine.encode(texts[i : i + 7]) for i in range(0, 700, 7)] == [sp.encode(texts[i : i + 7]) for i in range(0, 700, 7)]
     assert [a == b for a, b in zip(mine.decode(mine.encode(texts)), texts)] == ["▁" not in t for t in texts]
+    mine.units = None
+    assert mine.encode(texts) == sp.encode(texts) and mine.batch(longer)[2].all() and mine.batch(longer)[3] == want[3]
+
+
+def test_parity_is_of_the_whole_text():
+    """Libraries that agree on each word, but not on a text of two, are told apart."""
+
+    class Peer:
+        def encode(self, texts, num_threads):
+            return [[*ids, 0] if " " in t else ids for t, ids in zip(texts, real.encode(texts), strict=True)]
+
+    mine = piece_model.Codec(PIECES)
+    real, mine.peer = mine.peer, Peer()
+    assert mine.batch(["one", "two", "one two", "one"])[2].tolist() == [True, True, False, True]
 
 
 def field_bytes(number, kind, value):
