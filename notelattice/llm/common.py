@@ -48,7 +48,17 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._written = at
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Removes tables that materialize() wrote, once nothing reads them any more."""
+    for df in written:
+        hadoop = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(hadoop).delete(path, True)
 
 
 def arrow_type(df: DataFrame, column: str) -> pa.DataType:
@@ -93,6 +103,19 @@ def text_blocks(batches: Iterator[pa.RecordBatch], chars: int = BLOCK_CHARS) ->
         yield ids, texts
 
 
+class Pairs:
+    """A batch for text_blocks() whose ids are any values."""
+
+    def __init__(self, values: list, texts: pa.Array):
+        self.values, self.texts = values, texts
+
+    def column(self, i: int):
+        return self if i == 0 else self.texts
+
+    def to_pylist(self) -> list:
+        return self.values
+
+
 class ByteWords:
     """The words `[^\\x20\\x09-\\x0D]+` of a block of texts as numpy arrays over its UTF-8 bytes.
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK_CHARS, ByteWords, map_arrow, mix64
+from .common import ByteWords, Pairs, arrow_type, map_arrow, mix64, text_blocks
 from .labelled import fold, sample
 
 WORDS, BINS, FACTORS = 1 << 15, 12, 8
@@ -115,21 +115,25 @@ class Machine:
 
 
 def train(doc: np.ndarray, f: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int = 1) -> Machine:
-    """Adam on the weighted log loss, all rows in each step."""
+    """Adam on the weighted log loss, all rows in each step, over the features that occur. Triples
+    are sorted by document, and every document has one."""
     rng = np.random.default_rng(seed)
-    n = len(y)
     share = np.clip((weight * y).sum() / weight.sum(), 0.01, 0.99)
-    m = Machine(float(np.log(share / (1 - share))), np.zeros(SIZE), rng.normal(0, 0.05, (SIZE, FACTORS)))
-    used = np.unique(f)
-    state = {k: [np.zeros(s), np.zeros(s)] for k, s in (("w0", ()), ("w", SIZE), ("v", (SIZE, FACTORS)))}
+    used, f = np.unique(f, return_inverse=True)
+    m = Machine(float(np.log(share / (1 - share))), np.zeros(len(used), np.float32), rng.normal(0, 0.05, (SIZE, FACTORS))[used].astype(np.float32))
+    x = x.astype(np.float32)
+    rows = np.flatnonzero(np.diff(doc, prepend=-1))
+    by_feature = np.argsort(f, kind="stable")
+    columns = np.flatnonzero(np.diff(f[by_feature], prepend=-1))
+    state = {k: [np.zeros(np.shape(v)), np.zeros(np.shape(v))] for k, v in (("w0", 0.0), ("w", m.w), ("v", m.v))}
     for t in range(1, EPOCHS + 1):
-        raw, sums = m.raw(doc, f, x, n)
-        g = weight * (1 / (1 + np.exp(-raw)) - y) / weight.sum() * 50
-        gx = g[doc] * x
-        gv = np.empty_like(m.v)
-        for k in range(FACTORS):
-            gv[:, k] = np.bincount(f, gx * (sums[k][doc] - m.v[f, k] * x), SIZE)
-        grads = {"w0": np.asarray(g.sum()), "w": np.bincount(f, gx, SIZE) + DECAY * m.w, "v": gv + DECAY * m.v}
+        vx = m.v[f] * x[:, None]
+        sums = np.add.reduceat(vx, rows)
+        raw = m.w0 + np.add.reduceat(m.w[f] * x, rows) + 0.5 * ((sums**2).sum(1) - np.add.reduceat((vx * vx).sum(1), rows))
+        g = weight * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y) / weight.sum() * 50
+        gx = (g[doc] * x).astype(np.float32)
+        gv = np.add.reduceat((gx[:, None] * (sums[doc] - vx))[by_feature], columns)
+        grads = {"w0": np.asarray(g.sum()), "w": np.add.reduceat(gx[by_feature], columns) + DECAY * m.w, "v": gv + DECAY * m.v}
         for name, grad in grads.items():
             a, b = state[name]
             a *= 0.9
@@ -141,42 +145,35 @@ def train(doc: np.ndarray, f: np.ndarray, x: np.ndarray, y: np.ndarray, weight:
                 m.w0 -= float(step)
             else:
                 value = getattr(m, name)
-                value[used] -= step[used]
-    keep = np.zeros(SIZE, bool)
-    keep[used] = True
-    m.v[~keep] = 0
-    m.w, m.v = m.w.astype(np.float32), m.v.astype(np.float32)
-    return m
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str], list, list]]:
-    """ids, texts, n_chars and the rest of each row, in blocks of bounded length."""
-    held: list[tuple] = []
-    chars = 0
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            t = row[1] or ""
-            if held and chars + len(t) > BLOCK_CHARS:
-                yield tuple(map(list, zip(*held, strict=True)))
-                held, chars = [], 0
-            held.append((row[0], t, row[2], row[3:]))
-            chars += len(t) + 1
-    if held:
-        yield tuple(map(list, zip(*held, strict=True)))
+                value -= step.astype(np.float32)
+    w, v = np.zeros(SIZE, np.float32), np.zeros((SIZE, FACTORS), np.float32)
+    w[used], v[used] = m.w, m.v
+    return Machine(m.w0, w, v)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str], list[int | None]]]:
+    """What is in column 0, texts and n_chars, in blocks of bounded length."""
+    for pairs, texts in text_blocks(_paired(batches)):
+        yield [p[0] for p in pairs], texts, [p[1] for p in pairs]
+
+
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[Pairs]:
+    for b in batches:
+        yield Pairs(list(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)), b.column(1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Machine | float:
     """A machine, or the share of label 1 where one class is missing."""
-    picked, sizes = sample(docs, labels, "quality", fold("doc_id", FOLDS) != HELD_OUT, rows)
+    picked, sizes = sample(docs, labels, "quality", fold("doc_id", FOLDS) != HELD_OUT, rows, "n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, meta, rest in _blocks(batches):
+        for marks, texts, meta in _blocks(batches):
             doc, f, x = features(texts, meta)
             ends = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (f.astype(np.int32), x)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([r[0] for r in rest], pa.int32()), *lists], ["doc_id", "y", "f", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([m["doc_id"] for m in marks], pa.string()), pa.array([m["y"] for m in marks], pa.int32()), *lists], ["doc_id", "y", "f", "x"])
 
-    made = map_arrow(picked.select("doc_id", "text", "n_chars", "y"), run, "doc_id long, y int, f array<int>, x array<float>")
+    made = map_arrow(picked.select(F.struct("doc_id", "y"), "text", "n_chars"), run, "doc_id string, y int, f array<int>, x array<float>")
     # rows come in any order, and sums of floats depend on it
     got = made.toArrow().sort_by("doc_id")
     y = got["y"].to_numpy().astype(np.float64)
@@ -194,12 +191,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataF
     model = fit(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    id_type = arrow_type(docs, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for ids, texts, meta, _ in _blocks(batches):
+        for ids, texts, meta in _blocks(batches):
             s = model.scores(texts, meta) if isinstance(model, Machine) else np.full(len(ids), model)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(s, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(s, pa.float64())], ["doc_id", "score"])
 
     scored = map_arrow(docs.select("doc_id", "text", "n_chars"), run, schema)
     return scored.select("doc_id", F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

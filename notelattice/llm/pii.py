@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, text_blocks
+from .common import arrow_type, map_arrow, text_blocks
 
 KINDS = ("email", "ip", "card", "phone", "id", "secret")
 BASE = KINDS[:4]
@@ -405,7 +407,7 @@ class Scores:
     share vectors by kind."""
 
     #: Words whose kind is held at once; bounds memory only, as a forgotten word is read again.
-    HELD = 200_000
+    HELD = 50_000
 
     def __init__(self, model: Field):
         self.model = model
@@ -565,12 +567,13 @@ def all_spans(texts: list[str], model: Field) -> list[tuple[list, list]]:
     out = []
     for t, x in zip(texts, field_spans(texts, model), strict=True):
         b = base_spans(t)
-        taken = [(s, e) for _, s, e in b]
-        full = list(b)
+        # the field's spans come in order and apart; base spans may overlap, so their ends are raised
+        full, taken = list(b), sorted((s, e) for _, s, e in b)
+        starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
         for kind, s, e in x:
-            if s < e and not any(s < q and p < e for p, q in taken):
+            k = bisect_left(starts, e)
+            if s < e and not (k and reach[k - 1] > s):
                 full.append((kind, s, e))
-                taken.append((s, e))
         out.append((b, sorted(full, key=lambda v: (KINDS.index(v[0]), v[1]))))
     return out
 
@@ -591,13 +594,14 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans, base_sha256 and spans of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(field())
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(f"n_{k}", T.LongType()) for k in BASE), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
+    id_type = arrow_type(docs, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_blocks(batches):
             found = all_spans(texts, sent.value)
             counts = [pa.array([sum(x[0] == k for x in b) for b, _ in found], pa.int64()) for k in BASE]
             digests = pa.array([hashlib.sha256(listed(b).encode()).hexdigest() for b, _ in found])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), *counts, digests, pa.array([listed(a) for _, a in found])], schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), *counts, digests, pa.array([listed(a) for _, a in found])], schema.names)
 
     return map_arrow(docs.select("doc_id", "text"), run, schema)
 

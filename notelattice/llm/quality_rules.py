@@ -37,7 +37,7 @@ GRAMS = {1: "s.h.ones", 2: "concat(s.h.ones, s.h.twos)"}
 
 def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
     """Ids of at most `rows` documents labelled good; bounded, so it may be broadcast."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("trusted_id")).distinct()
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("string").alias("trusted_id")).distinct()
     return good.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(rows)
 
 
@@ -59,7 +59,8 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, n: int = NG
     """The log ratio of each bucket. Counts cover every document; what reaches the driver is one
     row for each bucket, whatever the corpus."""
     # a hint, not a guess: trusted_ids() bounds this side
-    marked = docs.join(F.broadcast(trusted), docs["doc_id"] == trusted["trusted_id"], "left")
+    mine = docs.select(F.col("doc_id"), F.col("doc_id").cast("string").alias("d_id"), "text")
+    marked = mine.join(F.broadcast(trusted), F.col("d_id") == F.col("trusted_id"), "left")
     grams = with_grams(marked, F.col("trusted_id").isNotNull().alias("good")).select("good", F.explode(F.expr(GRAMS[n])).alias("gram"))
     rows = grams.groupBy(F.expr(f"pmod(gram, {buckets})").alias("bucket")).agg(F.count("*").alias("raw"), F.count_if("good").alias("target")).collect()
     raw, target = [0] * buckets, [0] * buckets

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_arrow, text_blocks
+from .common import arrow_type, map_arrow, text_blocks
 
 #: Fixed value: the split of byte-level BPE, which the model file names by "use_regex".
 PRE_TOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -77,11 +77,13 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every document under the tokenizer at `path`."""
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_tokens")), T.StructField("over_limit", T.BooleanType())])
 
+    id_type = arrow_type(docs, "doc_id")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _TABLES.get(path) or _TABLES.setdefault(path, PieceTable(path))
         for ids, texts in text_blocks(batches):
             counts = table.counts(texts)
             sizes = [len(t) if t.isascii() else len(t.encode("utf-8")) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts])], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts])], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return map_arrow(docs.select("doc_id", "text"), run, schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_arrow, materialize, text_blocks
+from .common import arrow_type, map_arrow, materialize, text_blocks
 
 WIDTH, MAX_SIDE = 64, 1 << 14
 PREDICTOR, CROSS, GREEN, PALETTE = 0, 1, 2, 3
@@ -894,13 +894,14 @@ def feature_of(payload: bytes) -> str:
 def store_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media (the stored files) of every document."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
+    id_type = arrow_type(docs, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_blocks(batches):
             payloads = [padded(t) for t in texts]
             media = encode_payloads(payloads)
             sizes = [len(t.encode("utf-8")) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], schema.names)
 
     return map_arrow(docs.select("doc_id", "text"), run, schema)
 
