@@ -3,13 +3,14 @@
 The lexicon is learned from labelled rows: words and word stems whose document counts tell toxic
 from other texts. Its trie, crossed with the automaton of one edit, is made deterministic once; all
 words of a block then run through the table together, a character at a time, so that misspelled
-terms are caught at the price of a lookup. A stem matches any word that starts with it; edits are
-allowed for strong terms of at least FUZZY_LEN letters, never in the first letter, and not where
-they give a word that the sample's clean texts use. Digits count as letters that no term has.
+terms are caught at the price of a lookup. A stem matches any word that starts with it, however long;
+edits are allowed for every strong term of at least FUZZY_LEN letters and stem of FUZZY_STEM, never in
+the first letter, and not where they give a word that the sample's clean texts use by themselves, not
+in quotations, about as often as its toxic ones. Digits count as letters that no term has.
 
-A hit is weighed by its context: quotation marks around it on its line, or a word of reporting just
-before it, make it a quotation; other hits or a second person nearby make it an attack. A logistic
-model over these sums, fitted on the same bounded sample, gives the score.
+A hit is weighed by its context: quotation marks around it on its line, or a word of reporting among
+the four words before it, make it a quotation; other hits or a second person nearby make it an attack.
+A logistic model over these sums, fitted on the same bounded sample, gives the score.
 
 Defined results: a null or empty text has no hit and gets the score of one; without labels of both
 classes every score is the share of label 1 (or 0); equal texts get equal scores; labels, source,
@@ -19,7 +20,9 @@ lang and doc_id are not inputs; other columns are not read.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -27,20 +30,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, text_blocks
+from .common import arrow_type, map_arrow, text_blocks
 from .labelled import fold, sample
 
-#: Labelled rows of each class for lexicon and fit; candidates sent to the driver; lexicon entries.
-ROWS, CANDIDATES, TERMS, FUZZY_TERMS = 4_000, 4_000, 256, 64
+#: Labelled rows of each class for lexicon and fit: the bound of the sample.
+ROWS = 4_000
+#: What makes a term: documents, information gain, and how much likelier toxic texts have it.
 MIN_DOCS, MIN_GAIN, MIN_RATIO = 3, 12.0, 3.0
-STEM_LEN, FUZZY_LEN, MAX_LEN = (4, 8), 5, 40
+#: The log ratio from which a term is strong.
+STRONG = math.log(20)
+STEM_LEN, FUZZY_LEN, FUZZY_STEM = (4, 8), 5, 8
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
 NEAR = 60
 EXACT, STEM, FUZZY, INNOCENT = 0, 1, 2, 3
 #: Words of reporting and of the second person in the four languages.
 REPORTS = ("said", "says", "wrote", "called", "quote", "quoted", "sagte", "schrieb", "zitat", "dit", "citation", "dijo", "cita")
 SECOND = ("you", "your", "du", "dich", "ihr", "tu", "toi", "vous", "eres", "usted")
-QUOTES = "\"'“”„«»‘’"
+QUOTES = "\"“”„«»‘’"
+PAIRS = ("“”", "„“", "«»", "‘’")
+LONGEST = max(map(len, REPORTS + SECOND))
 
 
 def words_of(column: str) -> str:
@@ -62,19 +70,18 @@ def learn_lexicon(docs: DataFrame) -> list[tuple[str, int, float, bool]]:
     gain = 2 * (F.col("a") * F.log(p / each) + F.when(F.col("b") > 0, F.col("b") * F.log(q / each)).otherwise(0))
     counts = texts.select("y", F.explode(F.expr(terms)).alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     good = counts.where((F.col("a") >= MIN_DOCS) & (p >= MIN_RATIO * q)).withColumn("gain", gain).where(F.col("gain") >= MIN_GAIN)
-    rows = good.orderBy(F.desc("gain"), "term").limit(CANDIDATES).collect()
+    rows = good.collect()  # of a bounded sample's vocabulary
     weight = {r["term"]: math.log((r["a"] + 0.5) / (n1 + 1)) - math.log((r["b"] + 0.5) / (n0 + 1)) for r in rows}
     docs_of = {r["term"]: r["a"] for r in rows}
     gains = {r["term"]: r["gain"] for r in rows}
     # a stem says nothing beyond a longer one, or a word, that nearly all its texts have
-    kept = []
+    kept, spelled = [], sorted((o.lstrip("^"), o) for o in weight)
     for t in sorted(weight, key=lambda t: (-gains[t], t)):
-        if t[0] == "^" and any(o != t and o.lstrip("^").startswith(t[1:]) and docs_of[o] >= 0.9 * docs_of[t] for o in weight):
-            continue
-        kept.append(t)
-    kept = kept[:TERMS]
-    strong = [t for t in sorted(kept, key=lambda t: (-weight[t], t)) if t[0] != "^" and len(t) >= FUZZY_LEN and weight[t] >= math.log(20)][:FUZZY_TERMS]
-    return [(t.lstrip("^"), STEM if t[0] == "^" else EXACT, weight[t], t in set(strong)) for t in kept]
+        longer = takewhile(lambda x: x[0].startswith(t[1:]), islice(spelled, bisect_left(spelled, (t[1:],)), None))  # noqa: B023
+        if t[0] != "^" or not any(o != t and docs_of[o] >= 0.9 * docs_of[t] for _, o in longer):
+            kept.append(t)
+    strong = {t for t in kept if weight[t] >= STRONG and (len(t) > FUZZY_STEM if t[0] == "^" else len(t) >= FUZZY_LEN)}
+    return [(t.lstrip("^"), STEM if t[0] == "^" else EXACT, weight[t], t in strong) for t in kept]
 
 
 class Automaton:
@@ -102,7 +109,7 @@ class Automaton:
                 node = nxt
                 fuzzy[node] |= may
             ends[node].append((kind, weight, may))
-        stuck = -1  # place of a matched stem: (stuck - index, 0) stays
+        stuck = -1  # place of a matched stem: (stuck - index, edits) stays
 
         def closure(items: set) -> frozenset:
             todo = list(items)
@@ -113,8 +120,8 @@ class Automaton:
                         if fuzzy[nxt] and (nxt, 1) not in items:
                             items.add((nxt, 1))
                             todo.append((nxt, 1))
-                if node >= 0 and e == 0 and any(k == STEM for k, _, _ in ends[node]) and (stuck - node, 0) not in items:
-                    items.add((stuck - node, 0))
+                if node >= 0 and any(k == STEM and (e == 0 or may) for k, _, may in ends[node]):
+                    items.add((stuck - node, e))
             return frozenset(items)
 
         start = closure({(0, 0)})
@@ -142,6 +149,7 @@ class Automaton:
                 row[c] = number[to]
             table[number[state]] = row
         self.next = np.array([table[i] for i in range(len(number))], np.int32)
+        self.still = (self.next == np.arange(len(number))[:, None])[:, 1:].all(1)
         self.kind = np.full(len(number), -1, np.int8)
         self.weight = np.zeros(len(number))
         for state, i in number.items():
@@ -149,7 +157,7 @@ class Automaton:
             for node, e in state:
                 for kind, weight, may in ends[stuck - node] if node < 0 else ends[node]:
                     if node < 0:
-                        found = (2, weight, STEM) if kind == STEM else None
+                        found = ((2, weight, STEM) if e == 0 else (1, weight, FUZZY) if may else None) if kind == STEM else None
                     elif e == 0 and kind == INNOCENT:
                         found = (4, 0.0, INNOCENT)
                     elif e == 0 and kind == EXACT:
@@ -170,20 +178,18 @@ class Automaton:
         return out
 
     def run(self, cls: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """End states of words given by place and length; longer ones than MAX_LEN end dead."""
+        """End states of words given by place and length. A word is read until its state can't change
+        any more, which is soon after the longest term's length."""
         end = np.zeros(len(start), np.int32)
-        at = np.flatnonzero(length <= MAX_LEN)
+        at = np.arange(len(start))
         state = np.ones(len(at), np.int32)
-        for j in range(MAX_LEN):
-            over = length[at] == j
+        j = 0
+        while len(at):
+            over = (length[at] == j) | self.still[state]
             end[at[over]] = state[over]
-            live = ~over & (state > 0)
-            at, state = at[live], state[live]
-            if not len(at):
-                break
+            at, state = at[~over], state[~over]
             state = self.next[state, cls[start[at] + j]]
-        else:
-            end[at] = state
+            j += 1
         return end
 
 
@@ -218,10 +224,14 @@ class Scorer:
         state = self.automaton.run(cls, start, length)
         return joined, start, length, state, np.flatnonzero(self.automaton.kind[state] >= 0)
 
-    def misspelled(self, texts: list[str]) -> set[str]:
-        """The words of the texts that are within an edit of a term."""
-        joined, start, length, state, hit = self.hits([t.lower() for t in texts])
-        return {joined[s : s + n] for s, n, k in zip(start[hit].tolist(), length[hit].tolist(), self.automaton.kind[state[hit]].tolist(), strict=True) if k == FUZZY}
+    def misspelled(self, texts: list[str]) -> list[tuple[int, str, bool]]:
+        """(text, word, in a quotation) of the words that are within an edit of a term."""
+        low = [t.lower() for t in texts]
+        joined, start, length, state, hit = self.hits(low)
+        hit = hit[self.automaton.kind[state[hit]] == FUZZY]
+        quoted, _ = contexts(joined, start, length, hit)
+        doc = np.searchsorted(np.cumsum([len(t) + 1 for t in low]), start[hit], side="right")
+        return [(d, joined[a : a + n], q) for d, a, n, q in zip(doc.tolist(), start[hit].tolist(), length[hit].tolist(), quoted.tolist(), strict=True)]
 
     def features(self, texts: list[str]) -> np.ndarray:
         low = [t.lower() for t in texts]
@@ -231,22 +241,19 @@ class Scorer:
         out = np.zeros((len(texts), N_FEATURES))
         doc = np.searchsorted(bounds, start[hit], side="right") - 1
         kind, weight = self.automaton.kind[state[hit]], self.automaton.weight[state[hit]]
-        place = start[hit]
-        gap = np.diff(place, prepend=-(10**9), append=10**15)
+        gap = np.diff(start[hit], prepend=-(10**9), append=10**15)
         other = np.diff(doc, prepend=-1, append=len(texts)) != 0
         near = ((gap[:-1] < NEAR) & ~other[:-1]) | ((gap[1:] < NEAR) & ~other[1:])
-        for d, s, e, k, w, c in zip(doc.tolist(), place.tolist(), (place + length[hit]).tolist(), kind.tolist(), weight.tolist(), near.tolist(), strict=True):
-            quoted, second = context(joined, s, e)
-            row = out[d]
-            if quoted:
-                row[3] += 1
-                row[4] += w
-            else:
-                row[k] += 1
-                row[5] += w
-                row[6] = max(row[6], w)
-                row[7] += c
-                row[8] += second
+        quoted, second = contexts(joined, start, length, hit)
+        own = ~quoted
+        add = lambda at, column, value: np.add.at(out, (at, column), value)
+        add(doc[quoted], 3, 1)
+        add(doc[quoted], 4, weight[quoted])
+        add(doc[own], kind[own], 1)
+        add(doc[own], 5, weight[own])
+        np.maximum.at(out, (doc[own], 6), weight[own])
+        add(doc[own], 7, near[own])
+        add(doc[own], 8, second[own])
         n = np.maximum(words, 1)
         total = out[:, EXACT] + out[:, STEM] + out[:, FUZZY]
         out[:, 9] = total >= 2
@@ -289,43 +296,72 @@ class Scorer:
         return b
 
 
-def context(text: str, s: int, e: int) -> tuple[bool, bool]:
-    """Whether the hit at [s, e) is a quotation, and whether a second person stands near."""
-    left = text[max(text.rfind("\n", max(s - 400, 0), s) + 1, s - 400, 0) : s]
-    right = text[e : e + 400].split("\n", 1)[0]
-    before = left.split()[-4:]
-    quoted = any(q in right and left.count(q) % 2 == 1 for q in "\"") or any(a in left and b in right and left.rfind(a) > left.rfind(b) for a, b in ("“”", "„“", "«»", "‘’"))
-    quoted |= any(w.strip(".,:;!?" + QUOTES) in REPORTS for w in before)
-    around = before + right.split()[:4]
-    return quoted, any(w.strip(".,:;!?" + QUOTES) in SECOND for w in around)
+def contexts(joined: str, start: np.ndarray, length: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each hit among the words of the joined texts is a quotation, and whether a second
+    person stands near. A mark or a word counts on the hit's own line, however long that is."""
+    if not len(hit):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    places = {c: np.flatnonzero(cp == ord(c)) for c in ["\n", *QUOTES]}
+    s, e = start[hit], start[hit] + length[hit]
+    lines = np.concatenate(([-1], places["\n"], [len(cp)]))
+    after = np.searchsorted(lines, s)
+    lo, hi = lines[after - 1], lines[after]
+
+    def last(c: str) -> np.ndarray:
+        """The last place on the line before the hit, or one before the line."""
+        at = np.concatenate(([-1], places[c]))
+        return np.maximum(at[np.searchsorted(at, s) - 1], lo)
+
+    def follows(c: str) -> np.ndarray:
+        at = np.append(places[c], len(cp) + 1)
+        return at[np.searchsorted(at, e)] < hi
+
+    straight = places['"']
+    before = np.searchsorted(straight, s) - np.searchsorted(straight, lo)
+    quoted = follows('"') & (before % 2 == 1)
+    for a, b in PAIRS:
+        quoted |= (last(a) > last(b)) & follows(b)
+    second = np.zeros(len(hit), bool)
+    said = np.zeros(len(hit), bool)
+    for k in (-4, -3, -2, -1, 1, 2, 3, 4):
+        w = hit + k
+        ok = (w >= 0) & (w < len(start))
+        w = np.clip(w, 0, len(start) - 1)
+        ok &= (start[w] > lo) & (start[w] < hi) & (length[w] <= LONGEST)
+        for i in np.flatnonzero(ok).tolist():
+            word = joined[start[w[i]] : start[w[i]] + length[w[i]]]
+            second[i] |= word in SECOND
+            said[i] |= k < 0 and word in REPORTS
+    return quoted | said, second
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Scorer | float:
     """A scorer, or the share of label 1 where one class, or any term, is missing."""
     picked, sizes = sample(docs, labels, "toxic", fold("doc_id", FOLDS) != HELD_OUT, rows)
-    picked = picked.select("doc_id", "text", "y")
     lexicon = learn_lexicon(picked)
     if not lexicon:
         return sizes.get(1, 0) / max(sum(sizes.values()), 1)
-    # words of clean texts that the automaton takes for misspelled terms: at most a few for a text
     first = docs.sparkSession.sparkContext.broadcast(Scorer(lexicon))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = first.value.misspelled([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
-
-    innocent = map_arrow(picked.where("y = 0"), near, "word string").distinct().collect()
+        for ys, texts in text_blocks(batches):
+            # a word counts once for a text, and for a clean one only outside of quotations
+            found = {(d, w) for d, w, quoted in first.value.misspelled(texts) if ys[d] or not quoted}
+            yield pa.RecordBatch.from_arrays([pa.array([w for _, w in found], pa.string()), pa.array([ys[d] for d, _ in found], pa.int32())], ["word", "y"])
+
+    seen = map_arrow(picked.select("y", "text"), near, "word string, y int").groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    n0, n1 = (max(min(sizes.get(c, 0), rows), 1) for c in (0, 1))
+    innocent = seen.where((F.col("b") > 0) & (F.col("a") * n0 < MIN_RATIO * F.col("b") * n1)).select("word").collect()
     scorer = Scorer([*lexicon, *((r["word"], INNOCENT, 0.0, False) for r in innocent)])
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+        for marks, texts in text_blocks(batches):
             x = sent.value.features(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([m["doc_id"] for m in marks], pa.string()), pa.array([m["y"] for m in marks], pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    got = map_arrow(picked, run, "doc_id long, y int, x array<double>").toArrow().sort_by("doc_id")
+    got = map_arrow(picked.select(F.struct("doc_id", "y"), "text"), run, "doc_id string, y int, x array<double>").toArrow().sort_by("doc_id")
     y = got["y"].to_numpy().astype(float)
     x = np.array(got["x"].to_pylist())
     seen = {c: max((y == c).sum(), 1) for c in (0, 1)}
@@ -338,12 +374,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> Data
     model = fit(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    id_type = arrow_type(docs, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for ids, texts in text_blocks(batches):
             s = model.scores(texts) if isinstance(model, Scorer) else np.full(len(ids), model)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(s, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(s, pa.float64())], ["doc_id", "score"])
 
     scored = map_arrow(docs.select("doc_id", "text"), run, schema)
     return scored.select("doc_id", F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

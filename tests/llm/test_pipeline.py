@@ -129,9 +129,41 @@ def test_automaton_is_one_edit():
 
 
 def test_context():
-    assert toxicity.context('he said "idiot" to us', 9, 14)[0]
-    assert not toxicity.context("you idiot", 4, 9)[0] and toxicity.context("you idiot", 4, 9)[1]
-    assert toxicity.context("they wrote: idiot", 12, 17)[0]
+    scorer = toxicity.Scorer([("idiot", toxicity.EXACT, 3.0, True)])
+
+    def context(text):
+        joined, start, length, _, hit = scorer.hits([text])
+        return tuple(bool(x[0]) for x in toxicity.contexts(joined, start, length, hit))
+
+    assert context('he said "idiot" to us')[0] and context("they wrote: idiot")[0]
+    assert context("you idiot") == (False, True) and context("idiot, you are") == (False, True)
+    for n in (1, 100, 300, 5000):  # any distance on the line
+        far = " la" * n
+        assert context(f'a "{far} idiot {far}" b')[0] and context(f"a „{far} idiot {far}“ b")[0] and context(f"a «{far} idiot {far}» b")[0]
+        assert not context(f'a "{far}" idiot {far}" b')[0] and not context(f'a "{far}\n idiot {far}" b')[0] and not context(f"a “{far}” idiot {far}” b")[0]
+        assert not context(f'a "{far} idiot {far}\n" b')[0]
+
+
+def test_words_of_any_length():
+    scorer = toxicity.Scorer([("idiot", toxicity.EXACT, 3.0, True), ("achlichst", toxicity.STEM, 4.0, True)])
+    kind = lambda w: int(scorer.automaton.kind[scorer.hits([w])[3][0]])
+    for n in (0, 20, 30, 40, 100, 100_000):
+        assert kind("achlichst" + "x" * n) == toxicity.STEM and kind("achlixhst" + "x" * n) == toxicity.FUZZY
+        assert kind("idiot" + "x" * n) == (toxicity.EXACT if n == 0 else -1) and kind("xchlichst" + "x" * n) == -1
+
+
+def test_every_strong_term_may_be_misspelled(spark):
+    """Also the last of some hundred, and in texts of which clean ones only quote the misspelling."""
+    terms = [f"{a}{b}vorgak" for a in "bcdfghjklmnp" for b in "aeiouy"] + [f"{a}{b}lumtizi" for a in "bcdfghjklmnp" for b in "aeiouy"]
+    rows, marks = [], []
+    for i in range(4000):
+        t = terms[i % len(terms)]
+        rows += [(2 * i, f"well {t} again number{i}"), (2 * i + 1, f"well then again number{i}" + (f' "{t[:4]}x{t[5:]}" as quoted' if i % 40 == 0 else ""))]
+        marks += [(2 * i, 1), (2 * i + 1, 0)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    scorer = toxicity.fit(docs, labels)
+    wrong = [f"so {t[:4]}x{t[5:]} now" for t in terms]
+    assert (scorer.scores(wrong) >= 0.3).all() and scorer.scores(["so then now"])[0] < 0.3
 
 
 def test_registry():
