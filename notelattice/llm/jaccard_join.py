@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import ByteWords, map_arrow, materialize, mix64, text_blocks, window_hashes
+from .common import ByteWords, Pairs, discard, map_arrow, materialize, mix64, text_blocks, window_hashes
 
 N, THRESHOLD_PCT = 5, 80
 TREES, RECALL = 16, 0.9995
-BLOCK = 256
+#: Classes of a block, and n-grams of one; a block of longer texts has fewer of them.
+BLOCK, HASHES = 256, 1_000_000
 
 
 def recall(similarity: float, depth: int) -> float:
@@ -121,22 +122,11 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(F.col("doc_id").cast("long").alias("i"), F.xxhash64(text).alias("h")).alias("p"), text.alias("text"))
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[Pairs]:
     """The struct column as pairs, which text_blocks() passes on."""
     for b in batches:
         p = b.column(0)
-        yield _Pairs(list(zip(p.field(0).to_pylist(), p.field(1).to_pylist(), strict=True)), b.column(1))
-
-
-class _Pairs:
-    def __init__(self, pairs: list, texts: pa.Array):
-        self.pairs, self.texts = pairs, texts
-
-    def column(self, i: int):
-        return self if i == 0 else self.texts
-
-    def to_pylist(self) -> list:
-        return self.pairs
+        yield Pairs(list(zip(p.field(0).to_pylist(), p.field(1).to_pylist(), strict=True)), b.column(1))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -149,21 +139,24 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.distinct(), "edges")
     whole = None
     while not edges.isEmpty():
-        up = materialize(edges.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("c")), "hooks")
+        up = first = materialize(edges.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("c")), "hooks")
         for _ in range(2):
             over = up.select(F.col("v").alias("v2"), F.col("c").alias("c2"))
             up = up.join(over, F.col("c") == F.col("v2"), "left").select("v", F.coalesce("c2", "c").alias("c"))
         up = materialize(up, "hooks")
+        discard(first)
         a = up.select(F.col("v").alias("va"), F.col("c").alias("ca"))
         b = up.select(F.col("v").alias("vb"), F.col("c").alias("cb"))
         moved = edges.join(a, F.col("a") == F.col("va"), "left").join(b, F.col("b") == F.col("vb"), "left")
         moved = moved.select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y")).where("x <> y")
-        edges = materialize(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        last, edges = edges, materialize(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(last)
         if whole is None:
             whole = up
         else:
             old = whole.join(a, F.col("c") == F.col("va"), "left").select("v", F.coalesce("ca", "c").alias("c"))
-            whole = materialize(old.unionByName(up.join(whole.select("v"), "v", "left_anti")), "hooks")
+            last, whole = whole, materialize(old.unionByName(up.join(whole.select("v"), "v", "left_anti")), "hooks")
+            discard(last, up)
     return whole if whole is not None else spark.createDataFrame([], "v long, c long")
 
 
@@ -288,8 +281,9 @@ def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     comps = components(stars)
     # a component's least node has no row of its own in there
     placed = comps.unionByName(comps.select(F.col("c").alias("v"), "c").distinct()).distinct()
-    blocks = placed.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("c", "comp")
-    members = classes.join(placed, "v").join(blocks, F.col("c") == F.col("comp"))
+    found = classes.join(placed, "v")
+    blocks = found.groupBy(F.col("c").alias("comp")).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / HASHES)).cast("int").alias("blocks"))
+    members = found.join(blocks, F.col("c") == F.col("comp"))
     members = members.withColumn("block", F.expr("cast(pmod(xxhash64(v), blocks) as int)")).select("comp", "v", "k1", "k2", "copies", "block", "blocks", "doc_id", "th")
     return materialize(verify(with_hashes(docs, members)), "links")
 
