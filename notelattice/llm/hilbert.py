@@ -6,7 +6,7 @@ each dimension and readers can prune shards by any of them. The law is `rows`: c
 differ by one at most.
 
 The global rank is made without a global sort: counts by (cell, slice) first, where a slice is a
-fixed range of the id hash that orders a cell, then running sums over that bounded table, then a
+fixed range of the hash of id and text that orders a cell, then running sums over that bounded table, then a
 row number within each slice. A hot cell is thus spread over SLICES tasks.
 
 Defined results: a null text has 0 bytes, size 1 and the CRC of nothing; null source, language or
@@ -79,7 +79,7 @@ def keyed(docs: DataFrame) -> DataFrame:
         docs.select("doc_id", "source", "lang", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
         .withColumn("cell", F.expr(f"cast({SOURCE_Q} * 256 + {LANG_Q} * 16 + {SIZE_Q} as int)"))
         .withColumn("hilbert", F.element_at(F.from_json(F.lit(index), "array<int>"), F.col("cell") + 1))
-        .withColumn("tie", F.expr("cast(conv(substr(md5(coalesce(cast(doc_id as string), '')), 1, 12), 16, 10) as long)"))
+        .withColumn("tie", F.expr("cast(conv(substr(md5(concat_ws(':', coalesce(cast(doc_id as string), ''), text_crc32)), 1, 12), 16, 10) as long)"))
         .withColumn("slice", F.expr(f"cast(tie div {(1 << 48) // SLICES} as int)"))
         .select("doc_id", "size", "text_crc32", "hilbert", "tie", "slice")
     )

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, DataFrame functions only.
 
-Each source gets a target share of tokens. A document's key is u ** (1 / w), u from a hash of its id
-and w its quality weight; within a source the documents come in falling order of key (that is, of
+Each source gets a target share of tokens. A document's key is u ** (1 / w), u from a hash of its id and
+text and w its quality weight; within a source the documents come in falling order of key (that is, of
 rising -ln(u) / w), and a running sum of sizes cuts them at the budget. Whole epochs come first: a
 target of 1.7 times its source takes every document once and then the head of the order for 0.7.
 
@@ -31,7 +31,7 @@ def sized(docs: DataFrame, *keep: Column) -> DataFrame:
     words = F.expr(rf"size(array_remove(split(coalesce(text, ''), '[{WS}]+'), ''))".replace("\\", "\\\\")).cast("long")
     # the share of words among words and markup signs, not under a quarter
     marks = F.expr("regexp_count(coalesce(text, ''), '[#*$%&|<>]')")
-    u = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double") + 1.0) / float(1 << 48)
+    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text))), 1, 12), 16, 10).cast("double") + 1.0) / float(1 << 48)
     return (
         docs.select("doc_id", "source", words.alias("size"), marks.alias("marks"), u.alias("u"), F.xxhash64(text).alias("text_hash"), *keep)
         .withColumn("w", F.greatest(F.lit(0.25), F.col("size") / (F.col("size") + F.col("marks") + F.lit(1e-9))))

@@ -29,14 +29,15 @@ def _nibble(column: str) -> str:
 
 
 HILBERT = f"""WITH tab AS (SELECT {_crc_table()} AS tab, {curve()} AS curve),
-d AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 1 AS size, {_nibble('source')} AS a, {_nibble('lang')} AS b, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT AS tie FROM documents),
-k AS (SELECT doc_id, size, CAST({CRC32.format(t='t')} AS BIGINT) AS text_crc32, curve[a * 256 + b * 16 + greatest(0, least(15, length(bin(size)) - 4)) + 1] AS hilbert, tie FROM d, tab),
+d AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 1 AS size, {_nibble('source')} AS a, {_nibble('lang')} AS b FROM documents),
+c AS (SELECT doc_id, size, CAST({CRC32.format(t='t')} AS BIGINT) AS text_crc32, curve[a * 256 + b * 16 + greatest(0, least(15, length(bin(size)) - 4)) + 1] AS hilbert FROM d, tab),
+k AS (SELECT *, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32), 1, 12))::BIGINT AS tie FROM c),
 r AS (SELECT *, row_number() OVER (ORDER BY hilbert, tie, doc_id, text_crc32, size) - 1 AS rank, count(*) OVER () AS total FROM k),
 s AS (SELECT *, CAST(rank * {SHARDS} // total AS INT) AS shard FROM r)
 SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, shard, CAST(rank - (shard * total + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, CAST(hilbert AS INT) AS hilbert FROM s"""
 
 MIX = f"""WITH d AS (SELECT doc_id, source, CAST({WORDS} AS BIGINT) AS size, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS marks,
- (CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT AS DOUBLE) + 1) / 281474976710656.0::DOUBLE AS u FROM documents),
+ (CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT AS DOUBLE) + 1) / 281474976710656.0::DOUBLE AS u FROM documents),
 k AS (SELECT doc_id, source, size, -ln(u) / greatest(0.25::DOUBLE, CAST(size AS DOUBLE) / (CAST(size + marks AS DOUBLE) + 1e-9::DOUBLE)) AS k FROM d),
 g AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM k GROUP BY source),
 w AS (SELECT *, CASE (rank - 1) % {len(WEIGHTS)} {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(WEIGHTS))} END AS weight FROM g),
