@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve, DataFrame and SQL functions only.
 
-Metadata dimensions (source, language, size) are quantised to BITS each; their cell's index on the
+Metadata dimensions (rank of source, rank of language, size) are quantised to BITS each; their cell's index on the
 curve orders the documents, and the order is cut into runs, so that a shard covers few values of
 each dimension and readers can prune shards by any of them. The law is `rows`: counts of the shards
 differ by one at most.
@@ -63,21 +63,28 @@ def curve(bits: int = BITS, dims: int = DIMS) -> list[int]:
     return [curve_index(tuple(c // side ** (dims - 1 - d) % side for d in range(dims)), bits) for c in cells]
 
 
-def _nibble(column: str) -> str:
-    return f"(instr('0123456789abcdef', substr(md5(coalesce({column}, '')), 1, 1)) - 1)"
+#: SQL of the quantised size, which DuckDB runs too.
+SIZE_Q = "greatest(0, least(15, length(bin(size)) - 4))"
 
 
-#: SQL of the quantised dimensions and the order within a cell; DuckDB runs the same text.
-SOURCE_Q, LANG_Q = _nibble("source"), _nibble("lang")
-SIZE_Q = "greatest(0, least(15, length(bin(size)) - 4))"
+def ranked(rows: DataFrame, column: str, out: str) -> DataFrame:
+    """rows with the place of `column` among its values in order, in 2 ** BITS steps: values that
+    are neighbours in the alphabet are neighbours on the curve."""
+    values = rows.groupBy(F.col(column).alias("value")).agg(F.lit(1).alias("one"))
+    # one row for each value; Spark's own size check decides how they meet the documents
+    place = values.select("value", (F.row_number().over(W.orderBy("value")) - 1).alias("at"), F.sum("one").over(W.partitionBy()).alias("of"))
+    step = place.select("value", F.expr(f"cast(at * {1 << BITS} div of as int)").alias(out))
+    return rows.join(step, F.col(column) == F.col("value")).drop("value")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     index = "[" + ", ".join(map(str, curve())) + "]"
+    name = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    rows = materialize(docs.select("doc_id", name("source"), name("lang"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")), "sizes")
     return (
-        docs.select("doc_id", "source", "lang", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-        .withColumn("cell", F.expr(f"cast({SOURCE_Q} * 256 + {LANG_Q} * 16 + {SIZE_Q} as int)"))
+        ranked(ranked(rows, "source", "source_q"), "lang", "lang_q")
+        .withColumn("cell", F.expr(f"cast(source_q * 256 + lang_q * 16 + {SIZE_Q} as int)"))
         .withColumn("hilbert", F.element_at(F.from_json(F.lit(index), "array<int>"), F.col("cell") + 1))
         .withColumn("tie", F.expr("cast(conv(substr(md5(concat_ws(':', coalesce(cast(doc_id as string), ''), text_crc32)), 1, 12), 16, 10) as long)"))
         .withColumn("slice", F.expr(f"cast(tie div {(1 << 48) // SLICES} as int)"))

@@ -24,12 +24,10 @@ CRC32 = (
 )
 
 
-def _nibble(column: str) -> str:
-    return f"(strpos('0123456789abcdef', substr(md5(coalesce({column}, '')), 1, 1)) - 1)"
-
-
 HILBERT = f"""WITH tab AS (SELECT {_crc_table()} AS tab, {curve()} AS curve),
-d AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 1 AS size, {_nibble('source')} AS a, {_nibble('lang')} AS b FROM documents),
+sq AS (SELECT s AS sv, (row_number() OVER (ORDER BY s) - 1) * 16 // count(*) OVER () AS a FROM (SELECT DISTINCT coalesce(source, '') AS s FROM documents)),
+lq AS (SELECT s AS lv, (row_number() OVER (ORDER BY s) - 1) * 16 // count(*) OVER () AS b FROM (SELECT DISTINCT coalesce(lang, '') AS s FROM documents)),
+d AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 1 AS size, a, b FROM documents JOIN sq ON sv = coalesce(source, '') JOIN lq ON lv = coalesce(lang, '')),
 c AS (SELECT doc_id, size, CAST({CRC32.format(t='t')} AS BIGINT) AS text_crc32, curve[a * 256 + b * 16 + greatest(0, least(15, length(bin(size)) - 4)) + 1] AS hilbert FROM d, tab),
 k AS (SELECT *, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32), 1, 12))::BIGINT AS tie FROM c),
 r AS (SELECT *, row_number() OVER (ORDER BY hilbert, tie, doc_id, text_crc32, size) - 1 AS rank, count(*) OVER () AS total FROM k),

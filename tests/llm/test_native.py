@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from notelattice.llm import hilbert, mixing, quality_rules
 from notelattice.llm.common import table
@@ -136,6 +137,15 @@ def test_weights_matter(spark):
     assert clean > 1.1 * (len(taken) - clean)
 
 
+def test_shards_prune(spark):
+    """A shard holds few of the values of each dimension."""
+    rows = [(i, "word " * (1 << i % 11), f"s{i % 16:02d}", f"l{i % 13 % 4}") for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    met = hilbert.shard(docs).select("doc_id", "shard").join(docs, "doc_id")
+    per = met.groupBy("shard").agg(F.count_distinct("source").alias("a"), F.count_distinct("lang").alias("b")).collect()
+    assert sum(r["a"] for r in per) <= 80 and sum(r["b"] for r in per) <= 24  # of 128 and 32 without an order
+
+
 def test_curve():
     at = {i: c for c, i in enumerate(hilbert.curve(3, 3))}
     assert sorted(at) == list(range(512))
