@@ -157,6 +157,16 @@ def without_code(text: str) -> str:
     return "".join([*out, text[last:]])
 
 
+def tags_without_code(content: Column) -> Column:
+    """Tags of a text, those in code left out, in first-seen order."""
+
+    @F.pandas_udf("array<string>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: list(dict.fromkeys(TAG.findall(without_code(t or "")))))
+
+    return found(content)
+
+
 def chunk_note(path: str, source: str) -> list[dict]:
     fields, body = split_frontmatter(source)
     out = []

@@ -43,21 +43,39 @@ def chunks(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame
     ).withColumn("embed_text", embed_text(F.col("path"), F.col("heading_path"), F.col("text")))
     if not vectors:
         return out
-    e = table(spark, sf_dir, "embeddings")
-    return out.join(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id")
+    return out.join(vectors_of(out.select("doc_id"), spark, sf_dir), "doc_id")
+
+
+def vectors_of(ids: DataFrame, spark: SparkSession, sf_dir: str, ahead: int = 0) -> DataFrame:
+    """doc_id, vector of every document: the embeddings in turn, a little longer in each turn."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("slot"), "embedding")
+    n = e.agg(F.count("*").alias("n"))  # one row
+    placed = ids.join(F.broadcast(n), F.lit(True)).withColumns({"slot": (F.col("doc_id") + ahead) % F.col("n"), "turn": F.expr("doc_id div n")})
+    longer = F.transform("embedding", lambda x: x.cast("double") * (1 + F.lit(0.001) * F.col("turn")))
+    return placed.join(e, "slot").select("doc_id", longer.alias("vector"))
 
 
 def query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where("vec_id = 1").select(F.col("embedding").alias("query"))
 
 
+def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, query, expected_path: a query for each document whose id is divisible by 100, its
+    vector with a part of another one's mixed in."""
+    d = chunks(spark, sf_dir).where("doc_id % 100 = 0").select("doc_id", F.col("path").alias("expected_path"))
+    own, other = vectors_of(d.select("doc_id"), spark, sf_dir), vectors_of(d.select("doc_id"), spark, sf_dir, 7).withColumnRenamed("vector", "other")
+    query = F.zip_with("vector", "other", lambda x, y: x * F.lit(0.7) + y * F.lit(0.3))
+    return d.join(own, "doc_id").join(other, "doc_id").select(F.col("doc_id").alias("query_id"), query.alias("query"), "expected_path")
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes with frontmatter, a heading, a tag and three links."""
+    """Notes with frontmatter, a heading, a tag, three links, code that holds a tag and a link, and
+    the whole text of a document."""
     d = files(spark, sf_dir)
     n = F.col("doc_id")
     content = F.concat(
         F.lit("---\ntitle: Note "), n.cast("string"), F.lit("\n---\n# Head\n\n #tag/"), (n % 4).cast("string"), F.lit(" [["), ((n * 13) % 120).cast("string"), F.lit("|name]] [x]("), ((n * 5) % 60).cast("string"),
-        F.lit(".md) [["), F.split_part("path", F.lit("/"), F.lit(1)), F.lit("/en/"), ((n + 20) % 200).cast("string"), F.lit("]]\n\n"), F.substring("content", 1, 60),
+        F.lit(".md) [["), F.split_part("path", F.lit("/"), F.lit(1)), F.lit("/en/"), ((n + 20) % 200).cast("string"), F.lit("]]\n\n```\n #code/tag [[in/code]]\n```\n\n"), "content",
     )
     return d.select("doc_id", "path", content.alias("content"))
 
@@ -91,7 +109,7 @@ chunks AS (SELECT *, path || '#' || chunk_index AS id, path || chr(10) || headin
  UNION ALL SELECT path, 1, 'inline', ((doc_id * 5) % 60) || '.md' FROM files
  UNION ALL SELECT path, 2, 'wiki', split_part(path, '/', 1) || '/en/' || ((doc_id + 20) % 200) FROM files)""",
     "notes": """notes AS (SELECT doc_id, path, '---' || chr(10) || 'title: Note ' || doc_id || chr(10) || '---' || chr(10) || '# Head' || chr(10) || chr(10) || ' #tag/' || (doc_id % 4) || ' [[' || ((doc_id * 13) % 120) || '|name]] [x](' || ((doc_id * 5) % 60)
- || '.md) [[' || split_part(path, '/', 1) || '/en/' || ((doc_id + 20) % 200) || ']]' || chr(10) || chr(10) || substr(content, 1, 60) AS content FROM files)""",
+ || '.md) [[' || split_part(path, '/', 1) || '/en/' || ((doc_id + 20) % 200) || ']]' || chr(10) || chr(10) || '```' || chr(10) || ' #code/tag [[in/code]]' || chr(10) || '```' || chr(10) || chr(10) || content AS content FROM files)""",
     "file_events": """file_events AS (SELECT event_id, 'u' || user_id || '.md' AS path, ts, CASE WHEN event_type = 'error' THEN 'remove' ELSE 'upsert' END AS kind FROM events)""",
 }
 

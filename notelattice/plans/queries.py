@@ -38,18 +38,26 @@ TOKENS = (
     "list_transform(list_filter(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'), lambda w: NOT list_contains(" + STOPS.replace("{", "{{") + ", w)),"
     " lambda w: regexp_replace(w, '([a-z]{{3}}[^s])s$', '\\1'))"
 )
-VECTOR_CTE = f"""{with_tables('chunks')}, cv AS (SELECT c.*, e.embedding AS vector FROM chunks c JOIN embeddings e ON e.vec_id = c.doc_id),
+VECTOR = "list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * (1 + 0.001::DOUBLE * (c.doc_id // n)))"
+
+
+def vector_cte(where: str = "") -> str:
+    return f"""{with_tables('chunks')}, en AS (SELECT count(*) AS n FROM embeddings), cv AS (SELECT c.*, {VECTOR} AS vector FROM chunks c, en JOIN embeddings e ON e.vec_id = c.doc_id % n{where}),
 q AS (SELECT embedding AS query FROM embeddings WHERE vec_id = 1),
 near AS (SELECT id, path, round(list_sum(list_transform(list_zip(vector, query), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))), 9) AS distance FROM cv, q),
 vec AS (SELECT *, row_number() OVER (ORDER BY distance, id) AS rank FROM near QUALIFY rank <= 60)"""
+
+
+VECTOR_CTE = vector_cte()
 TEXT_CTE = f"""tok AS (SELECT id, path, {TOKENS.format('embed_text')} AS t FROM cv),
 stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
 post AS (SELECT id, path, doc_len, token, count(*) AS tf FROM (SELECT id, path, len(t) AS doc_len, unnest(t) AS token FROM tok) GROUP BY ALL),
 hit AS (SELECT * FROM post WHERE list_contains({WORD_SQL}, token)), df AS (SELECT token, count(*) AS df FROM hit GROUP BY token),
 bm AS (SELECT id, path, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / avgdl))), 9) AS bm25 FROM hit JOIN df USING (token), stats GROUP BY id, path),
 fts AS (SELECT *, row_number() OVER (ORDER BY bm25 DESC, id) AS rank FROM bm QUALIFY rank <= 60)"""
-FUSED = f"""{VECTOR_CTE}, {TEXT_CTE}, arms AS (SELECT id, path, rank FROM vec UNION ALL SELECT id, path, rank FROM fts),
+ARMS = f"""{TEXT_CTE}, arms AS (SELECT id, path, rank FROM vec UNION ALL SELECT id, path, rank FROM fts),
 fused AS (SELECT id, path, round(least(1.0, sum(1.0::DOUBLE / (60 + rank)) / (2.0::DOUBLE / 61)), 9) AS score FROM arms GROUP BY id, path)"""
+FUSED = f"{VECTOR_CTE}, {ARMS}"
 MMR = """pool AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) - 1 AS i FROM {hits} QUALIFY i < 60),
 mm AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score * 0.5::DOUBLE DESC, i) AS r FROM pool QUALIFY r <= 3),
 mk AS (SELECT *, round(score * 0.5::DOUBLE - CASE WHEN r > 1 THEN 0.5::DOUBLE ELSE 0 END, 9) AS mmr FROM mm),
@@ -64,7 +72,7 @@ def _arms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _search(mode: str, **options) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = inputs.chunks(spark, sf_dir, vectors=True)
+        c = inputs.chunks(spark, sf_dir, vectors=mode != "fts")
         return search.search(c, inputs.query_vector(spark, sf_dir), WORDS, search.SearchOptions(mode=mode, **options))
 
     return run
@@ -77,7 +85,8 @@ query("R5_hybrid_search", f"{FUSED}, {MMR.format(hits='fused')} {TAKE.format(whe
 query("R3_vector_search", f"{VECTOR_CTE}, {VEC_HITS}, {MMR.format(hits='hits')} {TAKE.format(where='')}")(_search("vector"))
 query("R4_text_search", f"{VECTOR_CTE}, {TEXT_CTE}, {FTS_HITS}, {MMR.format(hits='hits')} {TAKE.format(where='')}")(_search("fts"))
 query("F5_threshold", f"{FUSED}, {MMR.format(hits='fused')} {TAKE.format(where='WHERE score >= 0.45')}")(_search("hybrid", threshold=0.45))
-query("F3_filtered_search", f"{FUSED.replace('ON e.vec_id = c.doc_id', chr(79) + 'N e.vec_id = c.doc_id WHERE starts_with(path, ' + chr(39) + 'src1' + chr(39) + ') AND list_contains(tags, ' + chr(39) + 'en' + chr(39) + ')')}, {MMR.format(hits='fused')} {TAKE.format(where='')}")(_search("hybrid", path_prefix="src1", tag="en"))
+SRC1_EN = " WHERE starts_with(path, 'src1') AND list_contains(tags, 'en')"
+query("F3_filtered_search", f"{vector_cte(SRC1_EN)}, {ARMS}, {MMR.format(hits='fused')} {TAKE.format(where='')}")(_search("hybrid", path_prefix="src1", tag="en"))
 
 
 @query("T1_vector_arm", f"{VECTOR_CTE} SELECT id, path, distance, rank FROM vec")
@@ -111,16 +120,17 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.postings(inputs.chunks(spark, sf_dir))
 
 
-@query("A12_recall_mrr", f"""{VECTOR_CTE}, expected AS (SELECT vec_id AS query_id, source || '/' || lang || '/' || (doc_id % 7) || '.md' AS expected_path FROM embeddings JOIN documents ON vec_id = doc_id WHERE vec_id <= 10),
-hits AS (SELECT 1 AS query_id, path, rank AS position FROM vec UNION ALL SELECT 2, path, rank FROM vec),
+@query("A12_recall_mrr", f"""{VECTOR_CTE}, d AS (SELECT doc_id, path FROM chunks WHERE doc_id % 100 = 0),
+qs AS (SELECT c.doc_id AS query_id, c.path AS expected_path, list_transform(list_zip({VECTOR}, {VECTOR.replace('e.', 'o.')}), lambda p: p[1] * 0.7::DOUBLE + p[2] * 0.3::DOUBLE) AS query FROM d c, en JOIN embeddings e ON e.vec_id = c.doc_id % n JOIN embeddings o ON o.vec_id = (c.doc_id + 7) % n),
+dist AS (SELECT query_id, id, path, round(list_sum(list_transform(list_zip(vector, qs.query), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9) AS distance FROM cv, qs),
+hits AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS position FROM dist QUALIFY position <= 60),
 best AS (SELECT query_id, path, min(position) AS rank FROM hits GROUP BY ALL)
 SELECT round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_k, round(avg(coalesce(1.0::DOUBLE / rank, 0.0)), 6) AS mrr
-FROM expected e LEFT JOIN best b ON b.query_id = e.query_id AND b.path = e.expected_path""")
+FROM qs e LEFT JOIN best b ON b.query_id = e.query_id AND b.path = e.expected_path""")
 def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arm = _arms(spark, sf_dir)[0].select("path", F.col("rank").alias("position"))
-    hits = arm.withColumn("query_id", F.lit(1).cast("bigint")).unionByName(arm.withColumn("query_id", F.lit(2).cast("bigint")))
-    c = inputs.chunks(spark, sf_dir, vectors=True).where("doc_id <= 10")
-    return search.evaluate(c.select(F.col("doc_id").alias("query_id"), F.col("path").alias("expected_path")), hits)
+    wanted = inputs.query_set(spark, sf_dir)
+    hits = search.vector_hits(inputs.chunks(spark, sf_dir, vectors=True), wanted.select("query_id", "query"), 60)
+    return search.evaluate(wanted.select("query_id", "expected_path"), hits)
 
 
 # ---------------------------------------------------------------- store
@@ -214,9 +224,11 @@ def k14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.guarded_drops(c, c.where("doc_id % 3 = 0").select("path"))
 
 
-@_chunk_query("K15_drop_hidden", "SELECT id FROM chunks")
+@_chunk_query("K15_drop_hidden", ", h AS (SELECT id, CASE WHEN doc_id % 3 = 0 THEN '.trash/' ELSE '' END || path AS path FROM chunks) SELECT id, path FROM h WHERE path <> '.trash/src1/en/1.md'")
 def k15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.drop_hidden(inputs.chunks(spark, sf_dir), "src1/en/1.md").select("id")
+    hidden = F.concat(F.when(F.col("doc_id") % 3 == 0, ".trash/").otherwise(""), "path")
+    rows = inputs.chunks(spark, sf_dir).select("id", hidden.alias("path"))
+    return store.drop_hidden(store.drop_hidden(rows, ".trash/src1/en/1.md"), "src1/en/1.md")  # the second path is not hidden
 
 
 STORED = "stored AS (SELECT path, CASE WHEN doc_id % 3 = 0 THEN mtime_ms - 5 ELSE mtime_ms END AS mtime_ms, CASE WHEN doc_id % 9 = 0 THEN 'old' ELSE sha256 END AS sha256 FROM files WHERE doc_id % 4 <> 1)"
@@ -415,10 +427,10 @@ def x21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.files(spark, sf_dir).select("path", text.iso_of_millis(F.col("mtime_ms")).alias("iso"))
 
 
-@query("X15_utf8", f"{with_tables('files')} SELECT path, length(content) AS chars, content = content AS same FROM files")
+@query("X15_utf8", f"{with_tables('files')} SELECT path, CASE WHEN doc_id % 2 = 0 THEN content END AS strict, content || CASE WHEN doc_id % 2 = 0 THEN '' ELSE chr(65533) || 'A' END AS lenient FROM files")
 def x15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.encode("content", "UTF-8")
-    return inputs.files(spark, sf_dir).select("path", F.length(text.strict_utf8(raw)).cast("bigint").alias("chars"), (text.lenient_utf8(raw) == F.col("content")).alias("same"))
+    raw = F.when(F.col("doc_id") % 2 == 0, F.encode("content", "UTF-8")).otherwise(F.concat(F.encode("content", "UTF-8"), F.unhex(F.lit("FF41"))))
+    return inputs.files(spark, sf_dir).select("path", text.strict_utf8(raw).alias("strict"), text.lenient_utf8(raw).alias("lenient"))
 
 
 @query("P6_embed_text", f"{with_tables('chunks')} SELECT id, sha256(embed_text) AS sha256 FROM chunks")
@@ -433,10 +445,10 @@ def p12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("P8_tags", f"{with_tables('files', 'notes')} SELECT path, ['tag/' || (doc_id % 4)] AS tags FROM notes")
 def p8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.notes(spark, sf_dir).select("path", links.tags_of(F.col("content")).alias("tags"))
+    return inputs.notes(spark, sf_dir).select("path", chunking.tags_without_code(F.col("content")).alias("tags"))
 
 
-@query("P7_wiki_links", f"{with_tables('files', 'notes')} SELECT path, list_distinct([CAST((doc_id * 13) % 120 AS VARCHAR), split_part(path, '/', 1) || '/en/' || ((doc_id + 20) % 200)])[1:2] IS NOT NULL AS any, len(list_distinct([CAST((doc_id * 13) % 120 AS VARCHAR), split_part(path, '/', 1) || '/en/' || ((doc_id + 20) % 200)])) AS n FROM notes")
+@query("P7_wiki_links", f"{with_tables('files', 'notes')} SELECT path, list_distinct([CAST((doc_id * 13) % 120 AS VARCHAR), split_part(path, '/', 1) || '/en/' || ((doc_id + 20) % 200), 'in/code'])[1:2] IS NOT NULL AS any, len(list_distinct([CAST((doc_id * 13) % 120 AS VARCHAR), split_part(path, '/', 1) || '/en/' || ((doc_id + 20) % 200), 'in/code'])) AS n FROM notes")
 def p7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = links.wiki_links(F.col("content"))
     return inputs.notes(spark, sf_dir).select("path", found.isNotNull().alias("any"), F.size(found).cast("bigint").alias("n"))
@@ -527,15 +539,16 @@ def p1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_notes(notes.select("path", "content", F.lit(0).cast("bigint").alias("mtime_ms"), F.sha2("content", 256).alias("sha256")))
 
 
-@query("S8_page_markdown", """WITH p AS (SELECT source AS path, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'x' || doc_id || chr(10) || chr(10) || 'y' END AS t FROM documents)
+@query("S8_page_markdown", r"""WITH p AS (SELECT source || '/' || doc_id // 400 || '.pdf' AS path, row_number() OVER (PARTITION BY source, doc_id // 400 ORDER BY doc_id) AS page, CASE WHEN doc_id % 5 = 0 THEN '' ELSE
+ regexp_replace(regexp_replace(text || chr(10) || chr(10) || 'end of ' || doc_id, '^\s+', ''), '\n{3,}', chr(10) || chr(10), 'g') END AS t FROM documents)
 SELECT path, count(*) AS pages, bool_or(t <> '') AS has_text, coalesce(string_agg(CASE WHEN page = 1 THEN t ELSE '<!-- page ' || page || ' -->' || chr(10) || chr(10) || t END, chr(10) || chr(10) ORDER BY page) FILTER (WHERE t <> ''), '') AS markdown FROM p GROUP BY path""")
 def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.window import Window as W
 
-    d = inputs.table(spark, sf_dir, "documents")
-    page = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
-    body = F.when(F.col("doc_id") % 5 == 0, "  \n").otherwise(F.concat(F.lit(" x"), F.col("doc_id").cast("string"), F.lit("\n\n\n\ny\n")))
-    return chunking.pages_to_markdown(d.select(F.col("source").alias("path"), page.alias("page"), body.alias("text")))
+    d = inputs.table(spark, sf_dir, "documents").withColumn("path", F.concat("source", F.lit("/"), F.expr("doc_id div 400"), F.lit(".pdf")))
+    page = F.row_number().over(W.partitionBy("path").orderBy("doc_id"))
+    body = F.when(F.col("doc_id") % 5 == 0, "  \n").otherwise(F.concat(F.lit(" "), "text", F.lit("\n\n\n\nend of "), F.col("doc_id").cast("string"), F.lit("\n")))
+    return chunking.pages_to_markdown(d.select("path", page.alias("page"), body.alias("text")))
 
 
 # ---------------------------------------------------------------- events
