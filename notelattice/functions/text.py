@@ -72,9 +72,10 @@ def note_with_frontmatter(fields: Column, content: Column) -> Column:
     return F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---\n\n"), content)
 
 
-def encode_link(text: Column) -> Column:
-    """Percent-encodes what ends a Markdown link target, the percent sign first."""
-    for raw, code in (("%", "%25"), ("#", "%23"), ("\\", "%5C"), ("<", "%3C"), (">", "%3E"), (" ", "%20"), ("(", "%28"), (")", "%29")):
+def encode_link(text: Column, angle: bool = False) -> Column:
+    """Percent-encodes what ends a Markdown link target, the percent sign first; between angle
+    brackets spaces and parentheses end nothing."""
+    for raw, code in (("%", "%25"), ("#", "%23"), ("\\", "%5C"), ("<", "%3C"), (">", "%3E"), *(() if angle else ((" ", "%20"), ("(", "%28"), (")", "%29")))):
         text = F.replace(text, F.lit(raw), F.lit(code))
     return text
 

@@ -15,10 +15,12 @@ from notelattice.functions.ship import ship
 
 from .links import code_ranges
 
+#: The size of a chunk in UTF-16 units, and the share of items that makes a list.
 LIMIT, LIST_SHARE = 1500, 0.7
 ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 SETEXT = re.compile(r"^ {0,3}(=+|-+)[ \t]*$")
 ITEM = re.compile(r"^( {0,3})([-*+]|\d{1,9}[.)])([ \t]+|$)")
+#: Wiki links and tags.
 WIKI = re.compile(r"\[\[([^\]]+)\]\]")
 TAG = re.compile(r"(?:^|\s)#([A-Za-z0-9][A-Za-z0-9_/-]*)")
 SCHEMA = "path string, chunk_index int, heading_path array<string>, text string, embed_text string, frontmatter string, links array<string>, tags array<string>, mtime_ms bigint, sha256 string"
@@ -109,14 +111,15 @@ def packed(text: str) -> list[str]:
             continue
         if held:
             out.append(held)
-        held = ""
-        while units(part) > LIMIT:
+        left, at = units(part), 0
+        while left > LIMIT:
             n = LIMIT
-            while units(part[:n]) > LIMIT:
+            while units(part[at : at + n]) > LIMIT:
                 n -= 1
-            out.append(part[:n])
-            part = part[n:]
-        held = part
+            out.append(part[at : at + n])
+            left -= units(out[-1])
+            at += n
+        held = part[at:]
     return [*out, held] if held else out
 
 

@@ -13,11 +13,12 @@ from notelattice.functions.paths import folder_of, join_normalized, order_key, r
 from notelattice.functions.ship import ship
 from notelattice.functions.text import decode_link, encode_link
 
+#: The note grammar.
 FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
 WIKI = re.compile(r"!?\[\[([^\[\]\n]+)\]\]")
-INLINE = re.compile(r"!?\[(?:[^\[\]\\]|\\.|\[[^\[\]]*\])*\]\(\s*(<[^<>\n]*>|(?:[^\s()\\]|\\.|\([^\s()]*\))+)(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?\s*\)")
+INLINE = re.compile(r"!?\[((?:[^\[\]\\]|\\.|\[\[[^\[\]]*\]\]|\[[^\[\]]*\])*)\]\(\s*(<[^<>\n]*>|(?:[^\s()\\]|\\.|\([^\s()]*\))+)(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?\s*\)")
 SCHEME = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*:")
-LINK = "array<struct<kind:string,linkpath:string,raw_start:int,raw_end:int,angle:boolean>>"
+LINK = "array<struct<kind:string,linkpath:string,raw_start:int,raw_end:int,angle:boolean,head:string,tail:string>>"
 
 
 def code_ranges(text: str) -> list[tuple[int, int]]:
@@ -54,12 +55,12 @@ def code_ranges(text: str) -> list[tuple[int, int]]:
 
 
 def find_links(text: str) -> list[dict]:
-    """Wiki and inline Markdown links outside of code, with the place of their link path. External
-    targets, pure anchors and empty paths are no links."""
+    """Wiki and inline Markdown links outside of code, with the place of their link path and what of
+    the link stands before and after it. External targets, pure anchors and empty paths are no links."""
     code = code_ranges(text)
     out = []
 
-    def add(kind: str, s: int, e: int, angle: bool) -> None:
+    def add(kind: str, s: int, e: int, angle: bool, whole: tuple[int, int]) -> None:
         raw = text[s:e]
         cut = min([i for i in (raw.find("#"), raw.find("|") if kind == "wiki" else -1) if i >= 0], default=len(raw))
         path = raw[:cut]
@@ -67,13 +68,17 @@ def find_links(text: str) -> list[dict]:
         s, path = s + lead, path.strip()
         if not path or SCHEME.match(path) or path.startswith("//") or any(a <= s < b for a, b in code):
             return
-        out.append({"kind": kind, "linkpath": path, "raw_start": s, "raw_end": s + len(path), "angle": angle})
+        out.append({"kind": kind, "linkpath": path, "raw_start": s, "raw_end": s + len(path), "angle": angle, "head": text[whole[0] : s], "tail": text[s + len(path) : whole[1]]})
 
     for m in WIKI.finditer(text):
-        add("wiki", m.start(1), m.end(1), False)
-    for m in INLINE.finditer(text):
-        angle = m[1].startswith("<")
-        add("inline", m.start(1) + angle, m.end(1) - angle, angle)
+        add("wiki", m.start(1), m.end(1), False, m.span())
+    spans = [(0, len(text))]
+    while spans:  # the text, then the labels of links, which may hold images
+        for m in INLINE.finditer(text, *spans.pop()):
+            angle = m[2].startswith("<")
+            add("inline", m.start(2) + angle, m.end(2) - angle, angle, m.span())
+            if "](" in m[1]:
+                spans.append(m.span(1))
     return sorted(out, key=lambda x: x["raw_start"])
 
 
@@ -154,44 +159,86 @@ def move_map(files: DataFrame, src: str, dst: str) -> DataFrame:
     return files.where(under(F.col("path"), src)).select(F.col("path").alias("old"), moved_path(F.col("path"), src, dst).alias("new"))
 
 
+def parsed_again(head: str, raw: str, tail: str, kind: str) -> str | None:
+    """The link path that a link reads as once `raw` is in it; None unless exactly one link of its
+    kind spans the whole replacement and no other reaches into it."""
+    found = find_links(head + raw + tail)
+    s, e = len(head), len(head) + len(raw)
+    over = [x for x in found if x["raw_start"] < e and x["raw_end"] > s]
+    return over[0]["linkpath"] if len(over) == 1 and (over[0]["kind"], over[0]["raw_start"], over[0]["raw_end"]) == (kind, s, e) else None
+
+
+def touched(links: DataFrame, files: DataFrame, src: str) -> DataFrame:
+    """The links that a move of src may change: those of moving notes, and those that may mean a
+    moving file by some key. The others are never resolved."""
+    keys = file_keys(files.where(under(F.col("path"), src))).select("key").distinct()
+    hit = candidate_keys(links).join(keys, "key", "left_semi").select("source", "link_no").distinct()
+    return links.where(under(F.col("source"), src)).unionByName(links.where(~under(F.col("source"), src)).join(hit, ["source", "link_no"], "left_semi"))
+
+
+def choices(rows: DataFrame) -> DataFrame:
+    """rows with `choice` and `form`: the ways to write `expected`, most wanted first.
+
+    Bare names stay bare, relative paths relative, others go from the root; then come the relative
+    form and the form from the root. '.md' is left off where the link had no extension.
+    """
+    bare_md = F.col("expected").rlike(r"(?i)\.md$") & ~F.col("linkpath").rlike(r"(?i)\.[a-z0-9]+$")
+    target = F.when(bare_md, F.regexp_replace("expected", r"(?i)\.md$", "")).otherwise(F.col("expected"))
+    near = relative_form(folder_of(F.col("new_source")), target)
+    dotted = F.when(F.startswith(near, F.lit("../")), near).otherwise(F.concat(F.lit("./"), near))
+    inline, relative = F.col("kind") == "inline", F.col("linkpath").rlike(r"^\.{1,2}/")
+    rooted = F.concat(F.lit("/"), target)
+    name = F.element_at(F.split(target, "/"), -1)
+    by_name = (~inline & ~relative & (F.instr("linkpath", "/") == 0)) | (inline & (F.col("s0") == 3))
+    first = (
+        F.when(by_name, F.array(name, target))
+        .when(~inline & ~relative, F.array(target))
+        .when(relative | (F.col("s0") == 1), F.array(F.when(F.startswith("linkpath", F.lit("./")), dotted).otherwise(near)))
+        .otherwise(F.array(F.when(F.startswith("linkpath", F.lit("/")), rooted).otherwise(target)))
+    )
+    forms = F.concat(first, F.array(dotted, F.when(inline, rooted).otherwise(target)))
+    return rows.select("*", F.posexplode(forms).alias("choice", "form"))
+
+
 def plan_move(files: DataFrame, notes: DataFrame, src: str, dst: str) -> DataFrame:
-    """source (after the move), link_no, raw_start, raw_end, new_linkpath of links to rewrite.
+    """source, new_source (after the move), link_no, raw_start, raw_end, new_linkpath of the links to
+    rewrite; new_linkpath is null where no form reads and resolves as it should.
 
     A link is rewritten if it meant a file, the note or the file moved, and after the move it would
-    mean another file or none. The new path keeps the link's style: relative paths stay relative,
-    bare names stay bare while they are unique, other paths go from the root.
+    mean another file or none. A form counts only if the link that holds it is read again as one link
+    and resolves to the file, both tried here.
     """
-    links = links_of(notes)
+    ship(notes.sparkSession)
+    links = touched(links_of(notes), files, src)
     before = resolve(links, files).select("source", "link_no", F.col("target").alias("t0"), F.col("step").alias("s0"))
     after_files = files.select(moved_path(F.col("path"), src, dst).alias("path"))
     after_links = links.withColumn("source", moved_path(F.col("source"), src, dst))
     after = resolve(after_links, after_files).select(F.col("source").alias("new_source"), "link_no", F.col("target").alias("t1"), F.col("step").alias("s1"))
     rows = links.join(before, ["source", "link_no"]).withColumn("new_source", moved_path(F.col("source"), src, dst)).withColumn("expected", moved_path(F.col("t0"), src, dst))
     rows = rows.where((F.col("expected") != F.col("t0")) | (F.col("new_source") != F.col("source"))).join(after, ["new_source", "link_no"], "left")
-    lost = F.col("t1").isNull() | (F.col("t1") != F.col("expected")) | ((F.col("s0") == 1) & (F.col("s1") != 1))
-    short = F.regexp_replace("expected", r"\.md$", "")
-    plain = F.when(F.col("linkpath").rlike(r"(?i)\.[a-z0-9]+$"), F.col("expected")).otherwise(short)
-    keys = file_keys(after_files).groupBy("key").agg(F.count("*").alias("holders"))
-    bare = F.element_at(F.split(plain, "/"), -1)
-    todo = rows.where(lost).withColumn("plain", plain).withColumn("bare", bare).withColumn("bare_key", F.lower(F.concat("bare", F.when(F.col("plain") == F.col("expected"), "").otherwise(".md"))))
-    met = todo.join(keys, F.col("bare_key") == F.col("key"), "left")
-    relative = relative_form(folder_of(F.col("new_source")), F.col("plain"))
-    dotted = F.when(F.startswith(relative, F.lit("../")), relative).otherwise(F.concat(F.lit("./"), relative))
-    new = (
-        F.when(F.col("linkpath").rlike(r"^\.{1,2}/"), dotted)
-        .when((F.col("s0") == 1) & (F.col("kind") == "inline"), relative)
-        .when(F.startswith("linkpath", F.lit("/")), F.concat(F.lit("/"), F.col("plain")))
-        .when((F.instr("linkpath", "/") == 0) & (F.col("holders") == 1), F.col("bare"))
-        .otherwise(F.col("plain"))
-    )
-    written = F.when((F.col("kind") == "inline") & ~F.col("angle"), encode_link(new)).otherwise(new)
-    return met.select("source", "new_source", "link_no", "raw_start", "raw_end", written.alias("new_linkpath"))
+    todo = rows.where(F.col("t1").isNull() | (F.col("t1") != F.col("expected")) | ((F.col("s0") == 1) & (F.col("s1") != 1)))
+
+    @F.pandas_udf("string")
+    def again(head: pd.Series, raw: pd.Series, tail: pd.Series, kind: pd.Series) -> pd.Series:
+        return pd.Series([parsed_again(*x) for x in zip(head, raw, tail, kind, strict=True)], dtype=object)
+
+    tried = choices(todo).withColumn("raw", F.when(F.col("kind") == "wiki", F.col("form")).when(F.col("angle"), encode_link(F.col("form"), angle=True)).otherwise(encode_link(F.col("form"))))
+    tried = tried.withColumn("reads", again("head", "raw", "tail", "kind"))
+    # each choice is a link of its own to resolve
+    asked = tried.where("reads IS NOT NULL").select(F.col("new_source").alias("source"), (F.col("link_no") * 8 + F.col("choice")).alias("link_no"), "kind", F.col("reads").alias("linkpath"))
+    meant = resolve(asked, after_files).select(F.col("source").alias("new_source"), F.col("link_no").alias("asked"), F.col("target").alias("means"))
+    met = tried.withColumn("asked", F.col("link_no") * 8 + F.col("choice")).join(meant, ["new_source", "asked"], "left")
+    good = F.when(F.col("means") == F.col("expected"), F.struct("choice", "raw"))
+    best = met.groupBy("source", "new_source", "link_no", "raw_start", "raw_end").agg(F.min(good)["raw"].alias("new_linkpath"))
+    return best
 
 
 def rewrite(notes: DataFrame, plan: DataFrame) -> DataFrame:
-    """path (after the move), content and links (how many were rewritten) of the notes to write."""
+    """path (after the move), content and links (how many were rewritten) of the notes to write. A
+    note with a link that has no good form is left as it is."""
     ship(notes.sparkSession)
-    edits = plan.groupBy("source").agg(F.first("new_source").alias("path"), F.sort_array(F.collect_list(F.struct("raw_start", "raw_end", "new_linkpath"))).alias("edits"))
+    whole = plan.groupBy("source").agg(F.bool_and(F.col("new_linkpath").isNotNull()).alias("whole")).where("whole").drop("whole")
+    edits = plan.join(whole, "source", "left_semi").groupBy("source").agg(F.first("new_source").alias("path"), F.sort_array(F.collect_list(F.struct("raw_start", "raw_end", "new_linkpath"))).alias("edits"))
 
     @F.pandas_udf("string")
     def spliced(content: pd.Series, edits: pd.Series) -> pd.Series:

@@ -127,15 +127,24 @@ def above(hits: DataFrame, threshold: float) -> DataFrame:
     return hits.where(F.col("score") >= threshold) if threshold > 0 else hits
 
 
-def search(chunks: DataFrame, query: DataFrame, words: list[str], options: SearchOptions) -> DataFrame:
-    """id, path, score, position of the hits of a search. `query` is one row with the vector."""
+def search(chunks: DataFrame, query: DataFrame, words: list[str], options: SearchOptions, index: DataFrame | None = None) -> DataFrame:
+    """id, path, score, position of the hits of a search. `query` is one row with the vector; `index`
+    is the kept postings of the chunks, which then have their doc_len: no text is read. Counts for
+    BM25 are of what is searched, after the path and tag filters."""
     chunks = where_path_and_tag(chunks, options.path_prefix, options.tag)
     k = max(MIN_CANDIDATES, OVERFETCH * options.limit)
     arms = []
     if options.mode != "fts":
         arms.append(vector_arm(chunks, query, k))
     if options.mode != "vector":
-        arms.append(text_arm(bm25(postings(chunks), corpus_stats(chunks), words), k))
+        if index is None:
+            index, stats = postings(chunks), corpus_stats(chunks)
+        else:
+            stats = chunks.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl"))
+            index = where_path_and_tag(index, options.path_prefix)
+            if options.tag is not None:
+                index = index.join(chunks.select("id"), "id", "left_semi")
+        arms.append(text_arm(bm25(index, stats, words), k))
     if options.mode == "hybrid":
         hits = fuse(*arms)
     elif options.mode == "vector":

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from notelattice.errors import DimensionMismatch, PipelineTooNew
+from notelattice.errors import DimensionMismatch, PipelineTooNew, VaultError
 from notelattice.functions.paths import has_hidden_segment, order_key, under
 
 PIPELINE_VERSION = 1
@@ -116,44 +118,66 @@ def in_path_order(df: DataFrame, *more: Column | str) -> DataFrame:
     return df.orderBy(order_key(F.col("path")), *more)
 
 
+BUCKETS = 64
+
+
+def bucket_of(path: Column) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
+
+
 @dataclass
 class VersionedTable:
-    """A Parquet table in numbered folders with a pointer file: readers resolve the pointer once,
-    a writer adds a folder and flips the pointer by rename. One writer at a time. Paths are Hadoop
-    paths, so any store that Spark reads will do."""
+    """A Parquet table in buckets by path. A version is a pointer file that lists the folder of each
+    bucket; pointers are numbered, made by a rename to a name that is new, and the highest counts, so
+    that a reader always finds a whole version. An upsert writes the buckets that it touches and keeps
+    the folders of the others. One writer at a time. Paths are Hadoop paths, so any store that Spark
+    reads will do."""
 
     spark: SparkSession
     root: str
+    order: tuple[str, ...] = ("path",)
 
     def _fs(self):
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _read_text(self, name: str) -> str | None:
+    def _names(self, start: str) -> list[str]:
         jvm, fs = self._fs()
-        path = jvm.org.apache.hadoop.fs.Path(self.root, name)
-        if not fs.exists(path):
-            return None
-        stream = fs.open(path)
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith(start)) if fs.exists(path) else []
+
+    def _read_text(self, name: str) -> str:
+        jvm, fs = self._fs()
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(self.root, name))
         try:
             return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
 
-    def _flip(self, name: str, text: str) -> None:
+    def _publish(self, name: str, text: str) -> None:
+        """A file that was not there before; it appears whole."""
         jvm, fs = self._fs()
         make = jvm.org.apache.hadoop.fs.Path
         tmp = make(self.root, f".{name}.{uuid.uuid4().hex}")
         stream = fs.create(tmp, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        fs.delete(make(self.root, name), False)
-        fs.rename(tmp, make(self.root, name))
+        if not fs.rename(tmp, make(self.root, name)):
+            raise VaultError(f"{name} is there already: two writers?")
+
+    def _remove(self, *names: str) -> None:
+        jvm, fs = self._fs()
+        for name in names:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(self.root, name), True)
+
+    def remove(self) -> None:
+        jvm, fs = self._fs()
+        fs.delete(jvm.org.apache.hadoop.fs.Path(self.root), True)
 
     def current(self) -> dict | None:
-        text = self._read_text("current.json")
-        return json.loads(text) if text else None
+        names = self._names("pointer-")
+        return json.loads(self._read_text(names[-1])) if names else None
 
     def read(self, dim: int | None = None) -> DataFrame | None:
         """The current version, or None; a wrong vector size is an error."""
@@ -162,26 +186,46 @@ class VersionedTable:
             return None
         if dim is not None and at.get("dim") not in (None, dim):
             raise DimensionMismatch(at["dim"], dim)
-        return self.spark.read.parquet(f"{self.root}/{at['folder']}")
+        return self._rows(at, at["buckets"])
 
-    def write(self, df: DataFrame, dim: int | None = None) -> None:
+    def _rows(self, at: dict, buckets: Iterable[str]) -> DataFrame:
+        schema = T.StructType.fromJson(at["schema"])
+        folders = [f"{self.root}/{at['buckets'][b]}/bucket={b}" for b in buckets if b in at["buckets"]]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def write(self, df: DataFrame, dim: int | None = None, keep: dict[str, str] | None = None) -> None:
+        """A version of df's rows and of the kept buckets."""
         at = self.current() or {"version": 0}
         folder = f"v{at['version'] + 1:08d}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.root}/{folder}")
-        self._flip("current.json", json.dumps({"version": at["version"] + 1, "folder": folder, "dim": dim if dim is not None else at.get("dim")}))
+        rows = df.withColumn("bucket", bucket_of(F.col("path"))).repartition("bucket").sortWithinPartitions("bucket", *self.order)
+        rows.write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        made = {b.removeprefix("bucket="): folder for b in VersionedTable(self.spark, f"{self.root}/{folder}")._names("bucket=")}
+        new = {"version": at["version"] + 1, "dim": dim if dim is not None else at.get("dim"), "schema": df.schema.jsonValue(), "buckets": (keep or {}) | made}
+        self._publish(f"pointer-{new['version']:012d}.json", json.dumps(new))
+        # the version before stays for readers that hold it
+        old = self._names("pointer-")[:-2]
+        held = {f for n in self._names("pointer-")[-2:] for f in json.loads(self._read_text(n))["buckets"].values()}
+        self._remove(*old, *(f for f in self._names("v") if f not in held | {folder}))
 
     def upsert(self, changed: DataFrame, new_rows: DataFrame, dim: int | None = None) -> None:
-        old = self.read(dim)
-        self.write(new_rows if old is None else upsert(old, changed, new_rows), dim)
+        at = self.current()
+        if at is None:
+            return self.write(new_rows, dim)
+        self.read(dim)
+        # at most BUCKETS rows
+        hit = changed.select("path").unionByName(new_rows.select("path")).select(bucket_of(F.col("path")).cast("string").alias("b")).distinct()
+        touched = {r["b"] for r in hit.collect()}
+        if touched:
+            rows = upsert(self._rows(at, sorted(touched)), changed, new_rows)
+            self.write(rows, dim, {b: f for b, f in at["buckets"].items() if b not in touched})
 
     def reconcile(self, version: int = PIPELINE_VERSION) -> str:
         """Of the pipeline version: equal keeps, older or none resets, newer is an error."""
-        text = self._read_text("_pipeline_version")
-        if text is not None and int(text) == version:
+        found = [int(n.removeprefix("pipeline-")) for n in self._names("pipeline-")]
+        if found and max(found) > version:
+            raise PipelineTooNew(max(found), version)
+        if version in found:
             return "kept"
-        if text is not None and int(text) > version:
-            raise PipelineTooNew(int(text), version)
-        jvm, fs = self._fs()
-        fs.delete(jvm.org.apache.hadoop.fs.Path(self.root, "current.json"), False)
-        self._flip("_pipeline_version", str(version))
+        self._remove(*self._names("pointer-"), *self._names("pipeline-"), *self._names("v"))
+        self._publish(f"pipeline-{version}", "")
         return "reset"

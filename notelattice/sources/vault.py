@@ -1,35 +1,44 @@
 """A folder of notes as a Spark data source: format("notelattice.vault").
 
 The reader walks the folder on the driver, without following symlinks, leaves hidden names out, and
-hands runs of paths to the tasks, which open each file without following links and read it whole up
-to a size. The root must be a folder that all executors see.
+hands runs of paths to the tasks, which open each file without following links and read it whole.
+Options: entries (notes or all), content (false: names, times and sizes only, no file is opened),
+prefix, maxBytes (none unless given; a larger file keeps its size and has no content), tolerant (true:
+folders that may not be read are left out). The root must be a folder that all executors see.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-import stat
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from notelattice.functions.ship import ship
 
+from .guard import Gone, read_regular
+
 SCHEMA = "vault string, type string, path string, mtime_ms bigint, size bigint, content binary, sha256 string, skip_reason string"
-MAX_BYTES = 16 << 20
 RUN = 500
+CONTENT = pa.schema([("path", pa.string()), ("mtime_ms", pa.int64()), ("size", pa.int64()), ("content", pa.binary()), ("sha256", pa.string())])
 
 
-def walk(root: str, notes_only: bool, prefix: str = "") -> Iterator[tuple[str, str]]:
-    """(type, path) in pre-order. With notes_only: Markdown files, node_modules left out."""
+def walk(root: str, notes_only: bool, prefix: str = "", tolerant: bool = False) -> Iterator[tuple[str, str]]:
+    """(type, path) in pre-order. With notes_only: Markdown files, node_modules left out. A folder
+    that may not be read is an error, or left out if tolerant."""
 
     def go(rel: str) -> Iterator[tuple[str, str]]:
         try:
             rows = sorted(os.scandir(os.path.join(root, rel)), key=lambda e: e.name)
-        except FileNotFoundError:  # went away meanwhile
+        except (FileNotFoundError, NotADirectoryError):  # went away meanwhile
             return
+        except PermissionError:
+            if tolerant:
+                return
+            raise
         for e in rows:
             path = f"{rel}/{e.name}" if rel else e.name
             if e.name.startswith(".") or e.is_symlink() or (notes_only and e.name == "node_modules"):
@@ -45,20 +54,16 @@ def walk(root: str, notes_only: bool, prefix: str = "") -> Iterator[tuple[str, s
     yield from go("")
 
 
-def read_file(root: str, path: str, limit: int) -> tuple[int, int, bytes | None, str | None, str | None]:
-    """mtime_ms, size, content, sha256, skip_reason of a file, opened without following a link."""
+def read_file(root: str, path: str, limit: int | None = None) -> tuple[int, int, bytes | None, str | None, str | None]:
+    """mtime_ms, size, content, sha256, skip_reason of a file. It is 'gone' only where no regular
+    file is; a failure to read is an error, never a missing note."""
     try:
-        fd = os.open(os.path.join(root, path), os.O_RDONLY | os.O_NOFOLLOW | os.O_NONBLOCK)
-    except OSError:
+        info, data = read_regular(root, path, limit)
+    except Gone:
         return 0, 0, None, None, "gone"
-    with os.fdopen(fd, "rb") as f:
-        info = os.fstat(fd)
-        if not stat.S_ISREG(info.st_mode):
-            return 0, 0, None, None, "not_regular"
-        at = info.st_mtime_ns // 1_000_000
-        if info.st_size > limit:
-            return at, info.st_size, None, None, "too_large"
-        data = f.read(limit + 1)
+    at = info.st_mtime_ns // 1_000_000
+    if data is None:
+        return at, info.st_size, None, None, "too_large"
     return at, len(data), data, hashlib.sha256(data).hexdigest(), None
 
 
@@ -71,7 +76,8 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.vault = options["path"], options.get("vault", os.path.basename(options["path"].rstrip("/")))
         self.notes_only = options.get("entries", "notes") == "notes"
-        self.prefix, self.limit = options.get("prefix", ""), int(options.get("maxBytes", MAX_BYTES))
+        self.prefix, self.limit = options.get("prefix", ""), int(options["maxBytes"]) if "maxbytes" in {k.lower() for k in options} else None
+        self.content, self.tolerant = options.get("content", "true") != "false", options.get("tolerant", "false") == "true"
 
     def pushFilters(self, filters):
         """A path prefix prunes the walk; Spark checks it again all the same."""
@@ -81,7 +87,7 @@ class _Reader(DataSourceReader):
             yield f
 
     def partitions(self):
-        rows = list(walk(self.root, self.notes_only, self.prefix))
+        rows = list(walk(self.root, self.notes_only, self.prefix, self.tolerant))
         return [_Run(rows[i : i + RUN]) for i in range(0, len(rows), RUN)] or [_Run([])]
 
     def read(self, partition):
@@ -89,6 +95,13 @@ class _Reader(DataSourceReader):
             if kind == "folder":
                 yield (self.vault, kind, path, None, None, None, None, None)
                 continue
+            if not self.content:
+                try:
+                    info = os.lstat(os.path.join(self.root, path))
+                except FileNotFoundError:
+                    continue
+                yield (self.vault, kind, path, info.st_mtime_ns // 1_000_000, info.st_size, None, None, None)
+                continue
             at, size, data, digest, why = read_file(self.root, path, self.limit)
             if why != "gone":
                 yield (self.vault, kind, path, at, size, data, digest, why)
@@ -100,9 +113,10 @@ class _Changes(DataSourceStreamReader):
 
     def __init__(self, options: dict):
         self.root = options["path"]
+        self.skip_old = options.get("skipOld", "false") == "true"
 
     def initialOffset(self) -> dict:
-        return {"seen": self._snapshot()} if os.environ.get("NOTELATTICE_SKIP_OLD") else {"seen": {}}
+        return {"seen": self._snapshot() if self.skip_old else {}}
 
     def _snapshot(self) -> dict:
         out = {}
@@ -127,8 +141,8 @@ class _Changes(DataSourceStreamReader):
             if kind == "remove":
                 yield (kind, path, None, None, None)
                 continue
-            at, _, data, digest, why = read_file(self.root, path, MAX_BYTES)
-            yield ("remove", path, None, None, None) if why else (kind, path, at, data, digest)
+            at, _, data, digest, why = read_file(self.root, path)
+            yield ("remove", path, None, None, None) if why == "gone" else (kind, path, at, data, digest)
 
 
 class VaultDataSource(DataSource):
@@ -169,3 +183,18 @@ def read_vault(spark: SparkSession, root: str, vault: str, entries: str = "notes
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.load(root)
+
+
+def contents(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
+    """path, mtime_ms, size, content, sha256 of the files at `paths`, read by the tasks that hold
+    the paths; those that are gone are left out."""
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                at, size, data, digest, why = read_file(root, path)
+                if not why:
+                    yield pa.RecordBatch.from_pydict({"path": [path], "mtime_ms": [at], "size": [size], "content": [data], "sha256": [digest]}, schema=CONTENT)
+
+    return paths.select("path").mapInArrow(run, "path string, mtime_ms bigint, size bigint, content binary, sha256 string")

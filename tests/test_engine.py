@@ -140,8 +140,9 @@ def test_random_upserts(spark):
 def test_versioned_table(spark, tmp_path):
     t = store.VersionedTable(spark, f"file://{tmp_path}/t")
     assert t.read() is None and t.reconcile() == "reset" and t.reconcile() == "kept"
-    t.write(spark.range(3), dim=4)
-    t.write(spark.range(5))
+    rows = lambda n: spark.range(n).withColumn("path", F.concat(F.lit("p"), "id"))
+    t.write(rows(3), dim=4)
+    t.write(rows(5))
     assert t.read(4).count() == 5 and t.current()["version"] == 2
     with pytest.raises(DimensionMismatch):
         t.read(8)
@@ -190,7 +191,7 @@ def test_vault(spark, vault):
 def test_move_rewrites_links(vault):
     assert vault.move_path("b", "c/b") == {"a/two.md": 1}
     assert "[up](../c/b/three.md)" in vault.read_file("a/two.md")["content"]
-    assert vault.copy_path("a", "d") == 2 and vault.create_folder("e") and not vault.create_folder("e")
+    assert vault.copy_path("a", "d")["files"] == 2 and vault.create_folder("e") and not vault.create_folder("e")
     with pytest.raises(AlreadyExists):
         vault.move_path("a", "d")
     with pytest.raises(NotFound):
