@@ -11,6 +11,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from notelattice.functions.ship import ship
 WS = r"\x20\x09-\x0D"
 #: Characters of text that a Python operator works on at once; bounds its memory, not the text.
 BLOCK_CHARS = 600_000
+#: Bytes of an Arrow batch of what an operator runs itself; both sides of a worker's pipe hold some.
+BATCH = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,12 +45,25 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH bytes for what is run inside; the user's setting comes back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key)
+    spark.conf.set(key, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, held)
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: cuts the lineage, and a lost executor
     costs only the tasks it ran."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    with small_batches(spark):
+        df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._written = at
     return out
