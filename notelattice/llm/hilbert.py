@@ -69,12 +69,15 @@ SIZE_Q = "greatest(0, least(15, length(bin(size)) - 4))"
 
 def ranked(rows: DataFrame, column: str, out: str) -> DataFrame:
     """rows with the place of `column` among its values in order, in 2 ** BITS steps: values that
-    are neighbours in the alphabet are neighbours on the curve."""
+    are neighbours in the alphabet are neighbours on the curve. The rows are not joined with the
+    values, of which some are hot: only the first value of each step reaches the driver."""
     values = rows.groupBy(F.col(column).alias("value")).agg(F.lit(1).alias("one"))
-    # one row for each value; Spark's own size check decides how they meet the documents
     place = values.select("value", (F.row_number().over(W.orderBy("value")) - 1).alias("at"), F.sum("one").over(W.partitionBy()).alias("of"))
-    step = place.select("value", F.expr(f"cast(at * {1 << BITS} div of as int)").alias(out))
-    return rows.join(step, F.col(column) == F.col("value")).drop("value")
+    steps = place.groupBy(F.expr(f"cast(at * {1 << BITS} div of as int)").alias("step")).agg(F.min("value").alias("first"))
+    found = F.when(F.lit(False), 0)
+    for r in steps.orderBy(F.desc("step")).collect():  # at most 2 ** BITS rows
+        found = found.when(F.col(column) >= r["first"], r["step"])
+    return rows.withColumn(out, found.otherwise(0))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
