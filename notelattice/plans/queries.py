@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelattice.functions import paths, scores, text
-from notelattice.operators import chunking, grep, links, listing, search, store
+from notelattice.operators import chunking, grep, health, links, listing, search, store
 from notelattice.streaming import events
 
 from . import inputs
@@ -577,3 +577,57 @@ def m15(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("A15_rolling_counts", f"{with_tables('file_events')} SELECT event_id, count(*) OVER (PARTITION BY path ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS recent FROM file_events")
 def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.rolling_counts(inputs.file_events(spark, sf_dir), "path", 86_400).select("event_id", "recent")
+
+
+# ---------------------------------------------------------------- health and outcomes
+
+STATUSES = """st AS (SELECT 'u' || user_id AS slug, CASE arg_max(event_type, (ts, event_id)) WHEN 'error' THEN 'failed' ELSE 'running' END AS state, count(*) FILTER (WHERE event_type = 'error') AS failures FROM events GROUP BY user_id)"""
+
+
+def _statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = inputs.table(spark, sf_dir, "events")
+    last = F.max_by("event_type", F.struct("ts", "event_id"))
+    return e.groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("slug")).agg(F.when(last == "error", "failed").otherwise("running").alias("state"), F.count_if(F.col("event_type") == "error").alias("failures"))
+
+
+@query("F14_unhealthy", f"WITH {STATUSES} SELECT slug, state, failures, CASE WHEN state = 'failed' THEN 'failed' ELSE 'failed_attempts' END AS reason FROM st WHERE state = 'failed' OR failures >= 3")
+def f14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.unhealthy(_statuses(spark, sf_dir), 3)
+
+
+@query("F14_all_running", f"WITH {STATUSES} SELECT coalesce(bool_and(state = 'running'), true) AS ready FROM st")
+def f14r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.all_running(_statuses(spark, sf_dir))
+
+
+@query("F15_scoped_status", f"WITH {STATUSES} SELECT slug, state, failures FROM st WHERE slug = 'u7'")
+def f15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.narrowed(_statuses(spark, sf_dir), "u7")
+
+
+@query("A13_outcomes", "SELECT l_orderkey % 500 AS op, bool_and(l_quantity > 2) AND bool_or(l_linestatus = 'O') AS indexed FROM lineitem GROUP BY op")
+def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inputs.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).alias("op"), (F.col("l_quantity") > 2).alias("ok"), (F.col("l_linestatus") == "O").alias("indexed"))
+    return health.outcomes(rows, "op")
+
+
+@query("U3_lock_keys", f"{with_tables('files')} SELECT path, list_sort(list_distinct([split_part(path, '/', 2), split_part(path, '/', 1), split_part(path, '/', 2), path])) AS keys FROM files")
+def u3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda i: F.split_part("path", F.lit("/"), F.lit(i))
+    return inputs.files(spark, sf_dir).select("path", health.lock_keys(F.array(part(2), part(1), part(2), "path")).alias("keys"))
+
+
+@query("U4_file_sets", f"{with_tables('files')}, a AS (SELECT CASE WHEN starts_with(path, 'src1/') THEN 'moved/' || path ELSE path END AS path FROM files WHERE doc_id % 11 <> 0) (SELECT path, 'gone' AS change FROM (SELECT path FROM files EXCEPT ALL SELECT path FROM a)) UNION ALL (SELECT path, 'come' FROM (SELECT path FROM a EXCEPT ALL SELECT path FROM files))")
+def u4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = inputs.files(spark, sf_dir)
+    after = before.where("doc_id % 11 <> 0").select(F.when(F.startswith("path", F.lit("src1/")), F.concat(F.lit("moved/"), "path")).otherwise(F.col("path")).alias("path"))
+    return health.file_set_change(before, after)
+
+
+@query("M10_crash_ceiling", f"""{with_tables('file_events')}, k AS (SELECT event_id, path, ts, CASE event_id % 5 WHEN 0 THEN 'recovered' WHEN 1 THEN 'line' ELSE 'crash' END AS kind FROM file_events),
+l AS (SELECT *, count(*) FILTER (WHERE kind = 'recovered') OVER (PARTITION BY path ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS life FROM k),
+c AS (SELECT event_id, count(*) FILTER (WHERE kind = 'crash') OVER (PARTITION BY path, life ORDER BY epoch_us(ts) RANGE BETWEEN 864000000000 PRECEDING AND CURRENT ROW) AS recent FROM l) SELECT event_id, recent, recent > 2 AS over FROM c""")
+def m10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id") % 5
+    log = inputs.file_events(spark, sf_dir).withColumn("kind", F.when(n == 0, "recovered").when(n == 1, "line").otherwise("crash"))
+    return health.over_ceiling(log, "path", 864_000, 2).select("event_id", "recent", "over")
