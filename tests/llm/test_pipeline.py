@@ -1,5 +1,6 @@
 """The pipeline stage by stage, the classifiers on held-out rows, and the registry."""
 
+import math
 import zlib
 from collections import Counter
 
@@ -80,6 +81,41 @@ def test_classifiers(spark, odd, score, label, folds, out):
     assert len({r["score"] for r in alone}) == 1 and score(odd.limit(0), labels).count() == 0
 
 
+def test_quality_scores_are_the_pairwise_sums(spark, sf_dir):
+    """What the query returns, against the machine's definition: every pair of features one by one."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    got = {r["doc_id"]: r["score"] for r in factorisation.score_quality(docs, labels).collect()}
+    m = factorisation.fit(docs, labels)
+    for row in docs.where("doc_id % 25 = 0").collect():
+        full, part = factorisation.features([row["text"] or ""], [row["n_chars"]])[1:], 0.0
+        raw = float(m.w0) + float((m.w[full[0]].astype(float) * full[1]).sum())
+        vx = m.v[full[0]].astype(float) * full[1][:, None]
+        for i in range(len(vx)):
+            part += float((vx[i] * vx[i + 1 :].sum(0)).sum())  # with each later feature
+        assert got[row["doc_id"]] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, raw + part)))), abs=1e-4)
+
+
+def test_toxic_hits_are_those_of_plain_edits(spark, sf_dir):
+    """The kind of every word of the table, against the lexicon read term by term."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, SF, "labels")
+    scorer = toxicity.fit(table(spark, SF, "documents"), labels)
+    lexicon = toxicity.learn_lexicon(toxicity.sample(table(spark, SF, "documents"), labels, "toxic", toxicity.fold("doc_id", 4) != 2, toxicity.ROWS)[0])
+    words = sorted({w for r in docs.collect() for w in (r["text"] or "").lower().split() if w.isalpha() and w.isascii()})[:4000]
+    _, start, length, state, _ = scorer.hits([" ".join(words)])
+    kinds = scorer.automaton.kind[state].tolist()
+    exact = {t for t, k, _, _ in lexicon if k == toxicity.EXACT}
+    stems = {t for t, k, _, _ in lexicon if k == toxicity.STEM}
+    fuzzy = [t for t, k, _, may in lexicon if k == toxicity.EXACT and may]
+    assert len(kinds) == len(words)
+    for w, k in zip(words, kinds, strict=True):
+        if w in exact:
+            assert k == toxicity.EXACT
+        elif any(w.startswith(t) for t in stems):
+            assert k in (toxicity.STEM, -1)  # or a word of clean texts
+        elif k == toxicity.FUZZY:
+            assert any(w[0] == t[0] and edits(w, t) == 1 for t in fuzzy) or any(len(t) >= toxicity.FUZZY_STEM for t in stems)
+
+
 def test_factorisation_identity():
     """The linear-time score against the sum over all pairs."""
     import numpy as np
