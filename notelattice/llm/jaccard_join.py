@@ -7,9 +7,10 @@ with a probability of RECALL or more, whatever else the table holds; more simila
 with a higher one.
 
 Candidates are not expanded into pairs. A prefix bucket gives a star of edges to its least class, the
-stars give components, and each component's 5-gram sets meet in blocks of BLOCK classes, so that a
-task holds two blocks, whatever the component's size. Within a pair of blocks all similarities come
-from one sparse product; what leaves a task is a sum of links for each class and a spanning forest.
+stars give components, and the 5-gram sets of a component, or of each of its buckets where that is
+less work, meet in blocks of BLOCK classes, so that a task holds two blocks, whatever the component's
+size. Within a pair of blocks all similarities come from one sparse product; what leaves a task is a
+sum of links for each class and a spanning forest.
 
 Defined results: a null or empty text has no word and is a copy of the other such texts only; a text
 of one to four words is one n-gram; repeated rows are copies; rows without id take part, and a class
@@ -161,13 +162,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link_blocks(left: list[tuple], right: list[tuple] | None) -> list[tuple]:
-    """Links between two blocks of (v, k1, k2, copies, hashes), or within one: for each member
-    (v, k1, k2, root, links). root is the least v that it is linked with here."""
+    """Links between two blocks of (v, k1, k2, copies, earlier, hashes), or within one: for each
+    member (v, k1, k2, root, links). root is the least v that it is linked with here. A pair that
+    shares one of its earlier runs has met there and does not count here."""
     rows = left + (right or [])
     n, cut = len(rows), len(left)
-    sizes = np.array([len(r[4]) for r in rows], np.int64)
+    sizes = np.array([len(r[5]) for r in rows], np.int64)
     owner = np.repeat(np.arange(n), sizes)
-    _, index, count = np.unique(np.concatenate([r[4] for r in rows]), return_inverse=True, return_counts=True)
+    _, index, count = np.unique(np.concatenate([r[5] for r in rows]), return_inverse=True, return_counts=True)
     shared = count[index] > 1
     owner, index = owner[shared], index[shared]
     number = np.cumsum(count > 1) - 1
@@ -190,6 +192,8 @@ def link_blocks(left: list[tuple], right: list[tuple] | None) -> list[tuple]:
     if right is not None:
         linked[:cut, :cut] = False
         linked[cut:, cut:] = False
+    for run in np.array([r[4] for r in rows], np.int64).T:
+        linked &= run[:, None] != run[None, :]
     copies = np.array([r[3] for r in rows], np.int64)
     parent = list(range(n))
 
@@ -214,17 +218,19 @@ RESULT = "v long, k1 long, k2 long, root long, links long"
 
 
 def verify(members: DataFrame) -> DataFrame:
-    """Links of members (comp, v, k1, k2, copies, block, blocks, hashes binary), block by block."""
-    pairs = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    pairs = pairs.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "v", "k1", "k2", "copies", "hashes")
-    dealt = pairs.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi", "block", "v")
+    """Links of members (m, hashes), block by block in each of their places; see links_of()."""
+    placed = members.select("m.v", "m.k1", "m.k2", "m.copies", "m.trees", F.explode("m.places").alias("at"), "hashes").select("at.*", "v", "k1", "k2", "copies", "trees", "hashes")
+    pairs = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    earlier = F.expr("coalesce(slice(trees, 1, greatest(tree, 0)), cast(array() as array<bigint>))").alias("earlier")
+    pairs = pairs.select("tree", "comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "v", "k1", "k2", "copies", earlier, "hashes")
+    dealt = pairs.repartition("tree", "comp", "lo", "hi").sortWithinPartitions("tree", "comp", "lo", "hi", "block", "v")
 
     def flush(group: list[tuple], lo: int, hi: int) -> list[tuple]:
         seen, parts = set(), ([], [])
         for block, *row in group:
             if (row[1], row[2]) not in seen:  # rows of one id and text may be repeated
                 seen.add((row[1], row[2]))
-                parts[block != lo].append((*row[:4], np.frombuffer(row[4], np.uint64)))
+                parts[block != lo].append((*row[:5], np.frombuffer(row[5], np.uint64)))
         if lo == hi:
             return link_blocks(parts[0], None) if len(parts[0]) > 1 else []
         return link_blocks(*parts) if parts[0] and parts[1] else []
@@ -233,17 +239,17 @@ def verify(members: DataFrame) -> DataFrame:
         names = ["v", "k1", "k2", "root", "links"]
         group, at, out = [], None, []
         for batch in batches:
-            for comp, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != (comp, lo, hi):
+            for tree, comp, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (tree, comp, lo, hi):
                     if group:
-                        out += flush(group, *at[1:])
-                    group, at = [], (comp, lo, hi)
+                        out += flush(group, *at[2:])
+                    group, at = [], (tree, comp, lo, hi)
                 group.append(tuple(row))
             if len(out) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
                 out = []
         if group:
-            out += flush(group, *at[1:])
+            out += flush(group, *at[2:])
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
 
@@ -251,41 +257,58 @@ def verify(members: DataFrame) -> DataFrame:
 
 
 def with_hashes(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """members with the 5-gram hashes of their document, found by id and text hash. The texts are
-    shuffled once; what comes out is the few that have candidates."""
+    """(m, hashes): members and the 5-gram hashes of their document, found by id and text hash. The
+    texts are shuffled once; what comes out is the few that have candidates."""
     text = F.coalesce(F.col("text"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.xxhash64(text).alias("h"), text.alias("text"))
-    met = texts.join(members, F.expr("i <=> doc_id AND h = th")).select(F.struct("comp", "v", "k1", "k2", "copies", "block", "blocks").alias("m"), "text")
-    names = ["comp", "v", "k1", "k2", "copies", "block", "blocks"]
-    schema = "comp long, v long, k1 long, k2 long, copies long, block int, blocks int, hashes binary"
+    met = texts.join(members, F.expr("i <=> doc_id AND h = th")).select(F.struct("v", "k1", "k2", "copies", "trees", "places").alias("m"), "text")
+    schema = T.StructType([met.schema["m"], T.StructField("hashes", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, texts in text_blocks(iter([batch])):
+            m = batch.column(0)
+            keys = list(zip(m.field("k1").to_pylist(), m.field("k2").to_pylist(), strict=True))
+            for rows, texts in text_blocks(iter([Pairs(list(range(len(m))), batch.column(1))])):
                 bounds, value = shingles(texts)
                 k1, k2 = set_keys(bounds, value)
-                keep = [i for i, r in enumerate(rows) if (r["k1"], r["k2"]) == (int(k1[i]), int(k2[i]))]
+                keep = [i for i, r in enumerate(rows) if keys[r] == (int(k1[i]), int(k2[i]))]
                 if keep:
-                    types = [pa.int64()] * 5 + [pa.int32()] * 2
-                    columns = [pa.array([rows[i][c] for i in keep], t) for c, t in zip(names, types, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array([value[bounds[i] : bounds[i + 1]].tobytes() for i in keep], pa.binary())], [*names, "hashes"])
+                    hashes = pa.array([value[bounds[i] : bounds[i + 1]].tobytes() for i in keep], pa.binary())
+                    yield pa.RecordBatch.from_arrays([m.take(pa.array([rows[i] for i in keep])), hashes], ["m", "hashes"])
 
     return map_arrow(met, run, schema)
 
 
 def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Verified links of classes (RESULT rows)."""
-    nodes = classes.where("n > 0").select("v", F.posexplode("trees").alias("tree", "prefix"))
-    hubs = nodes.groupBy("tree", "prefix").agg(F.min("v").alias("hub"), F.count("*").alias("size")).where("size > 1").select(F.col("tree").alias("t2"), F.col("prefix").alias("p2"), "hub")
-    stars = nodes.join(hubs, F.expr("tree = t2 AND prefix = p2")).where("v <> hub").select(F.col("hub").alias("a"), F.col("v").alias("b"))
+    """Verified links of classes (RESULT rows).
+
+    A component's classes meet in blocks, or its prefix buckets' do, each for itself: whichever moves
+    fewer rows, which is also fewer comparisons. A group of near copies shares most of its buckets
+    and is one place; a long chain whose ends share none is as many places as it has buckets. A place
+    is (tree, comp, block, blocks); tree is -1 of a component, and comp is the prefix of a bucket."""
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / HASHES)).cast("int").alias("blocks")
+    nodes = classes.where("n > 0").select("v", "n", F.posexplode("trees").alias("tree", "prefix"))
+    hubs = nodes.groupBy(F.col("tree").alias("t2"), F.col("prefix").alias("p2")).agg(F.min("v").alias("hub"), F.count("*").alias("size"), blocks).where("size > 1")
+    hubs = materialize(hubs, "hubs")
+    in_bucket = F.expr("tree = t2 AND prefix = p2")
+    stars = nodes.join(hubs, in_bucket).where("v <> hub").select(F.col("hub").alias("a"), F.col("v").alias("b"))
     comps = components(stars)
     # a component's least node has no row of its own in there
     placed = comps.unionByName(comps.select(F.col("c").alias("v"), "c").distinct()).distinct()
     found = classes.join(placed, "v")
-    blocks = found.groupBy(F.col("c").alias("comp")).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / HASHES)).cast("int").alias("blocks"))
-    members = found.join(blocks, F.col("c") == F.col("comp"))
-    members = members.withColumn("block", F.expr("cast(pmod(xxhash64(v), blocks) as int)")).select("comp", "v", "k1", "k2", "copies", "block", "blocks", "doc_id", "th")
-    return materialize(verify(with_hashes(docs, members)), "links")
+    whole = found.groupBy(F.col("c").alias("comp")).agg(F.count("*").alias("rows"), blocks)
+    apart = hubs.join(placed, F.col("hub") == F.col("v")).groupBy(F.col("c").alias("c2")).agg(F.sum(F.expr("size * blocks")).alias("moved"))
+    ways = whole.join(apart, F.expr("comp = c2")).select("comp", "blocks", F.expr("moved < rows * blocks").alias("apart"))
+    members = materialize(found.join(ways, F.expr("c = comp")).select("v", "k1", "k2", "copies", "doc_id", "th", "trees", "comp", "blocks", "apart"), "members")
+    block = F.expr("cast(pmod(xxhash64(v), blocks) as int)").alias("block")
+    carried = ["v", "k1", "k2", "copies", "doc_id", "th"]
+    together = members.where("NOT apart").select(*carried, F.lit(None).cast("array<bigint>").alias("trees"), F.array(F.struct(F.lit(-1).alias("tree"), "comp", block, "blocks")).alias("places"))
+    each = members.where("apart").select(*carried, "trees", F.posexplode("trees").alias("tree", "prefix")).join(hubs, in_bucket)
+    places = F.collect_list(F.struct("tree", F.col("prefix").alias("comp"), block, "blocks")).alias("places")
+    each = each.groupBy(*carried).agg(F.first("trees").alias("trees"), places)
+    out = materialize(verify(with_hashes(docs, together.unionByName(each))), "links")
+    discard(hubs, members)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -223,6 +223,29 @@ def test_jaccard_join(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(group.values()))
 
 
+def test_jaccard_join_of_a_chain(spark, monkeypatch):
+    """Windows over one long text: neighbours are linked, the ends share nothing. Its buckets meet for
+    themselves, and a pair that shares several of them counts once; the group of near copies beside it
+    meets as a whole."""
+    words = [f"w{i}" for i in range(1400)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 100])) for i in range(300)]
+    rows += [(1000 + i, " ".join([f"h{k}" for k in range(200)] + [f"z{i}"])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    ways, plain = set(), jaccard_join.verify
+
+    def verify(members):
+        ways.update((r["v"], r["apart"]) for r in members.select("m.v", F.expr("m.places[0].tree >= 0").alias("apart")).collect())
+        return plain(members)
+
+    monkeypatch.setattr(jaccard_join, "verify", verify)
+    got = {r["doc_id"]: r for r in jaccard_join.jaccard_join(docs).collect()}
+    links, group = brute_links(docs.collect())
+    assert {i: r["n_links"] for i, r in got.items()} == links
+    assert {i: r["group_id"] for i, r in got.items()} == group
+    assert Counter(apart for _, apart in ways) == {True: 300, False: 60}
+
+
 def test_jaccard_join_of_the_table(spark, sf_dir):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     links, group = brute_links(docs.collect())
