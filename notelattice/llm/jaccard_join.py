@@ -35,6 +35,8 @@ N, THRESHOLD_PCT = 5, 80
 TREES, RECALL = 16, 0.9995
 #: Classes of a block, and n-grams of one; a block of longer texts has fewer of them.
 BLOCK, HASHES = 256, 1_000_000
+#: Parts that the classes of a component of several blocks are dealt to when they learn of them.
+SALTS = 64
 
 
 def recall(similarity: float, depth: int) -> float:
@@ -298,8 +300,12 @@ def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     found = classes.join(placed, "v")
     whole = found.groupBy(F.col("c").alias("comp")).agg(F.count("*").alias("rows"), blocks)
     apart = hubs.join(placed, F.col("hub") == F.col("v")).groupBy(F.col("c").alias("c2")).agg(F.sum(F.expr("size * blocks")).alias("moved"))
-    ways = whole.join(apart, F.expr("comp = c2")).select("comp", "blocks", F.expr("moved < rows * blocks").alias("apart"))
-    members = materialize(found.join(ways, F.expr("c = comp")).select("v", "k1", "k2", "copies", "doc_id", "th", "trees", "comp", "blocks", "apart"), "members")
+    # few components have several blocks; only those need a word on them, and are dealt by a salt
+    ways = whole.where("blocks > 1").join(apart, F.expr("comp = c2")).select("comp", "blocks", F.expr("moved < rows * blocks").alias("apart"))
+    ways = ways.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = found.join(ways, (F.col("c") == F.col("comp")) & (F.pmod(F.xxhash64("v"), F.lit(SALTS)) == F.col("salt")), "left")
+    told = [F.col("c").alias("comp"), F.coalesce("blocks", F.lit(1)).alias("blocks"), F.coalesce("apart", F.lit(False)).alias("apart")]
+    members = materialize(dealt.select("v", "k1", "k2", "copies", "doc_id", "th", "trees", *told), "members")
     block = F.expr("cast(pmod(xxhash64(v), blocks) as int)").alias("block")
     carried = ["v", "k1", "k2", "copies", "doc_id", "th"]
     together = members.where("NOT apart").select(*carried, F.lit(None).cast("array<bigint>").alias("trees"), F.array(F.struct(F.lit(-1).alias("tree"), "comp", block, "blocks")).alias("places"))
