@@ -37,8 +37,9 @@ TREES, RECALL = 16, 0.9995
 BLOCK, HASHES = 256, 1_000_000
 #: Parts that the classes of a component of several blocks are dealt to when they learn of them.
 SALTS = 64
-#: Bits of the bitmap that keeps texts without candidates out of a shuffle.
-BITS = 1 << 27
+#: Bits for each key of the bitmap that keeps texts without candidates out of a shuffle, and at most:
+#: a bitmap is broadcast, so that 16 MB bound it.
+KEY_BITS, MOST_BITS = 32, 1 << 27
 
 
 def recall(similarity: float, depth: int) -> float:
@@ -260,31 +261,36 @@ def verify(members: DataFrame) -> DataFrame:
     return map_arrow(dealt, run, RESULT)
 
 
-def marks(keys: DataFrame, *columns: str) -> DataFrame:
-    """(bucket, bits): a bitmap of BITS bits with the hashes of these columns; at most 16 MB."""
-    s = keys.select(F.pmod(F.xxhash64(*columns), F.lit(BITS)).alias("s")).distinct()
+def bits_for(keys: int) -> int:
+    """The size of the bitmap of so many keys."""
+    return min(max(1 << (keys * KEY_BITS).bit_length(), 1 << 15), MOST_BITS)
+
+
+def marks(keys: DataFrame, bits: int, *columns: str) -> DataFrame:
+    """(bucket, map): a bitmap with the hashes of these columns, in pieces of 4 KB."""
+    s = keys.select(F.pmod(F.xxhash64(*columns), F.lit(bits)).alias("s")).distinct()
     # numbers are dealt, 8 bytes each, before there are bitmaps of 4 KB
     dealt = s.withColumn("bucket", F.bitmap_bucket_number("s")).repartition("bucket")
-    return dealt.groupBy("bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    return dealt.groupBy("bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("map"))
 
 
-def marked(rows: DataFrame, bitmap: DataFrame, *columns: str) -> DataFrame:
+def marked(rows: DataFrame, bitmap: DataFrame, bits: int, *columns: str) -> DataFrame:
     """rows with a column `mark`: whether the bitmap may hold their hash. False is certain."""
-    s = F.pmod(F.xxhash64(*columns), F.lit(BITS))
+    s = F.pmod(F.xxhash64(*columns), F.lit(bits))
     at = F.bitmap_bit_position(s)
-    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring("map", (at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
     met = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(s) == F.col("bucket"), "left")
     bit = F.getbit(byte, F.pmod(at, F.lit(8)).cast("int"))
     return met.select(*rows.columns, F.coalesce(bit == 1, F.lit(False)).alias("mark"))
 
 
-def with_hashes(docs: DataFrame, members: DataFrame) -> DataFrame:
+def with_hashes(docs: DataFrame, members: DataFrame, count: int) -> DataFrame:
     """(m, hashes): members and the 5-gram hashes of their document, found by id and text hash. Only
     texts that a bitmap of the members lets through are shuffled: the few that have candidates, and
     others as the bitmap fills, which costs time and changes nothing else."""
     text = F.coalesce(F.col("text"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.xxhash64(text).alias("h"), text.alias("text"))
-    texts = marked(texts, marks(members, "doc_id", "th"), "i", "h").where("mark")
+    texts = marked(texts, marks(members, bits_for(count), "doc_id", "th"), bits_for(count), "i", "h").where("mark")
     met = texts.join(members, F.expr("i <=> doc_id AND h = th")).select(F.struct("v", "k1", "k2", "copies", "trees", "places").alias("m"), "text")
     schema = T.StructType([met.schema["m"], T.StructField("hashes", T.BinaryType())])
 
@@ -334,7 +340,7 @@ def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     each = members.where("apart").select(*carried, "trees", F.posexplode("trees").alias("tree", "prefix")).join(hubs, in_bucket)
     places = F.collect_list(F.struct("tree", F.col("prefix").alias("comp"), block, "blocks")).alias("places")
     each = each.groupBy(*carried).agg(F.first("trees").alias("trees"), places)
-    out = materialize(verify(with_hashes(docs, together.unionByName(each))), "links")
+    out = materialize(verify(with_hashes(docs, together.unionByName(each), members.count())), "links")
     discard(hubs, members)
     return out
 
@@ -372,12 +378,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Documents that a bitmap shows to be alone stay where they are; only others are shuffled."""
     rows, classes = near_duplicates(docs)
     classes = materialize(classes.select("k1", "k2", "doc_id", "th", "copies", "lead"), "leads")
-    shared = classes.where("copies > 1 OR NOT lead").select(F.col("k1").alias("s1"), F.col("k2").alias("s2"))
-    bitmap = materialize(marks(rows.join(shared, F.expr("k1 = s1 AND k2 = s2"), "left_semi"), "doc_id", "th"), "marks")
+    shared = classes.where("copies > 1 OR NOT lead").select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), "copies")
+    bits = bits_for(shared.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0])
+    bitmap = materialize(marks(rows.join(shared, F.expr("k1 = s1 AND k2 = s2"), "left_semi"), bits, "doc_id", "th"), "marks")
     text = F.coalesce(F.col("text"), F.lit(""))
     mine = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.col("doc_id").cast("long").alias("i"), F.xxhash64(text).alias("h"))
-    mine = marked(mine, bitmap, "i", "h")
-    kept = marked(classes.where("lead").select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th")), bitmap, "r_id", "r_th").where("mark").drop("mark")
+    mine = marked(mine, bitmap, bits, "i", "h")
+    kept = marked(classes.where("lead").select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th")), bitmap, bits, "r_id", "r_th").where("mark").drop("mark")
     touched = mine.where("mark").withColumns({"no": F.col("i").isNull(), "i": F.coalesce("i", F.lit(0))})
     kept = kept.withColumns({"r_no": F.col("r_id").isNull(), "r_id": F.coalesce("r_id", F.lit(0))})
     met = touched.join(kept, F.expr("i = r_id AND h = r_th AND no = r_no"))
