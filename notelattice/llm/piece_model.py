@@ -37,6 +37,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Characters taken at once, and from which a text goes in parts; bounds a worker's memory.
 BLOCK = 600_000
+#: Characters of the texts that are encoded at once; a longer text is alone.
+ROWS = 150_000
 THREADS = 2
 #: Units that a worker holds the ids of; when full it forgets them all.
 KNOWN = 1_000_000
@@ -314,7 +316,7 @@ def encode_texts(docs: DataFrame, path: str, verify: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = codec(path)
-        for ids, texts in text_blocks(batches, BLOCK):
+        for ids, texts in text_blocks(batches, ROWS):
             flat, bounds, same, back = mine.batch(texts, verify)
             columns = [
                 pa.array(ids, id_type), pa.array([len(t.encode("utf-8")) for t in texts], pa.int64()), pa.array(np.diff(bounds), pa.int64()),
