@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import factorisation, hilbert, jaccard_join, mixing, pii, piece_model, quality_rules, token_counts, toxicity, webp
+from . import factorisation, hilbert, jaccard_join, mixing, pii, piece_model, quality_rules, spelling, token_counts, toxicity, webp
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,10 +58,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     own = (
         op1_quality_fm, op2_hilbert_shards, op3_webp_media, op4_pii_crf, op5_sentencepiece, op6_jaccard_join, op7_source_mix,
-        op8_toxicity, op9_token_counts, op10_quality_rules,
+        op8_toxicity, op9_token_counts, op10_quality_rules, op11_spelling_variants,
     )
     return {f.__name__: f for f in own}
 
