@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import factorisation, hilbert, jaccard_join, merkle, mixing, pii, piece_model, quality_rules, spelling, token_counts, toxicity, webp
+from . import factorisation, hilbert, jaccard_join, language, merkle, mixing, pii, piece_model, quality_rules, spelling, token_counts, toxicity, webp
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_language(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(table(spark, sf_dir, "documents"))
 
@@ -70,7 +74,7 @@ def queries() -> dict[str, Query]:
     own = (
         op1_quality_fm, op2_hilbert_shards, op3_webp_media, op4_pii_crf, op5_sentencepiece, op6_jaccard_join, op7_source_mix,
         op8_toxicity, op9_token_counts, op10_quality_rules, op11_spelling_variants,
-        op13_merkle_manifest,
+        op12_language, op13_merkle_manifest,
     )
     return {f.__name__: f for f in own}
 
