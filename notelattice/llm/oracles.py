@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .hilbert import SHARDS, curve
 from .mixing import CAP, SHARE_PCT, WEIGHTS
+from .spelling import DROP, FORM_FACTOR, MIN_COUNT, MIN_LENGTH
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -49,4 +50,52 @@ p AS (SELECT k.doc_id, k.size, t.source_size, t.target, coalesce(sum(k.size) OVE
  CASE WHEN t.source_size = 0 THEN 0 ELSE CAST(floor(t.target / t.source_size) AS BIGINT) END AS epochs FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN target - epochs * source_size > 0 AND 2 * ahead + size <= 2 * (target - epochs * source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM p"""
 
-ORACLES: dict[str, str] = {"op2_hilbert_shards": HILBERT, "op7_source_mix": MIX}
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+VARIANTS = f"""WITH RECURSIVE tab AS (SELECT {_crc_table()} AS tab),
+raw AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS id, translate(run, '{_CAPITALS}', '{_CAPITALS.lower()}') AS run, count(*) AS n FROM raw GROUP BY ALL HAVING length(run) >= {MIN_LENGTH}),
+h AS (SELECT run, n, CAST({CRC32.format(t='(id || run)')} AS BIGINT) AS h FROM r, tab),
+w AS (SELECT CASE WHEN h % {DROP} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= {MIN_LENGTH} GROUP BY word HAVING sum(n) >= {MIN_COUNT}),
+e AS (SELECT word, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM v)),
+near AS (SELECT e.word, v.word AS other FROM e JOIN v ON v.word = e.rest UNION SELECT v.word, e.word FROM e JOIN v ON v.word = e.rest
+ UNION SELECT a.word, b.word FROM e a JOIN e b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word),
+best AS (SELECT near.word, count(*) AS n_near, first(other ORDER BY v.n DESC, other) AS other, max(v.n) AS other_n FROM near JOIN v ON v.word = other GROUP BY near.word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= {FORM_FACTOR} * v.n THEN other END AS form, CASE WHEN other_n >= {FORM_FACTOR} * v.n THEN other_n END AS form_n FROM v LEFT JOIN best USING (word)),
+c AS (SELECT word, word AS at FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM f JOIN c ON c.word = f.word JOIN f g ON g.word = c.at WHERE g.form IS NULL"""
+
+
+def _leaf(text: str) -> str:
+    parts = (f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in ("doc_id", "src.source", "lang", "n_chars", text))
+    return f"sha256({' || '.join(parts)})"
+
+
+def _tree(name: str, rows: str) -> str:
+    """A tree over (g, j, h, n) in `rows`, its nodes with their siblings."""
+    side = "coalesce(string_agg(h, '') OVER (PARTITION BY g, level, j // 3 ORDER BY j ROWS BETWEEN {}), '')"
+    return f"""{name} AS (SELECT g, 0 AS level, j, h, n FROM {rows} UNION ALL SELECT g, level + 1, j // 3, sha256(string_agg(h, '' ORDER BY j)), max((n + 2) // 3) FROM {name} WHERE n > 1 GROUP BY g, level, j // 3),
+{name}_sides AS (SELECT g, level, j, {side.format('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS before, {side.format('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS behind FROM {name} WHERE n > 1)"""
+
+
+def _climb(name: str, start: str, tree: str) -> str:
+    return f"""{name} AS ({start} UNION ALL SELECT row, p.g, p.level + 1, p.j // 3, sha256(before || x || behind), proof || before || behind FROM {name} p JOIN {tree}_sides s ON s.g = p.g AND s.level = p.level AND s.j = p.j)"""
+
+
+MERKLE = f"""WITH RECURSIVE tab AS (SELECT {_crc_table()} AS tab),
+src AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS g FROM (SELECT DISTINCT source FROM documents)),
+cut AS (SELECT *, CASE WHEN {CRC32.format(t='CAST(doc_id AS VARCHAR)')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS cut_text FROM documents, tab),
+d AS (SELECT row_number() OVER () AS row, g, doc_id, {_leaf('text')} AS leaf,
+ {_leaf('cut_text')} AS told FROM cut JOIN src ON src.source IS NOT DISTINCT FROM cut.source),
+own AS (SELECT *, leaf AS h, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS j, count(*) OVER (PARTITION BY g) AS n FROM d),
+{_tree('low', 'own')},
+subs AS (SELECT 0 AS g, g AS j, h, (SELECT count(*) FROM src) AS n FROM low WHERE n = 1),
+{_tree('high', 'subs')},
+{_climb('one', "SELECT row, g, 0 AS level, j, told AS x, '' AS proof FROM own", 'low')},
+met AS (SELECT row, 0 AS g, 0 AS level, g AS j, x, proof FROM one p WHERE NOT EXISTS (SELECT 1 FROM low_sides s WHERE s.g = p.g AND s.level = p.level AND s.j = p.j)),
+{_climb('two', 'SELECT row, g, level, j, x, proof FROM met', 'high')},
+ends AS (SELECT row, x, proof FROM two p WHERE NOT EXISTS (SELECT 1 FROM high_sides s WHERE s.level = p.level AND s.j = p.j))
+SELECT doc_id, leaf, subs.h AS subroot, top.h AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = top.h AS verified
+FROM own JOIN ends USING (row) JOIN subs ON subs.j = own.g JOIN high top ON top.n = 1"""
+
+ORACLES: dict[str, str] = {"op2_hilbert_shards": HILBERT, "op7_source_mix": MIX, "op11_spelling_variants": VARIANTS, "op13_merkle_manifest": MERKLE}

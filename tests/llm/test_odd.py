@@ -1,4 +1,4 @@
-"""Odd tables through all ten operators and the pipeline: nulls in any column, empty and very long
+"""Odd tables through all operators on documents and the pipeline: nulls in any column, empty and very long
 texts, ties, repeated rows, empty tables, ids of other types and extra columns with clashing names."""
 
 import json
@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from notelattice.llm import factorisation, hilbert, jaccard_join, mixing, pii, piece_model, quality_rules, token_counts, toxicity, webp
+from notelattice.llm import factorisation, hilbert, jaccard_join, language, merkle, mixing, pii, piece_model, quality_rules, token_counts, toxicity, webp
 
 LONG = "a long text of many words and\n some lines number "
 GOOD = "they walked along the river and talked of the days when all of them were young and free"
@@ -23,17 +23,19 @@ CLASHING = (
     "trusted_id", "l_id", "d_id", "y", "d", "h", "i", "p", "th", "k1", "k2", "n", "v", "c", "comp", "block", "blocks", "hashes", "links", "rank", "hilbert", "tie", "slice", "cell", "at",
     "total", "shard", "slot", "u", "w", "k", "marks", "text_hash", "size", "source_size", "target", "copies", "taken", "epochs", "ahead", "txt", "s", "good", "gram", "bucket", "llr", "kept",
     "weights", "score", "held_out", "predicted", "media", "ids", "spans", "n_tokens", "m", "r", "no", "nth", "r_id", "r_th", "r_no", "__row", "word", "x", "f", "label", "quality", "toxic",
+    "g", "extra", "salt", "part", "kind", "lo", "to_h", "above", "root", "tops", "level", "j", "b_g", "bucket", "lang_pred", "leaf",
 )
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 OPERATORS = {
     "op1": lambda d, l: factorisation.score_quality(d, l), "op2": lambda d, l: hilbert.shard(d), "op3": lambda d, l: webp.media_digests(d), "op4": lambda d, l: pii.find_pii(d),
     "op5": lambda d, l: piece_model.encode_texts(d, PIECES), "op6": lambda d, l: jaccard_join.jaccard_join(d), "op7": lambda d, l: mixing.mix(d), "op8": lambda d, l: toxicity.score_toxicity(d, l),
     "op9": lambda d, l: token_counts.token_counts(d, BPE), "op10": lambda d, l: quality_rules.quality_rules(d, l),
+    "op12": lambda d, l: language.identify_language(d), "op13": lambda d, l: merkle.merkle_manifest(d),
 }
 #: Columns that equal texts share, whatever their ids.
 SHARED = {
     "op3": ("payload_sha256", "media_sha256", "media_bytes", "feature"), "op4": ("base_sha256", "spans"), "op5": ("ids", "parity"), "op6": ("class_id", "group_id", "n_links"),
-    "op8": ("score",), "op9": ("n_tokens",), "op10": ("kept", "llr", "n_words"), "op2": ("size", "text_crc32"), "op7": ("size",),
+    "op8": ("score",), "op9": ("n_tokens",), "op10": ("kept", "llr", "n_words"), "op2": ("size", "text_crc32"), "op7": ("size",), "op12": ("lang_pred", "score"),
 }
 
 
