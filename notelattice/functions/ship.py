@@ -7,21 +7,24 @@ package even where it is not installed and not on their path.
 from __future__ import annotations
 
 import tempfile
+import threading
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 PACKAGE = Path(__file__).resolve().parent.parent
+_LOCK = threading.Lock()
 
 
 def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
-    if getattr(sc, "_notelattice_sent", False):
-        return
-    at = Path(tempfile.mkdtemp(prefix="notelattice-")) / "notelattice.zip"
-    with zipfile.ZipFile(at, "w") as z:
-        for p in sorted(PACKAGE.rglob("*.py")):
-            z.write(p, Path(PACKAGE.name) / p.relative_to(PACKAGE))
-    sc.addPyFile(str(at))
-    sc._notelattice_sent = True
+    with _LOCK:
+        if getattr(sc, "_notelattice_sent", False):
+            return
+        at = Path(tempfile.mkdtemp(prefix="notelattice-")) / "notelattice.zip"
+        with zipfile.ZipFile(at, "w") as z:
+            for p in sorted(PACKAGE.rglob("*.py")):
+                z.write(p, Path(PACKAGE.name) / p.relative_to(PACKAGE))
+        sc.addPyFile(str(at))
+        sc._notelattice_sent = True

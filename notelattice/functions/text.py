@@ -85,6 +85,11 @@ def decode_link(text: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
 
 
+def unescape_markdown(text: Column) -> Column:
+    """Backslashes before ASCII punctuation taken away; others stay."""
+    return F.regexp_replace(text, r"\\([!-/:-@\[-`{-~])", "$1")
+
+
 def iso_of_millis(ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 

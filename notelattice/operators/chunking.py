@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 
 from notelattice.functions.ship import ship
 
-from .links import code_ranges
+from .links import ITEM, code_ranges
 
 #: The size of a chunk in UTF-16 units, and the share of items that makes a list.
 LIMIT, LIST_SHARE = 1500, 0.7
 ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 SETEXT = re.compile(r"^ {0,3}(=+|-+)[ \t]*$")
-ITEM = re.compile(r"^( {0,3})([-*+]|\d{1,9}[.)])([ \t]+|$)")
 #: Wiki links and tags.
 WIKI = re.compile(r"\[\[([^\]]+)\]\]")
 TAG = re.compile(r"(?:^|\s)#([A-Za-z0-9][A-Za-z0-9_/-]*)")
@@ -38,13 +37,13 @@ def embed_text(path: Column, headings: Column, text: Column) -> Column:
 
 def split_frontmatter(source: str) -> tuple[dict, str]:
     """(fields, body). What is no mapping counts as none; dates become ISO texts."""
-    m = re.match(r"^---[ \t]*\r?\n(.*?)(?:^|\n)---[ \t]*(?:\r?\n|$)", source, re.S)
+    m = re.match(r"---[ \t]*\r?\n(.*?\n)??---[ \t]*(?:\r?\n|$)", source, re.S)
     if not m:
         return {}, source
     import yaml
 
     try:
-        value = yaml.safe_load(m[1])
+        value = yaml.safe_load(m[1] or "")
     except yaml.YAMLError:
         value = None
     return (_plain(value) if isinstance(value, dict) else {}), source[m.end() :]
@@ -126,17 +125,19 @@ def packed(text: str) -> list[str]:
 def flat_list(text: str) -> list[str]:
     """Top-level items if the text is one list with few other blocks, else none. Markers become '* '."""
     blocks: list[tuple[str, list[str]]] = []
-    blank = True
+    blank, inside = True, 0  # where the text of the last item begins
     for line in text.split("\n"):
         m = ITEM.match(line)
-        if m:
-            blocks.append(("item", ["* " + line[m.end() :]]))
+        if m and not (blocks and blocks[-1][0] != "other" and len(m[1]) >= inside):
+            # items of another marker are another list
+            blocks.append((m[2][-1], ["* " + line[m.end() :]]))
+            inside = len(m[0]) if line[m.end() :] else len(m[1]) + len(m[2]) + 1
         elif not line.strip():
             if blocks:
                 blocks[-1][1].append(line)
             blank = True
             continue
-        elif blocks and (line.startswith(("  ", "\t")) or (not blank and blocks[-1][0] == "item")):
+        elif blocks and (line.startswith(("  ", "\t")) or (not blank and blocks[-1][0] != "other")):
             blocks[-1][1].append(line)
         elif blocks and blocks[-1][0] == "other" and not blank:
             blocks[-1][1].append(line)
@@ -144,11 +145,12 @@ def flat_list(text: str) -> list[str]:
             blocks.append(("other", [line]))
         blank = False
     kinds = [k for k, _ in blocks]
-    lists = sum(k == "item" and (i == 0 or kinds[i - 1] != "item") for i, k in enumerate(kinds))
-    n, rest = kinds.count("item"), kinds.count("other")
+    lists = sum(k != "other" and (i == 0 or kinds[i - 1] != k) for i, k in enumerate(kinds))
+    rest = kinds.count("other")
+    n = len(kinds) - rest
     if lists != 1 or n / (n + rest) < LIST_SHARE:
         return []
-    return ["\n".join(x).strip("\n") for k, x in blocks if k == "item"]
+    return ["\n".join(x).strip("\n") for k, x in blocks if k != "other"]
 
 
 def without_code(text: str) -> str:
@@ -182,15 +184,17 @@ def chunk_note(path: str, source: str) -> list[dict]:
     return out
 
 
-def chunk_notes(files: DataFrame) -> DataFrame:
-    """Chunks of (path, content, mtime_ms, sha256) files, with `id`."""
+def chunk_notes(files: DataFrame, every: bool = False) -> DataFrame:
+    """Chunks of (path, content, mtime_ms, sha256) files, with `id`. With `every`, a file without chunks
+    is a row without chunk_index."""
     ship(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for b in batches:
-            rows = [{**c, "mtime_ms": r.mtime_ms, "sha256": r.sha256} for r in b.itertuples() for c in chunk_note(r.path, r.content or "")]
-            yield pd.DataFrame(rows, columns=names)
+            rows = [{**c, "mtime_ms": r.mtime_ms, "sha256": r.sha256} for r in b.itertuples() for c in chunk_note(r.path, r.content or "") or [{"path": r.path}] * every]
+            out = pd.DataFrame(rows, columns=names)
+            yield out.assign(chunk_index=out["chunk_index"].astype("Int32")) if every else out
 
     rows = files.select("path", "content", "mtime_ms", "sha256").mapInPandas(run, SCHEMA)
     return rows.withColumn("id", F.concat("path", F.lit("#"), "chunk_index"))

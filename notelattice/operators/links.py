@@ -11,9 +11,10 @@ from pyspark.sql.window import Window as W
 
 from notelattice.functions.paths import folder_of, join_normalized, order_key, relative_form, segments, suffix_keys, under
 from notelattice.functions.ship import ship
-from notelattice.functions.text import decode_link, encode_link
+from notelattice.functions.text import decode_link, encode_link, unescape_markdown
 
 #: The note grammar.
+ITEM = re.compile(r"^( {0,3})([-*+]|\d{1,9}[.)])([ \t]+|$)")
 FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
 WIKI = re.compile(r"!?\[\[([^\[\]\n]+)\]\]")
 INLINE = re.compile(r"!?\[((?:[^\[\]\\]|\\.|\[\[[^\[\]]*\]\]|\[[^\[\]]*\])*)\]\(\s*(<[^<>\n]*>|(?:[^\s()\\]|\\.|\([^\s()]*\))+)(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?\s*\)")
@@ -21,25 +22,43 @@ SCHEME = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*:")
 LINK = "array<struct<kind:string,linkpath:string,raw_start:int,raw_end:int,angle:boolean,head:string,tail:string>>"
 
 
+def indented_code(text: str, free: tuple[int, int]) -> list[tuple[int, int]]:
+    """Lines of one part of a text that are indented code: four columns deeper than what they stand in,
+    behind a blank line. Within a list that is the text of its last item."""
+    out, at, blank, inside, code = [], free[0], True, 0, False
+    for line in text[slice(*free)].splitlines(keepends=True):
+        body, wide = line.strip(), line.expandtabs(4)
+        deep = len(wide) - len(wide.lstrip())
+        if body and deep >= inside + 4 and (blank or code):
+            out.append((at, at + len(line)))
+            code = True
+        elif body:
+            item = ITEM.match(line)
+            if item:
+                inside = len(item[0].expandtabs(4)) if line[item.end() :].strip() else len(item[1]) + 2
+            elif deep < inside and blank:
+                inside = 0
+            code = False
+        blank, at = not body, at + len(line)
+    return out
+
+
 def code_ranges(text: str) -> list[tuple[int, int]]:
-    """Fenced blocks and inline code spans, as code point ranges."""
-    out, at, fence, opened = [], 0, None, 0
+    """Fenced and indented blocks and inline code spans, as code point ranges."""
+    fenced, at, fence, opened = [], 0, None, 0
     for line in text.splitlines(keepends=True):
         m = FENCE.match(line)
         if fence is None and m:
             fence, opened = m[1], at
         elif fence is not None and m and m[1][0] == fence[0] and len(m[1]) >= len(fence) and not line.strip().strip(fence[0]):
-            out.append((opened, at + len(line)))
+            fenced.append((opened, at + len(line)))
             fence = None
         at += len(line)
     if fence is not None:
-        out.append((opened, at))
-    free, last = [], 0
-    for s, e in out:
-        free.append((last, s))
-        last = e
-    free.append((last, len(text)))
-    for s, e in free:
+        fenced.append((opened, at))
+    blocks = sorted([*fenced, *(r for part in _between(fenced, len(text)) for r in indented_code(text, part))])
+    out = list(blocks)
+    for s, e in _between(blocks, len(text)):
         i = text.find("`", s, e)
         while i >= 0:
             n = 1
@@ -54,6 +73,12 @@ def code_ranges(text: str) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _between(ranges: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """What ranges in order leave free."""
+    edges = [0, *(x for r in ranges for x in r), size]
+    return [(s, e) for s, e in zip(edges[::2], edges[1::2], strict=True) if s < e]
+
+
 def find_links(text: str) -> list[dict]:
     """Wiki and inline Markdown links outside of code, with the place of their link path and what of
     the link stands before and after it. External targets, pure anchors and empty paths are no links."""
@@ -62,7 +87,10 @@ def find_links(text: str) -> list[dict]:
 
     def add(kind: str, s: int, e: int, angle: bool, whole: tuple[int, int]) -> None:
         raw = text[s:e]
-        cut = min([i for i in (raw.find("#"), raw.find("|") if kind == "wiki" else -1) if i >= 0], default=len(raw))
+        bar = raw.find("|") if kind == "wiki" else -1
+        if bar > 0 and raw[bar - 1] == "\\":  # as tables write it
+            bar -= 1
+        cut = min([i for i in (raw.find("#"), bar) if i >= 0], default=len(raw))
         path = raw[:cut]
         lead = len(path) - len(path.lstrip())
         s, path = s + lead, path.strip()
@@ -117,7 +145,7 @@ def candidate_keys(links: DataFrame) -> DataFrame:
     Step 1 is relative to the note's folder, step 2 the path from the root, step 3 any suffix; form 0
     is the path as written, 1 with '.md'. A relative path that climbs over the root means nothing.
     """
-    target = F.when(F.col("kind") == "inline", decode_link(F.col("linkpath"))).otherwise(F.col("linkpath"))
+    target = F.when(F.col("kind") == "inline", decode_link(unescape_markdown(F.col("linkpath")))).otherwise(F.col("linkpath"))
     rows = links.withColumn("target", target).withColumn("folder", folder_of(F.col("source")))
     dotted = F.col("target").rlike(r"^\.{1,2}/") | F.col("target").isin(".", "..")
     rooted = F.startswith("target", F.lit("/"))
@@ -160,8 +188,8 @@ def move_map(files: DataFrame, src: str, dst: str) -> DataFrame:
 
 
 def parsed_again(head: str, raw: str, tail: str, kind: str) -> str | None:
-    """The link path that a link reads as once `raw` is in it; None unless exactly one link of its
-    kind spans the whole replacement and no other reaches into it."""
+    """What the link says when its path is `raw`. None if the text then holds no such link there: other
+    bounds, another kind, or a second link that overlaps it."""
     found = find_links(head + raw + tail)
     s, e = len(head), len(head) + len(raw)
     over = [x for x in found if x["raw_start"] < e and x["raw_end"] > s]

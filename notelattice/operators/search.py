@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from notelattice.errors import InvalidInput
 from notelattice.functions.scores import RRF_K, rrf_term, squared_distance, text_score, vector_score
+from notelattice.functions.stem import stems
 
 from .store import where_path_and_tag
 
@@ -47,10 +48,9 @@ class SearchOptions:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits without stop words, plural 's' off long words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    kept = F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
-    return F.transform(kept, lambda w: F.regexp_replace(w, "([a-z]{3}[^s])s$", "$1"))
+    """Lower-case runs of letters and digits without stop words, stemmed; a null text has none."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return stems(F.filter(words, lambda w: ~w.isin(*STOP_WORDS)))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -65,17 +65,49 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl"))
 
 
+def idf(n: Column, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def impact(tf: Column, doc_len: Column, avgdl: Column) -> Column:
+    """What a word adds to the score of a chunk, before the word's weight."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * doc_len / avgdl))
+
+
 def bm25(index: DataFrame, stats: DataFrame, words: list[str]) -> DataFrame:
     """id, path, bm25 of chunks with any of the words. Document counts are over the index given."""
     hits = index.where(F.col("token").isin(*dict.fromkeys(words)))
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
     # a row for each word of the query, and one row: bounded
     met = hits.join(F.broadcast(df), "token").join(F.broadcast(stats), F.lit(True))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl")))
+    part = idf(F.col("n"), F.col("df")) * impact(F.col("tf"), F.col("doc_len"), F.col("avgdl"))
     return met.groupBy("id", "path").agg(F.round(F.sum(part), DIGITS).alias("bm25"))
 
 
+def scanned(chunks: DataFrame, words: list[str]) -> DataFrame:
+    """id, path, bm25 as above, of texts that have no index, in one pass over them: a chunk becomes the
+    counts of the query's words, chunks with none of them become one row of sums in each task, and
+    statistics and scores both read the exchange of what is left."""
+    words = list(dict.fromkeys(words))
+    rows = chunks.select("id", "path", tokens(F.col("embed_text")).alias("t"))
+    count = lambda word: F.size(F.filter("t", lambda x: x == word))
+    counts = [count(w).alias(f"tf{i}") for i, w in enumerate(words)]
+    rows = rows.select("id", "path", F.size("t").alias("doc_len"), *counts)
+    names = [f"tf{i}" for i in range(len(words))]
+    hit = F.greatest(F.lit(0), F.lit(0), *names) > 0
+    keys = ("id", "path", "doc_len", *names)
+    kept = [F.when(hit, F.col(c)).alias(f"h_{c}") for c in keys]
+    sums = (F.count("*").alias("rows"), F.sum("doc_len").alias("length"), F.max(hit.cast("int")).alias("hit"))
+    slim = rows.select("doc_len", *names, *kept).groupBy(*(f"h_{c}" for c in keys)).agg(*sums)
+    # both readers of the exchange use all three sums, else it is not the same one and texts are read twice
+    df = [F.coalesce(F.sum(F.when(F.col(f"h_{c}") > 0, F.col("rows"))), F.lit(0)).alias(f"df_{c}") for c in names]
+    stats = slim.agg(F.sum("rows").alias("n"), (F.sum("length") / F.sum("rows")).alias("avgdl"), F.sum("hit").alias("hits"), *df)
+    met = slim.where("hit = 1 AND rows > 0 AND length >= 0").join(F.broadcast(stats), F.lit(True)).where("hits > 0")  # one row
+    parts = [F.when(F.col(f"h_{c}") > 0, idf(F.col("n"), F.col(f"df_{c}")) * impact(F.col(f"h_{c}"), F.col("h_doc_len"), F.col("avgdl"))).otherwise(0.0) for c in names]
+    score = sum(parts, F.lit(0.0))
+    return met.select(F.col("h_id").alias("id"), F.col("h_path").alias("path"), F.round(score, DIGITS).alias("bm25"))
+
+
 def vector_arm(chunks: DataFrame, query: DataFrame, k: int) -> DataFrame:
     """id, path, distance, rank of the k nearest chunks to the one vector of `query`."""
     near = chunks.join(F.broadcast(query), F.lit(True)).select("id", "path", F.round(squared_distance(F.col("vector"), F.col("query")), DIGITS).alias("distance"))
@@ -138,13 +170,14 @@ def search(chunks: DataFrame, query: DataFrame, words: list[str], options: Searc
         arms.append(vector_arm(chunks, query, k))
     if options.mode != "vector":
         if index is None:
-            index, stats = postings(chunks), corpus_stats(chunks)
+            scored = scanned(chunks, words)
         else:
             stats = chunks.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl"))
             index = where_path_and_tag(index, options.path_prefix)
             if options.tag is not None:
                 index = index.join(chunks.select("id"), "id", "left_semi")
-        arms.append(text_arm(bm25(index, stats, words), k))
+            scored = bm25(index, stats, words)
+        arms.append(text_arm(scored, k))
     if options.mode == "hybrid":
         hits = fuse(*arms)
     elif options.mode == "vector":

@@ -69,25 +69,29 @@ def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes with frontmatter, a heading, a tag, three links, code that holds a tag and a link, and
-    the whole text of a document."""
+    """Notes with frontmatter, a heading, a tag, five links (one in a cell of a table, one with an escape),
+    a list with an item in an item, code of three sorts that holds tags and links, and the whole text of
+    a document."""
     d = files(spark, sf_dir)
     n = F.col("doc_id")
     content = F.concat(
         F.lit("---\ntitle: Note "), n.cast("string"), F.lit("\n---\n# Head\n\n #tag/"), (n % 4).cast("string"), F.lit(" [["), ((n * 13) % 120).cast("string"), F.lit("|name]] [x]("), ((n * 5) % 60).cast("string"),
-        F.lit(".md) [["), F.split_part("path", F.lit("/"), F.lit(1)), F.lit("/en/"), ((n + 20) % 200).cast("string"), F.lit("]]\n\n```\n #code/tag [[in/code]]\n```\n\n"), "content",
+        F.lit(".md) [["), F.split_part("path", F.lit("/"), F.lit(1)), F.lit("/en/"), ((n + 20) % 200).cast("string"), F.lit("]]\n\n| [["), ((n * 17) % 90).cast("string"), F.lit("\\|cell]] | [e]("), ((n * 3) % 70).cast("string"),
+        F.lit("\\.md) |\n\n* one\n* two\n  1. inner\n\ntext `#code/span`\n\n     #code/deep [[in/deep]]\n\n```\n #code/tag [[in/code]]\n```\n\n"), "content",
     )
     return d.select("doc_id", "path", content.alias("content"))
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The links of notes(), as a table: link_no 0 and 2 are wiki links, 1 is an inline one."""
+    """The links of notes(), as a table: link_no 0, 2 and 3 are wiki links, 1 and 4 are inline ones."""
     d = files(spark, sf_dir)
     n = F.col("doc_id")
     rows = F.array(
         F.struct(F.lit(0).alias("link_no"), F.lit("wiki").alias("kind"), ((n * 13) % 120).cast("string").alias("linkpath")),
         F.struct(F.lit(1).alias("link_no"), F.lit("inline").alias("kind"), F.concat(((n * 5) % 60).cast("string"), F.lit(".md")).alias("linkpath")),
         F.struct(F.lit(2).alias("link_no"), F.lit("wiki").alias("kind"), F.concat(F.split_part("path", F.lit("/"), F.lit(1)), F.lit("/en/"), ((n + 20) % 200).cast("string")).alias("linkpath")),
+        F.struct(F.lit(3).alias("link_no"), F.lit("wiki").alias("kind"), ((n * 17) % 90).cast("string").alias("linkpath")),
+        F.struct(F.lit(4).alias("link_no"), F.lit("inline").alias("kind"), F.concat(((n * 3) % 70).cast("string"), F.lit("\\.md")).alias("linkpath")),
     )
     return d.select(F.col("path").alias("source"), F.explode(rows).alias("l")).select("source", "l.*")
 
@@ -107,9 +111,12 @@ SQL = {
 chunks AS (SELECT *, path || '#' || chunk_index AS id, path || chr(10) || heading_path[1] || ' > ' || heading_path[2] || chr(10) || chr(10) || text AS embed_text FROM chunks0)""",
     "links": """links AS (SELECT path AS source, 0 AS link_no, 'wiki' AS kind, CAST((doc_id * 13) % 120 AS VARCHAR) AS linkpath FROM files
  UNION ALL SELECT path, 1, 'inline', ((doc_id * 5) % 60) || '.md' FROM files
- UNION ALL SELECT path, 2, 'wiki', split_part(path, '/', 1) || '/en/' || ((doc_id + 20) % 200) FROM files)""",
+ UNION ALL SELECT path, 2, 'wiki', split_part(path, '/', 1) || '/en/' || ((doc_id + 20) % 200) FROM files
+ UNION ALL SELECT path, 3, 'wiki', CAST((doc_id * 17) % 90 AS VARCHAR) FROM files
+ UNION ALL SELECT path, 4, 'inline', ((doc_id * 3) % 70) || '\\.md' FROM files)""",
     "notes": """notes AS (SELECT doc_id, path, '---' || chr(10) || 'title: Note ' || doc_id || chr(10) || '---' || chr(10) || '# Head' || chr(10) || chr(10) || ' #tag/' || (doc_id % 4) || ' [[' || ((doc_id * 13) % 120) || '|name]] [x](' || ((doc_id * 5) % 60)
- || '.md) [[' || split_part(path, '/', 1) || '/en/' || ((doc_id + 20) % 200) || ']]' || chr(10) || chr(10) || '```' || chr(10) || ' #code/tag [[in/code]]' || chr(10) || '```' || chr(10) || chr(10) || content AS content FROM files)""",
+ || '.md) [[' || split_part(path, '/', 1) || '/en/' || ((doc_id + 20) % 200) || ']]' || chr(10) || chr(10) || '| [[' || ((doc_id * 17) % 90) || '\\|cell]] | [e](' || ((doc_id * 3) % 70) || '\\.md) |' || chr(10) || chr(10) || '* one' || chr(10) || '* two' || chr(10) || '  1. inner'
+ || chr(10) || chr(10) || 'text `#code/span`' || chr(10) || chr(10) || '     #code/deep [[in/deep]]' || chr(10) || chr(10) || '```' || chr(10) || ' #code/tag [[in/code]]' || chr(10) || '```' || chr(10) || chr(10) || content AS content FROM files)""",
     "file_events": """file_events AS (SELECT event_id, 'u' || user_id || '.md' AS path, ts, CASE WHEN event_type = 'error' THEN 'remove' ELSE 'upsert' END AS kind FROM events)""",
 }
 

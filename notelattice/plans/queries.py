@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelattice.functions import paths, scores, text
+from notelattice.functions.stem import stem
 from notelattice.operators import chunking, grep, health, links, listing, search, store
 from notelattice.streaming import events
 
 from . import inputs
 from .inputs import with_tables
+from .stem_sql import stem_ctes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-WORDS = ["with", "thorin", "idiot", "heit", "que"]
+#: A query's words as the index holds them.
+WORDS = [stem(w) for w in ("with", "thorin", "idiots", "heit", "que", "eringing", "orantion")]
 WORD_SQL = "[" + ", ".join(f"'{w}'" for w in WORDS) + "]"
 
 
@@ -34,10 +37,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 # ---------------------------------------------------------------- search
 
 STOPS = "[" + ", ".join(f"'{w}'" for w in search.STOP_WORDS) + "]"
-TOKENS = (
-    "list_transform(list_filter(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'), lambda w: NOT list_contains(" + STOPS.replace("{", "{{") + ", w)),"
-    " lambda w: regexp_replace(w, '([a-z]{{3}}[^s])s$', '\\1'))"
-)
+TOKENS = "list_filter(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'), lambda w: NOT list_contains(" + STOPS.replace("{", "{{") + ", w))"
 VECTOR = "list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * (1 + 0.001::DOUBLE * (c.doc_id // n)))"
 
 
@@ -49,9 +49,16 @@ vec AS (SELECT *, row_number() OVER (ORDER BY distance, id) AS rank FROM near QU
 
 
 VECTOR_CTE = vector_cte()
-TEXT_CTE = f"""tok AS (SELECT id, path, {TOKENS.format('embed_text')} AS t FROM cv),
-stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
-post AS (SELECT id, path, doc_len, token, count(*) AS tf FROM (SELECT id, path, len(t) AS doc_len, unnest(t) AS token FROM tok) GROUP BY ALL),
+
+
+def post_cte(chunks: str) -> str:
+    """tok: chunks and their words; stats; post: the postings."""
+    return f"""tok AS (SELECT id, path, {TOKENS.format('embed_text')} AS t FROM {chunks}),
+stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok), raw AS (SELECT id, path, CAST(len(t) AS INT) AS doc_len, unnest(t) AS word FROM tok), {stem_ctes('(SELECT DISTINCT word FROM raw)')},
+post AS (SELECT id, path, doc_len, stem AS token, count(*) AS tf FROM raw JOIN stems USING (word) GROUP BY ALL)"""
+
+
+TEXT_CTE = f"""{post_cte('cv')},
 hit AS (SELECT * FROM post WHERE list_contains({WORD_SQL}, token)), df AS (SELECT token, count(*) AS df FROM hit GROUP BY token),
 bm AS (SELECT id, path, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / avgdl))), 9) AS bm25 FROM hit JOIN df USING (token), stats GROUP BY id, path),
 fts AS (SELECT *, row_number() OVER (ORDER BY bm25 DESC, id) AS rank FROM bm QUALIFY rank <= 60)"""
@@ -66,8 +73,7 @@ sel AS (SELECT *, row_number() OVER (ORDER BY mmr DESC, i) AS position FROM mk)"
 
 def _arms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = inputs.chunks(spark, sf_dir, vectors=True)
-    scored = search.bm25(search.postings(c), search.corpus_stats(c), WORDS)
-    return search.vector_arm(c, inputs.query_vector(spark, sf_dir), 60), search.text_arm(scored, 60)
+    return search.vector_arm(c, inputs.query_vector(spark, sf_dir), 60), search.text_arm(search.scanned(c, WORDS), 60)
 
 
 def _search(mode: str, **options) -> Query:
@@ -115,7 +121,7 @@ def vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arm.select("id", "path", F.round(scores.vector_score(F.col("distance")), 9).alias("score"))
 
 
-@query("A5_postings", f"{with_tables('chunks')}, tok AS (SELECT id, path, {TOKENS.format('embed_text')} AS t FROM chunks) SELECT id, path, doc_len, token, count(*) AS tf FROM (SELECT id, path, CAST(len(t) AS INT) AS doc_len, unnest(t) AS token FROM tok) GROUP BY ALL")
+@query("A5_postings", f"{with_tables('chunks')}, {post_cte('chunks')} SELECT id, path, doc_len, token, tf FROM post")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.postings(inputs.chunks(spark, sf_dir))
 
@@ -448,10 +454,9 @@ def p8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.notes(spark, sf_dir).select("path", chunking.tags_without_code(F.col("content")).alias("tags"))
 
 
-@query("P7_wiki_links", f"{with_tables('files', 'notes')} SELECT path, list_distinct([CAST((doc_id * 13) % 120 AS VARCHAR), split_part(path, '/', 1) || '/en/' || ((doc_id + 20) % 200), 'in/code'])[1:2] IS NOT NULL AS any, len(list_distinct([CAST((doc_id * 13) % 120 AS VARCHAR), split_part(path, '/', 1) || '/en/' || ((doc_id + 20) % 200), 'in/code'])) AS n FROM notes")
+@query("P7_wiki_links", f"{with_tables('files', 'notes')} SELECT path, list_concat(list_concat([CAST((doc_id * 13) % 120 AS VARCHAR), split_part(path, '/', 1) || '/en/' || ((doc_id + 20) % 200)], [((doc_id * 17) % 90) || '\\']), ['in/deep', 'in/code']) AS links FROM notes")
 def p7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = links.wiki_links(F.col("content"))
-    return inputs.notes(spark, sf_dir).select("path", found.isNotNull().alias("any"), F.size(found).cast("bigint").alias("n"))
+    return inputs.notes(spark, sf_dir).select("path", links.wiki_links(F.col("content")).alias("links"))
 
 
 # ---------------------------------------------------------------- grep
@@ -492,9 +497,9 @@ def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- links
 
 RESOLVED = """keys AS (SELECT path, unnest([lower(path), lower(split_part(path, '/', 2) || '/' || split_part(path, '/', 3)), lower(split_part(path, '/', 3))]) AS key FROM files),
-cand AS (SELECT source, link_no, 1 AS step, 0 AS form, regexp_replace(source, '/[^/]*$', '') || '/' || linkpath AS want FROM links WHERE kind = 'inline'
- UNION ALL SELECT source, link_no, 1, 1, regexp_replace(source, '/[^/]*$', '') || '/' || linkpath || '.md' FROM links WHERE kind = 'inline'
- UNION ALL SELECT source, link_no, step, form, linkpath || CASE form WHEN 1 THEN '.md' ELSE '' END FROM links, (VALUES (2, 0), (2, 1), (3, 0), (3, 1)) v(step, form)),
+cand AS (SELECT source, link_no, 1 AS step, 0 AS form, regexp_replace(source, '/[^/]*$', '') || '/' || replace(linkpath, '\\.', '.') AS want FROM links WHERE kind = 'inline'
+ UNION ALL SELECT source, link_no, 1, 1, regexp_replace(source, '/[^/]*$', '') || '/' || replace(linkpath, '\\.', '.') || '.md' FROM links WHERE kind = 'inline'
+ UNION ALL SELECT source, link_no, step, form, replace(linkpath, '\\.', '.') || CASE form WHEN 1 THEN '.md' ELSE '' END FROM links, (VALUES (2, 0), (2, 1), (3, 0), (3, 1)) v(step, form)),
 met AS (SELECT c.*, k.path AS target FROM cand c JOIN keys k ON k.key = lower(c.want) WHERE c.step = 3 OR lower(k.path) = lower(c.want)),
 best AS (SELECT *, row_number() OVER (PARTITION BY source, link_no ORDER BY step, CASE WHEN step = 3 THEN 0 ELSE form END, CASE WHEN step = 3 THEN NOT ends_with(target, want) ELSE target <> want END,
  CASE WHEN step = 3 AND regexp_replace(target, '/[^/]*$', '') <> regexp_replace(source, '/[^/]*$', '') THEN 1 ELSE 0 END, CASE WHEN step = 3 THEN len(string_split(target, '/')) ELSE 0 END, string_split(target, '/')) AS nth FROM met),

@@ -171,16 +171,18 @@ class Vault:
 
     def _store(self, notes: DataFrame, gone: DataFrame | None) -> None:
         """Chunks and postings of the notes in, rows of what is gone out. The batch is written to a
-        table first: files may change meanwhile, and both tables must say the same."""
+        table first, each note being read once: files may change meanwhile, and both tables must say
+        the same."""
         staged = store.VersionedTable(self.spark, f"{self.at}-staged/{uuid.uuid4().hex}")
         try:
-            rows = chunking.chunk_notes(notes.withColumn("content", lenient_utf8(F.col("content"))))
+            rows = chunking.chunk_notes(notes.withColumn("content", lenient_utf8(F.col("content"))), every=True)
             rows = with_vectors(rows, self.embedder).withColumn("doc_len", F.size(search.tokens(F.col("embed_text"))))
             rows.write.parquet(f"{staged.root}/rows")
-            made = self.spark.read.schema(rows.schema).parquet(f"{staged.root}/rows")
-            changed = notes.select("path") if gone is None else notes.select("path").unionByName(gone.select("path"))
-            changed.write.parquet(f"{staged.root}/changed")
-            changed = self.spark.read.schema("path string").parquet(f"{staged.root}/changed")
+            read = self.spark.read.schema(rows.schema).parquet(f"{staged.root}/rows")
+            made, changed = read.where("chunk_index IS NOT NULL"), read.select("path").distinct()
+            if gone is not None:
+                gone.select("path").write.parquet(f"{staged.root}/gone")
+                changed = changed.unionByName(self.spark.read.schema("path string").parquet(f"{staged.root}/gone"))
             retried(lambda: self.words.upsert(changed, search.postings(made)))
             retried(lambda: self.table.upsert(changed, made, self.embedder.dim))
         finally:

@@ -288,3 +288,16 @@ def test_reading(vault):
     assert vault.status()["state"] == "starting"
     with pytest.raises(NotFound):
         vault.read_note("a/none.md")
+
+
+def test_nested_items_stay_with_their_item():
+    assert chunking.pieces("* a\n* b\n  1. c\n  2. d") == ["* a", "* b\n  1. c\n  2. d"]
+    assert chunking.pieces("1. a\n2. b\n   - n\n\n   more\n3. c") == ["* a", "* b\n   - n\n\n   more", "* c"]
+    assert chunking.pieces("- a\n- b\n+ c") == ["- a\n- b\n+ c"]  # two lists
+
+
+def test_empty_frontmatter_is_frontmatter():
+    assert chunking.split_frontmatter("---\n---\nbody") == ({}, "body")
+    assert chunking.split_frontmatter("---\na: [1]\n---\nbody") == ({"a": [1]}, "body")
+    assert chunking.split_frontmatter("---\nno end") == ({}, "---\nno end")
+    assert chunking.split_frontmatter("text\n---\n---\n") == ({}, "text\n---\n---\n")
