@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -66,9 +67,14 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 
 
 def idf(n: Column, df: Column) -> Column:
+    """The weight of a word."""
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def idf_of(n: int, df: int) -> float:
+    return math.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
 def impact(tf: Column, doc_len: Column, avgdl: Column) -> Column:
     """What a word adds to the score of a chunk, before the word's weight."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * doc_len / avgdl))
@@ -159,17 +165,27 @@ def above(hits: DataFrame, threshold: float) -> DataFrame:
     return hits.where(F.col("score") >= threshold) if threshold > 0 else hits
 
 
-def search(chunks: DataFrame, query: DataFrame, words: list[str], options: SearchOptions, index: DataFrame | None = None) -> DataFrame:
+def candidates(options: SearchOptions) -> int:
+    """What each arm is asked for."""
+    return max(MIN_CANDIDATES, OVERFETCH * options.limit)
+
+
+def search(
+    chunks: DataFrame, query: DataFrame, words: list[str], options: SearchOptions, index: DataFrame | None = None, near: DataFrame | None = None, scored: DataFrame | None = None
+) -> DataFrame:
     """id, path, score, position of the hits of a search. `query` is one row with the vector; `index`
     is the kept postings of the chunks, which then have their doc_len: no text is read. Counts for
-    BM25 are of what is searched, after the path and tag filters."""
+    BM25 are of what is searched, after the path and tag filters. `near` and `scored` are the arms as
+    a vector index and an impact index gave them."""
     chunks = where_path_and_tag(chunks, options.path_prefix, options.tag)
-    k = max(MIN_CANDIDATES, OVERFETCH * options.limit)
+    k = candidates(options)
     arms = []
     if options.mode != "fts":
-        arms.append(vector_arm(chunks, query, k))
+        arms.append(vector_arm(chunks, query, k) if near is None else near)
     if options.mode != "vector":
-        if index is None:
+        if scored is not None:
+            pass
+        elif index is None:
             scored = scanned(chunks, words)
         else:
             stats = chunks.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl"))

@@ -126,16 +126,11 @@ def bucket_of(path: Column) -> Column:
 
 
 @dataclass
-class VersionedTable:
-    """A Parquet table in buckets by path. A version is a pointer file that lists the folder of each
-    bucket; pointers are numbered, made by a rename to a name that is new, and the highest counts, so
-    that a reader always finds a whole version. An upsert writes the buckets that it touches and keeps
-    the folders of the others. One writer at a time. Paths are Hadoop paths, so any store that Spark
-    reads will do."""
+class Folder:
+    """A folder of any store that Spark reads, with small files that appear whole."""
 
     spark: SparkSession
     root: str
-    order: tuple[str, ...] = ("path",)
 
     def _fs(self):
         jvm = self.spark._jvm
@@ -171,14 +166,45 @@ class VersionedTable:
         for name in names:
             fs.delete(jvm.org.apache.hadoop.fs.Path(self.root, name), True)
 
-    def remove(self) -> None:
-        jvm, fs = self._fs()
-        fs.delete(jvm.org.apache.hadoop.fs.Path(self.root), True)
-
     def current(self) -> dict | None:
         names = self._names("pointer-")
         return json.loads(self._read_text(names[-1])) if names else None
 
+
+@dataclass
+class Snapshots(Folder):
+    """Folders of whole versions, each told of by a numbered pointer file; the last two stay."""
+
+    def new(self) -> str:
+        return f"v{uuid.uuid4().hex}"
+
+    def publish(self, told: dict) -> dict:
+        """Makes a version current that lies in the folder told["at"]."""
+        names = self._names("pointer-")
+        self._publish(f"pointer-{int(names[-1][8:-5]) + 1 if names else 1:012d}.json", json.dumps(told))
+        last = self._names("pointer-")[-2:]
+        held = {json.loads(self._read_text(n))["at"] for n in last}
+        self._remove(*(n for n in self._names("pointer-") if n not in last), *(f for f in self._names("v") if f not in held))
+        return told
+
+    def remove(self, name: str) -> None:
+        self._remove(name)
+
+
+@dataclass
+class VersionedTable(Folder):
+    """A Parquet table in buckets by path. A version is a pointer file that lists the folder of each
+    bucket; pointers are numbered, made by a rename to a name that is new, and the highest counts, so
+    that a reader always finds a whole version. An upsert writes the buckets that it touches and keeps
+    the folders of the others. One writer at a time. Paths are Hadoop paths, so any store that Spark
+    reads will do."""
+
+    order: tuple[str, ...] = ("path",)
+
+    def remove(self) -> None:
+        jvm, fs = self._fs()
+        fs.delete(jvm.org.apache.hadoop.fs.Path(self.root), True)
+
     def read(self, dim: int | None = None) -> DataFrame | None:
         """The current version, or None; a wrong vector size is an error."""
         at = self.current()

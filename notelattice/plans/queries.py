@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from notelattice.functions import paths, scores, text
 from notelattice.functions.stem import stem
-from notelattice.operators import chunking, grep, health, links, listing, search, store
+from notelattice.operators import chunking, grep, health, impacts, links, listing, search, store, vectors
 from notelattice.streaming import events
+from notelattice.vault import index_folder
 
 from . import inputs
 from .inputs import with_tables
@@ -139,6 +140,35 @@ def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.evaluate(wanted.select("query_id", "expected_path"), hits)
 
 
+@query("K3_impact_index", f"{with_tables('chunks')}, cv AS (SELECT * FROM chunks), {TEXT_CTE} SELECT id, path, bm25, rank FROM fts")
+def impact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of an index made of all chunks, which skips what cannot be among them."""
+    c = inputs.chunks(spark, sf_dir)
+    index = impacts.ImpactIndex(spark, index_folder(spark))
+    index.build(search.postings(c), search.corpus_stats(c))
+    return index.search(WORDS, 60)
+
+
+@query("K3_vector_index")
+def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each row whose id is divisible by 100 as a query against an index of all rows: hits, the
+    nearest and the farthest distance, the lists that were probed, and for a bounded number of queries the
+    share of the true 60 nearest rows that was found."""
+    c = inputs.chunks(spark, sf_dir, vectors=True)
+    index = vectors.VectorIndex(spark, index_folder(spark))
+    told = index.build(c)
+    asked = inputs.query_set(spark, sf_dir).select("query_id", "query")
+    hits = index.search_all(asked, 60)
+    measured = asked.orderBy(F.xxhash64("query_id")).limit(256)
+    truth = vectors.exact_hits(c.select("id", "vector"), measured, 60).groupBy("query_id").agg(F.max("distance").alias("least"), F.count("*").alias("wanted"))
+    # rows as near as the farthest true one count: there are ties
+    met = hits.join(truth, "query_id", "left").groupBy("query_id").agg(
+        F.count("*").alias("hits"), F.min("distance").alias("nearest"), F.max("distance").alias("farthest"),
+        F.round(F.sum((F.col("distance") <= F.col("least") + 1e-6).cast("int")) / F.max("wanted"), 6).alias("recall"),
+    )
+    return met.select("*", F.lit(told["probes"]).alias("probed"), F.lit(len(told["centres"])).alias("lists"))
+
+
 # ---------------------------------------------------------------- store
 
 

@@ -28,6 +28,8 @@ from notelattice.errors import AlreadyExists, InvalidBody, InvalidInput, Invalid
 from notelattice.functions.paths import is_indexable, mime, under
 from notelattice.functions.text import lenient_utf8
 from notelattice.operators import chunking, grep, links, listing, search, store
+from notelattice.operators import impacts as impact_index
+from notelattice.operators import vectors as vector_index
 from notelattice.operators.embed import Embedder, HashEmbedder, with_vectors
 from notelattice.serving import FairSemaphore, PathLocks, map_in_order, retried
 from notelattice.sources.guard import Gone, check_contained, check_source, parents, read_regular, safe_join, safe_path
@@ -67,7 +69,9 @@ class Vault:
         self.at = (tables or index_folder(spark)).rstrip("/") + "/" + slug
         self.table = store.VersionedTable(spark, self.at)
         self.words = store.VersionedTable(spark, self.at + "-words", ("token",))
-        self.locks, self.moves = PathLocks(), threading.Lock()
+        self.near = vector_index.VectorIndex(spark, self.at + "-vectors")
+        self.impacts = impact_index.ImpactIndex(spark, self.at + "-impacts")
+        self.locks, self.moves, self.building = PathLocks(), threading.Lock(), threading.Lock()
 
     # ---- reading
 
@@ -123,7 +127,14 @@ class Vault:
         one = self.spark.range(1).select(F.lit(vector).cast("array<float>").alias("query"))
         words = self.spark.range(1).select(search.tokens(F.lit(query)).alias("w")).first()["w"]
         chunks = self.chunks()
-        hits = search.search(chunks, one, words, chosen, self.words.read())
+        near = scored = None
+        if chosen.path_prefix is None and chosen.tag is None:  # the indexes are of everything
+            mark, k = self._mark(), search.candidates(chosen)
+            if chosen.mode != "fts" and (self.near.current() or {}).get("mark") == mark:
+                near = self.near.search(vector, k)
+            if chosen.mode != "vector" and (self.impacts.current() or {}).get("mark") == mark:
+                scored, _ = self.impacts.scored(words, k)
+        hits = search.search(chunks, one, words, chosen, self.words.read(), near, scored)
         return hits.join(chunks.select("id", "chunk_index", "heading_path", "text", "links", "tags", "frontmatter"), "id").orderBy("position")
 
     def texts(self) -> DataFrame:
@@ -169,6 +180,25 @@ class Vault:
             self._store(read.join(actions.select("path"), "path", "left_semi"), store.swept(old, seen))
         return store.document_count(self.chunks()).first().asDict()
 
+    def _mark(self) -> str:
+        """The state of both tables that an index is made of."""
+        return f"{(self.table.current() or {}).get('version')} {(self.words.current() or {}).get('version')}"
+
+    def build_indexes(self) -> bool:
+        """Makes the vector index and the impact index of what is stored now, one build at a time; false
+        if there are fewer rows than an index is worth. Searches without filters use them until the
+        next change, and scan as before from then on."""
+        with self.building:
+            chunks, mark = self.chunks(), self._mark()
+            stats = chunks.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl"))
+            if stats.first()["n"] < vector_index.LEAST_ROWS:
+                return False
+            if (self.near.current() or {}).get("mark") != mark:
+                self.near.build(chunks, mark=mark)
+            if (self.impacts.current() or {}).get("mark") != mark:
+                self.impacts.build(self.words.read(), stats, mark)
+            return True
+
     def _store(self, notes: DataFrame, gone: DataFrame | None) -> None:
         """Chunks and postings of the notes in, rows of what is gone out. The batch is written to a
         table first, each note being read once: files may change meanwhile, and both tables must say

@@ -62,6 +62,23 @@ def test_search_reads_no_text(vault):
     assert "embed_text" not in plan.split("== Physical Plan ==")[1] and "regexp_extract_all" not in plan
 
 
+def test_searches_by_index_are_those_by_scan(vault, monkeypatch):
+    from notelattice.operators import vectors
+
+    assert not vault.build_indexes()  # too few rows
+    monkeypatch.setattr(vectors, "LEAST_ROWS", 1)
+    shown = lambda **o: [(r["id"], r["score"], r["position"]) for r in vault.search("alpha beta words", **o).collect()]
+    want = {mode: shown(mode=mode) for mode in ("hybrid", "vector", "fts")}
+    assert vault.build_indexes() and vault.build_indexes()
+    asked = []
+    for index, name in ((vault.near, "search"), (vault.impacts, "scored")):
+        own = getattr(index, name)
+        monkeypatch.setattr(index, name, lambda *a, own=own, name=name: asked.append(name) or own(*a))
+    assert {mode: shown(mode=mode) for mode in want} == want
+    assert asked == ["search", "scored", "search", "scored"]
+    assert vault.write_file("c/late.md", "alpha alpha") and "c/late.md" in found(vault, "alpha") and len(asked) == 4  # indexes are of the state before
+
+
 def test_failed_index_never_fails_the_write(vault, monkeypatch):
     monkeypatch.setattr(vault, "_store", lambda *a: 1 / 0)
     assert vault.write_file("a/late.md", "later") is False and vault.read_file("a/late.md")["content"] == "later"
