@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -121,7 +122,7 @@ def test_unigram_models(tmp_path):
 
 def plain_spans(t):
     out = [("email", *m.span()) for m in pii.EMAIL.finditer(t)]
-    out += [("ip", *m.span()) for m in pii.IP.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
     for m in pii.CARD.finditer(t):
         d = re.sub("[^0-9]", "", m[0])
         if 13 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0:
@@ -129,6 +130,20 @@ def plain_spans(t):
     return out + [("phone", *m.span()) for m in pii.PHONE.finditer(t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
 
 
+@pytest.mark.parametrize("text", ["7" * 1_000_000, "1." * 500_000, "1.2.3 " * 170_000, "12 " * 330_000, "+1" + "(" * 1_000_000, "a@" * 500_000, "123-" * 250_000])
+def test_patterns_take_time_in_proportion(text):
+    began = time.monotonic()
+    pii.base_spans(text)
+    assert time.monotonic() - began < 10  # minutes where a pattern starts anew at each digit
+
+
+def test_addresses_match_as_the_plain_pattern_does():
+    rng = random.Random(4)
+    for _ in range(20_000):
+        text = "".join(rng.choice("0123..a") for _ in range(rng.randint(0, 24)))
+        assert [m.span() for m in pii.IP.finditer(text)] == [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)]
+
+
 def test_pii(spark, sf_dir, odd):
     for docs in (table(spark, sf_dir, "documents"), odd):
         want = Counter()
