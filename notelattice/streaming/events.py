@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.window import Window as W
 
 DEBOUNCE_MS = 250
@@ -57,23 +58,51 @@ def rolling_counts(events: DataFrame, key: str, seconds: int) -> DataFrame:
     return events.withColumn("recent", F.count("*").over(w))
 
 
-def silence_stream(log: DataFrame, seconds: int) -> DataFrame:
-    """Stall events of a stream of (vault, ts): a processing-time timer per vault."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+class Silences(StatefulProcessor):
+    """Gaps between the lines of a key. The last line is kept with a timer behind it; the timer tells of a
+    silence as soon as event time says that it lasts, a late line only if no timer did."""
 
-    def watch(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            (count,) = state.get
-            state.update((count + 1,))
-            yield pd.DataFrame({"vault": [key[0]], "stalls": [count + 1]})
-            return
-        for _ in frames:
-            pass
-        state.update(state.get if state.exists else (0,))
-        state.setTimeoutDuration(seconds * 1000)
+    def __init__(self, seconds: int):
+        self.millis = seconds * 1000
 
-    return log.groupBy("vault").applyInPandasWithState(watch, "vault string, stalls long", "stalls long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long, told boolean, stalls long")
+
+    def _tell(self, key: tuple, at: int, stalls: int) -> pd.DataFrame:
+        return pd.DataFrame({"vault": [key[0]], "since": [pd.Timestamp(at, unit="us")], "stalls": [stalls]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        at, told, stalls = self.last.get() or (None, False, 0)
+        times = sorted(int(t) for frame in rows for t in frame["us"])
+        for t in times:
+            if at is not None and t - at > self.millis * 1000 and not told:
+                stalls += 1
+                yield self._tell(key, at, stalls)
+            if at is None or t > at:
+                at, told = t, False
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.last.update((at, told, stalls))
+        if not told:
+            # whole milliseconds: the first one that is later than the gap allows
+            self.handle.registerTimer(at // 1000 + self.millis + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at, told, stalls = self.last.get()
+        if not told:
+            self.last.update((at, True, stalls + 1))
+            yield self._tell(key, at, stalls + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def silence_stream(log: DataFrame, seconds: int, late: str = "0 seconds") -> DataFrame:
+    """vault, since and stalls (the silences of the vault so far) of a stream of (vault, ts), as
+    silences() has them, and of silences that still last. Needs the RocksDB state store."""
+    rows = log.withWatermark("ts", late).withColumn("us", micros("ts"))
+    return rows.groupBy("vault").transformWithStateInPandas(Silences(seconds), "vault string, since timestamp, stalls long", "append", "EventTime")
 
 
 def index_stream(changes: DataFrame, apply: Callable[[DataFrame, DataFrame], None], checkpoint: str, **trigger) -> StreamingQuery:
@@ -89,8 +118,3 @@ def index_stream(changes: DataFrame, apply: Callable[[DataFrame, DataFrame], Non
             df.unpersist()
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
-def log_lines(spark, path: str) -> DataFrame:
-    """Lines appended to log files, split at newlines only."""
-    return spark.readStream.option("lineSep", "\n").text(path)
