@@ -192,7 +192,7 @@ def chunk_notes(files: DataFrame, every: bool = False) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for b in batches:
-            rows = [{**c, "mtime_ms": r.mtime_ms, "sha256": r.sha256} for r in b.itertuples() for c in chunk_note(r.path, r.content or "") or [{"path": r.path}] * every]
+            rows = [{**c, "mtime_ms": r.mtime_ms, "sha256": r.sha256} for r in b.itertuples() for c in chunk_note(r.path, r.content or "") or [{**dict.fromkeys(names), "path": r.path}] * every]
             out = pd.DataFrame(rows, columns=names)
             yield out.assign(chunk_index=out["chunk_index"].astype("Int32")) if every else out
 

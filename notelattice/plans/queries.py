@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelattice.functions import paths, scores, text
+from notelattice.functions import frontmatter, paths, scores, text
 from notelattice.functions.stem import stem
 from notelattice.operators import chunking, grep, health, impacts, links, listing, search, store, vectors
 from notelattice.streaming import events
@@ -484,6 +484,35 @@ def p8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.notes(spark, sf_dir).select("path", chunking.tags_without_code(F.col("content")).alias("tags"))
 
 
+FRONT = """front AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '{"lang": ' || lang WHEN 1 THEN '[1, "en"]' WHEN 2 THEN NULL WHEN 3 THEN '"' || lang || '"' ELSE
+ '{"lang": "' || lang || '", "n": ' || n_chars || ', "in": ["' || source || '", "all"], "a b": {"c": ' || (doc_id % 5) || CASE WHEN doc_id % 2 = 0 THEN '.5' ELSE '' END || '}}' END AS frontmatter FROM documents),
+j AS (SELECT *, CASE WHEN json_type(TRY_CAST(frontmatter AS JSON)) = 'OBJECT' THEN CAST(frontmatter AS JSON) ELSE CAST('{}' AS JSON) END AS f FROM front)"""
+
+
+def _front(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, n = inputs.table(spark, sf_dir, "documents"), F.col("doc_id")
+    whole = F.concat(
+        F.lit('{"lang": "'), "lang", F.lit('", "n": '), F.col("n_chars").cast("string"), F.lit(', "in": ["'), "source", F.lit('", "all"], "a b": {"c": '), (n % 5).cast("string"),
+        F.when(n % 2 == 0, ".5").otherwise(""), F.lit("}}"),
+    )
+    odd = F.when(n % 7 == 0, F.concat(F.lit('{"lang": '), "lang")).when(n % 7 == 1, '[1, "en"]').when(n % 7 == 2, F.lit(None)).when(n % 7 == 3, F.concat(F.lit('"'), "lang", F.lit('"')))
+    return d.select("doc_id", F.when(n % 7 < 4, odd).otherwise(whole).alias("frontmatter"))
+
+
+@query("P18_frontmatter", f"""WITH {FRONT} SELECT doc_id, f ->> '$.lang' AS lang, CAST(f ->> '$.n' AS BIGINT) AS n, CAST(f -> '$.in' AS VARCHAR[]) AS sources, CAST(f -> '$."a b"' ->> '$.c' AS DOUBLE) AS c, json_type(f -> '$.n') IS NOT NULL AS counted FROM j""")
+def p18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frontmatter.fields(F.col("frontmatter"))
+    get = lambda names, kind: frontmatter.field(f, names, kind)
+    return _front(spark, sf_dir).select(
+        "doc_id", get("lang", "string").alias("lang"), get("n", "bigint").alias("n"), get("in", "array<string>").alias("sources"), get(("a b", "c"), "double").alias("c"), frontmatter.has(f, "n").alias("counted")
+    )
+
+
+@query("X23_frontmatter_filter", f"WITH {FRONT} SELECT doc_id, frontmatter FROM j WHERE list_contains(CAST(f -> '$.in' AS VARCHAR[]), 'src1') AND f ->> '$.lang' = 'en'")
+def x23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frontmatter.where_field(frontmatter.where_field(_front(spark, sf_dir), "in", "src1"), "lang", "en")
+
+
 @query("P7_wiki_links", f"{with_tables('files', 'notes')} SELECT path, list_concat(list_concat([CAST((doc_id * 13) % 120 AS VARCHAR), split_part(path, '/', 1) || '/en/' || ((doc_id + 20) % 200)], [((doc_id * 17) % 90) || '\\']), ['in/deep', 'in/code']) AS links FROM notes")
 def p7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.notes(spark, sf_dir).select("path", links.wiki_links(F.col("content")).alias("links"))

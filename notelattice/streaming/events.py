@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -118,3 +119,23 @@ def index_stream(changes: DataFrame, apply: Callable[[DataFrame, DataFrame], Non
             df.unpersist()
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def drain(query: StreamingQuery, seconds: float = 30.0) -> bool:
+    """Stops a stream once it has done what is there; false if that took too long, and the rest comes
+    after a restart. A failure of the stream is raised."""
+    done = threading.Thread(target=_finish, args=(query,), daemon=True)
+    done.start()
+    done.join(seconds)
+    late = done.is_alive()
+    query.stop()
+    if (error := query.exception()) is not None and not late:
+        raise error
+    return not late
+
+
+def _finish(query: StreamingQuery) -> None:
+    try:
+        query.processAllAvailable()
+    except Exception:  # drain() asks the query itself
+        return

@@ -23,8 +23,10 @@ from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from notelattice.errors import AlreadyExists, InvalidBody, InvalidInput, InvalidPath, NotFound, PatchAmbiguous, PatchNoMatch, VaultError, VaultNotFound, tool_error
+from notelattice.functions.frontmatter import safe_json
 from notelattice.functions.paths import is_indexable, mime, under
 from notelattice.functions.text import lenient_utf8
 from notelattice.operators import chunking, grep, links, listing, search, store
@@ -32,6 +34,7 @@ from notelattice.operators import impacts as impact_index
 from notelattice.operators import vectors as vector_index
 from notelattice.operators.embed import Embedder, HashEmbedder, with_vectors
 from notelattice.serving import FairSemaphore, PathLocks, map_in_order, retried
+from notelattice.sources.changes import Changes
 from notelattice.sources.guard import Gone, check_contained, check_source, parents, read_regular, safe_join, safe_path
 from notelattice.sources.vault import contents, read_vault
 
@@ -135,7 +138,7 @@ class Vault:
             if chosen.mode != "vector" and (self.impacts.current() or {}).get("mark") == mark:
                 scored, _ = self.impacts.scored(words, k)
         hits = search.search(chunks, one, words, chosen, self.words.read(), near, scored)
-        return hits.join(chunks.select("id", "chunk_index", "heading_path", "text", "links", "tags", "frontmatter"), "id").orderBy("position")
+        return hits.join(chunks.select("id", "chunk_index", "heading_path", "text", "links", "tags", safe_json(F.col("frontmatter")).alias("frontmatter")), "id").orderBy("position")
 
     def texts(self) -> DataFrame:
         return self.files().where(F.col("content_type").startswith("text/") | F.col("content_type").isin(*TEXT_TYPES))
@@ -247,6 +250,26 @@ class Vault:
         notes = notes.unionByName(back.select("path", "content", "mtime_ms", "sha256")).dropDuplicates(["path"])
         self._store(notes, store.guarded_drops(removed, notes))
 
+    def changes(self) -> Changes:
+        """Versions of the vault's listing; poll() makes the next one."""
+        return Changes(self.spark, f"{self.at}-changes", self.root)
+
+    def follow(self, checkpoint: str, **trigger) -> StreamingQuery:
+        """The index follows the versions as they appear; events.drain() stops it. Of a path only its
+        last event in a batch counts, and what is on disk by then."""
+
+        def batch(events: DataFrame, _: int) -> None:
+            last = events.groupBy("path").agg(F.max_by("kind", "version").alias("kind")).persist()
+            try:
+                if not last.isEmpty():
+                    notes = contents(self.spark, self.root, last.where(is_indexable(F.col("path"))))
+                    self._store(notes, store.guarded_drops(last, notes))
+            finally:
+                last.unpersist()
+
+        rows = self.changes().stream().writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+        return rows.trigger(**(trigger or {"availableNow": True})).start()
+
     # ---- changes of files
 
     def _at(self, path: str) -> Path:

@@ -258,7 +258,7 @@ def test_embedders():
     assert np.allclose(np.linalg.norm(h, axis=1), 1) and (h[0] == h[2]).all() and (h[0] != h[1]).any()
     assert embed.TableEmbedder({"a": [1.0, 2.0]}, 2).embed(["a", "x"]).tolist() == [[1, 2], [0, 0]]
     answers, waits = iter([(500, []), (429, []), (200, [[1.0], [2.0]]), (200, [[3.0]])]), []
-    e = embed.HttpEmbedder(lambda t: next(answers), 1, batch=2, sleep=waits.append)
+    e = embed.HttpEmbedder(lambda t: next(answers), 1, batch=2, in_flight=1, sleep=waits.append, clock=lambda: float(sum(waits)))
     assert e.embed(["a", "b", "c"]).tolist() == [[1], [2], [3]] and waits == [1, 2]
     with pytest.raises(Exception, match="400"):
         embed.HttpEmbedder(lambda t: (400, []), 1).embed(["a"])
