@@ -6,6 +6,7 @@ import base64
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from notelattice.errors import InvalidInput
 from notelattice.functions.paths import cursor_of, is_markdown, order_key, segments
@@ -46,13 +47,12 @@ def page(rows: DataFrame, cursor: str | None = None, limit: int = PAGE) -> DataF
         except ValueError as e:
             raise InvalidInput("bad cursor") from e
         rows = rows.where(key > F.split(F.lit(after), "/"))
-    ahead = rows.orderBy(key).limit(limit + 1)
-    last = ahead.orderBy(key).limit(limit).agg(F.max(F.struct(key.alias("key"), "path"))["path"].alias("last"))
-    size = ahead.agg(F.count("*").alias("read"))
-    more = F.when(F.col("read") > limit, cursor_of(F.col("last")))
-    # one row each
-    met = ahead.orderBy(key).limit(limit).join(F.broadcast(last), F.lit(True)).join(F.broadcast(size), F.lit(True))
-    return met.withColumn("next_cursor", more).drop("last", "read")
+    # one top-k; what follows sees its limit + 1 rows at most
+    ahead = rows.orderBy(key).limit(limit + 1).withColumn("nth", F.row_number().over(W.orderBy(key)))
+    every = W.partitionBy()
+    last = F.max(F.when(F.col("nth") == limit, F.col("path"))).over(every)
+    more = F.when(F.max("nth").over(every) > limit, cursor_of(last))
+    return ahead.withColumn("next_cursor", more).where(F.col("nth") <= limit).drop("nth")
 
 
 def resources(files: DataFrame, cursor: str | None = None, limit: int = PAGE) -> DataFrame:
