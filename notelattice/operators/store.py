@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable
+from bisect import bisect_right
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notelattice.errors import DimensionMismatch, PipelineTooNew, VaultError
 from notelattice.functions.paths import has_hidden_segment, order_key, under
+from notelattice.functions.ship import ship
 
 PIPELINE_VERSION = 1
 
@@ -118,11 +120,8 @@ def in_path_order(df: DataFrame, *more: Column | str) -> DataFrame:
     return df.orderBy(order_key(F.col("path")), *more)
 
 
-BUCKETS = 64
-
-
-def bucket_of(path: Column) -> Column:
-    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
+#: Rows of a piece of a table.
+PIECE_ROWS = 1_000_000
 
 
 @dataclass
@@ -193,10 +192,11 @@ class Snapshots(Folder):
 
 @dataclass
 class VersionedTable(Folder):
-    """A Parquet table in buckets by path. A version is a pointer file that lists the folder of each
-    bucket; pointers are numbered, made by a rename to a name that is new, and the highest counts, so
-    that a reader always finds a whole version. An upsert writes the buckets that it touches and keeps
-    the folders of the others. One writer at a time. Paths are Hadoop paths, so any store that Spark
+    """A Parquet table in pieces by ranges of the path. A version is a pointer file that lists the pieces
+    with their least and greatest path and their rows; pointers are numbered, made by a rename to a name that
+    is new, and the highest counts, so that a reader always finds a whole version. A prefix is read from
+    the pieces that may hold it. An upsert writes the pieces that it touches, cut anew where they have
+    grown, and keeps the others. One writer at a time. Paths are Hadoop paths, so any store that Spark
     reads will do."""
 
     order: tuple[str, ...] = ("path",)
@@ -205,45 +205,63 @@ class VersionedTable(Folder):
         jvm, fs = self._fs()
         fs.delete(jvm.org.apache.hadoop.fs.Path(self.root), True)
 
-    def read(self, dim: int | None = None) -> DataFrame | None:
-        """The current version, or None; a wrong vector size is an error."""
+    def read(self, dim: int | None = None, prefix: str | None = None) -> DataFrame | None:
+        """The current version, or None; a wrong vector size is an error. With a prefix, the pieces that
+        may hold such paths."""
         at = self.current()
         if at is None:
             return None
         if dim is not None and at.get("dim") not in (None, dim):
             raise DimensionMismatch(at["dim"], dim)
-        return self._rows(at, at["buckets"])
+        start = (prefix or "").encode()
+        return self._rows(at, [p for p in at["pieces"] if p["high"].encode() >= start and p["low"].encode()[: len(start)] <= start])
 
-    def _rows(self, at: dict, buckets: Iterable[str]) -> DataFrame:
+    def _rows(self, at: dict, pieces: list[dict]) -> DataFrame:
         schema = T.StructType.fromJson(at["schema"])
-        folders = [f"{self.root}/{at['buckets'][b]}/bucket={b}" for b in buckets if b in at["buckets"]]
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{p['at']}" for p in pieces)) if pieces else self.spark.createDataFrame([], schema)
+
+    def write(self, df: DataFrame, dim: int | None = None) -> None:
+        """A version of df's rows alone."""
+        self._write(df, F.lit(0), df.count(), dim, [])
 
-    def write(self, df: DataFrame, dim: int | None = None, keep: dict[str, str] | None = None) -> None:
-        """A version of df's rows and of the kept buckets."""
+    def _write(self, df: DataFrame, number: Column, rows: int, dim: int | None, kept: list[dict]) -> None:
+        """A version of the kept pieces and of df's rows, which lie in ranges of their own: those of a
+        `number` stay together, so that no new piece reaches over a kept one."""
         at = self.current() or {"version": 0}
         folder = f"v{at['version'] + 1:08d}-{uuid.uuid4().hex[:8]}"
-        rows = df.withColumn("bucket", bucket_of(F.col("path"))).repartition("bucket").sortWithinPartitions("bucket", *self.order)
-        rows.write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
-        made = {b.removeprefix("bucket="): folder for b in VersionedTable(self.spark, f"{self.root}/{folder}")._names("bucket=")}
-        new = {"version": at["version"] + 1, "dim": dim if dim is not None else at.get("dim"), "schema": df.schema.jsonValue(), "buckets": (keep or {}) | made}
+        dealt = df.withColumn("piece_no", number.cast("int")).repartitionByRange(max(1, -(-rows // PIECE_ROWS)), "piece_no", "path")
+        dealt = dealt.withColumn("part_no", F.spark_partition_id()).sortWithinPartitions("piece_no", "part_no", *self.order)
+        dealt.write.partitionBy("piece_no", "part_no").parquet(f"{self.root}/{folder}")
+        there = self.spark.read.schema(T.StructType([T.StructField("path", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("piece_no", "part_no"))])).parquet(f"{self.root}/{folder}")
+        ends = there.groupBy("piece_no", "part_no").agg(F.min("path").alias("low"), F.max("path").alias("high"), F.count("*").alias("rows")).collect()  # a row for each piece
+        made = [{"at": f"{folder}/piece_no={r['piece_no']}/part_no={r['part_no']}", "low": r["low"], "high": r["high"], "rows": r["rows"]} for r in ends]
+        pieces = sorted([*kept, *made], key=lambda p: p["low"].encode())
+        new = {"version": at["version"] + 1, "dim": dim if dim is not None else at.get("dim"), "schema": df.schema.jsonValue(), "pieces": pieces}
         self._publish(f"pointer-{new['version']:012d}.json", json.dumps(new))
         # the version before stays for readers that hold it
         old = self._names("pointer-")[:-2]
-        held = {f for n in self._names("pointer-")[-2:] for f in json.loads(self._read_text(n))["buckets"].values()}
+        held = {p["at"].split("/")[0] for n in self._names("pointer-")[-2:] for p in json.loads(self._read_text(n))["pieces"]}
         self._remove(*old, *(f for f in self._names("v") if f not in held | {folder}))
 
     def upsert(self, changed: DataFrame, new_rows: DataFrame, dim: int | None = None) -> None:
         at = self.current()
-        if at is None:
+        if at is None or not at["pieces"]:
             return self.write(new_rows, dim)
         self.read(dim)
-        # at most BUCKETS rows
-        hit = changed.select("path").unionByName(new_rows.select("path")).select(bucket_of(F.col("path")).cast("string").alias("b")).distinct()
-        touched = {r["b"] for r in hit.collect()}
+        pieces, lows = at["pieces"], [p["low"].encode() for p in at["pieces"]]
+        ship(self.spark)
+
+        @F.arrow_udf("int")
+        def number(paths: pa.Array) -> pa.Array:
+            """The piece whose range a path lies in or behind."""
+            return pa.array([max(0, bisect_right(lows, p.encode()) - 1) for p in paths.to_pylist()], pa.int32())
+
+        hit = changed.select("path").unionByName(new_rows.select("path")).distinct().select(number("path").alias("n")).distinct()
+        touched = {r["n"] for r in hit.collect()}  # at most a number for each piece
         if touched:
-            rows = upsert(self._rows(at, sorted(touched)), changed, new_rows)
-            self.write(rows, dim, {b: f for b, f in at["buckets"].items() if b not in touched})
+            old = [pieces[i] for i in sorted(touched)]
+            rows = upsert(self._rows(at, old), changed, new_rows)
+            self._write(rows, number("path"), sum(p["rows"] for p in old) + new_rows.count(), dim, [p for i, p in enumerate(pieces) if i not in touched])
 
     def reconcile(self, version: int = PIPELINE_VERSION) -> str:
         """Of the pipeline version: equal keeps, older or none resets, newer is an error."""

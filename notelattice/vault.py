@@ -117,8 +117,9 @@ class Vault:
             return {"slug": self.slug, "state": "starting", "documents": 0, "chunks": 0}
         return {"slug": self.slug, "state": "ready", **store.document_count(rows).first().asDict()}
 
-    def chunks(self) -> DataFrame:
-        rows = self.table.read(self.embedder.dim)
+    def chunks(self, prefix: str | None = None) -> DataFrame:
+        """The indexed chunks; with a prefix, of the pieces that may hold such paths."""
+        rows = self.table.read(self.embedder.dim, prefix)
         if rows is None:
             raise NotFound(f"{self.slug} is not indexed")
         return rows
@@ -129,7 +130,7 @@ class Vault:
         vector = [float(x) for x in self.embedder.embed([query])[0]]
         one = self.spark.range(1).select(F.lit(vector).cast("array<float>").alias("query"))
         words = self.spark.range(1).select(search.tokens(F.lit(query)).alias("w")).first()["w"]
-        chunks = self.chunks()
+        chunks = self.chunks(chosen.path_prefix)
         near = scored = None
         if chosen.path_prefix is None and chosen.tag is None:  # the indexes are of everything
             mark, k = self._mark(), search.candidates(chosen)
@@ -137,7 +138,7 @@ class Vault:
                 near = self.near.search(vector, k)
             if chosen.mode != "vector" and (self.impacts.current() or {}).get("mark") == mark:
                 scored, _ = self.impacts.scored(words, k)
-        hits = search.search(chunks, one, words, chosen, self.words.read(), near, scored)
+        hits = search.search(chunks, one, words, chosen, self.words.read(prefix=chosen.path_prefix), near, scored)
         return hits.join(chunks.select("id", "chunk_index", "heading_path", "text", "links", "tags", safe_json(F.col("frontmatter")).alias("frontmatter")), "id").orderBy("position")
 
     def texts(self) -> DataFrame:
@@ -153,7 +154,7 @@ class Vault:
         return grep.run(files, grep.GrepOptions(pattern, **options), seconds, _GREP_SLOTS)
 
     def tags(self, limit: int = 100, prefix: str | None = None) -> DataFrame:
-        return store.top_tags(self.chunks(), limit, prefix)
+        return store.top_tags(self.chunks(prefix), limit, prefix)
 
     def paths(self, prefix: str = "", recursive: bool = True, kind: str | None = None, cursor: str | None = None, limit: int = listing.PAGE) -> DataFrame:
         rows = read_vault(self.spark, self.root, self.slug, entries="all", content="false").drop("content")

@@ -233,14 +233,40 @@ def test_serving():
     assert not locks._held
 
 
-def test_table_versions(spark, tmp_path):
+def test_pieces_are_ranges_apart(spark, tmp_path, monkeypatch):
+    """Random upserts against a dict; a prefix opens only files that may hold it."""
+    import random
+
+    rng = random.Random(7)
+    monkeypatch.setattr(store, "PIECE_ROWS", 15)
+    t = store.VersionedTable(spark, str(tmp_path / "t"))
+    name = lambda: f"{rng.choice('abcé')}/{rng.choice('xyz')}{rng.randint(0, 30)}.md"
+    frame = lambda rows: spark.createDataFrame(rows, "path string, n int")
+    want = {}
+    for step in range(6):
+        new = {name(): [step * 100 + k for k in range(rng.randint(1, 4))] for _ in range(40 if step == 0 else 6)}
+        gone = rng.sample(sorted(want), min(len(want), 4)) if step else []
+        t.upsert(frame([(p, 0) for p in [*new, *gone]]).select("path"), frame([(p, n) for p, ns in new.items() for n in ns]))
+        want = {p: ns for p, ns in {**want, **dict.fromkeys(gone, []), **new}.items() if ns}
+        assert sorted(map(tuple, t.read().collect())) == sorted((p, n) for p, ns in want.items() for n in ns)
+        pieces = t.current()["pieces"]
+        assert all(a["high"].encode() < b["low"].encode() for a, b in zip(pieces, pieces[1:], strict=False))
+        assert sum(p["rows"] for p in pieces) == sum(map(len, want.values()))
+    for prefix in ("a/", "a/x1", "é/", "c", "nothing", ""):
+        got = t.read(prefix=prefix)
+        assert sorted(r["path"] for r in got.where(F.startswith("path", F.lit(prefix))).collect()) == sorted(p for p, ns in want.items() for _ in ns if p.startswith(prefix))
+        assert prefix == "" or len(got.inputFiles()) < len(t.read().inputFiles())
+
+
+def test_table_versions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "PIECE_ROWS", 20)
     t = store.VersionedTable(spark, f"file://{tmp_path}/t")
     rows = spark.range(200).select(F.concat(F.lit("p"), "id").alias("path"), "id")
     t.write(rows)
     first = t.current()
     t.upsert(rows.where("id = 7").select("path"), rows.where("id = 7").withColumn("id", F.lit(1000).cast("bigint")))
     second = t.current()
-    assert sum(first["buckets"][b] != second["buckets"][b] for b in first["buckets"]) == 1
+    assert len(first["pieces"]) > 5 and sum(p not in second["pieces"] for p in first["pieces"]) == 1
     assert t.read().agg(F.sum("id")).first()[0] == sum(range(200)) - 7 + 1000 and t.read().count() == 200
     held = t.read()
     t.upsert(rows.select("path"), rows.limit(0))
