@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -131,8 +132,31 @@ def stems(words: Column) -> Column:
 
     @F.arrow_udf("array<string>")
     def run(lists: pa.Array) -> pa.Array:
+        lists = pa.concat_arrays([lists])  # without an offset, as a mask needs it
         coded = lists.values.dictionary_encode()
         known = pa.array([None if w is None else stem(w) for w in coded.dictionary.to_pylist()], pa.string())
-        return pa.ListArray.from_arrays(lists.offsets, known.take(coded.indices))
+        return pa.ListArray.from_arrays(lists.offsets, known.take(coded.indices), mask=lists.is_null() if lists.null_count else None)
 
-    return F.when(words.isNotNull(), run(F.coalesce(words, F.array().cast("array<string>"))))
+    return run(words)
+
+
+def stem_counts(words: Column, wanted: list[str]) -> Column:
+    """For a list of words its length and how often each of the wanted stems is in it: all that comes
+    back of a text. A stem begins as its word does, so that few distinct words are stemmed."""
+    ship(SparkSession.active())
+    place, first = {w: i + 1 for i, w in enumerate(wanted)}, frozenset(w[:1] for w in wanted)
+
+    @F.arrow_udf("array<int>")
+    def run(lists: pa.Array) -> pa.Array:
+        coded = lists.values.dictionary_encode()
+        number = np.fromiter((place.get(stem(w), 0) if w[:1] in first else 0 for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        found = number[coded.indices.to_numpy(zero_copy_only=False)] if len(number) else np.empty(0, np.int64)
+        offsets = lists.offsets.to_numpy()
+        at = np.flatnonzero(found)
+        at = at[(at >= offsets[0]) & (at < offsets[-1])]
+        out = np.zeros((len(lists), 1 + len(place)), np.int32)
+        out[:, 0] = np.diff(offsets)
+        np.add.at(out, (np.searchsorted(offsets, at, side="right") - 1, found[at]), 1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)), pa.array(out.ravel()))
+
+    return run(words)

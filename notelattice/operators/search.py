@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 
 from notelattice.errors import InvalidInput
 from notelattice.functions.scores import RRF_K, rrf_term, squared_distance, text_score, vector_score
-from notelattice.functions.stem import stems
+from notelattice.functions.stem import stem_counts, stems
 
 from .store import where_path_and_tag
 
@@ -48,10 +48,15 @@ class SearchOptions:
         return self
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits without stop words, stemmed; a null text has none."""
+def words_of(text: Column) -> Column:
+    """Lower-case runs of letters and digits without stop words; a null text has none."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    return stems(F.filter(words, lambda w: ~w.isin(*STOP_WORDS)))
+    return F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
+
+
+def tokens(text: Column) -> Column:
+    """The words of a text, stemmed."""
+    return stems(words_of(text))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -95,10 +100,8 @@ def scanned(chunks: DataFrame, words: list[str]) -> DataFrame:
     counts of the query's words, chunks with none of them become one row of sums in each task, and
     statistics and scores both read the exchange of what is left."""
     words = list(dict.fromkeys(words))
-    rows = chunks.select("id", "path", tokens(F.col("embed_text")).alias("t"))
-    count = lambda word: F.size(F.filter("t", lambda x: x == word))
-    counts = [count(w).alias(f"tf{i}") for i, w in enumerate(words)]
-    rows = rows.select("id", "path", F.size("t").alias("doc_len"), *counts)
+    rows = chunks.select("id", "path", stem_counts(words_of(F.col("embed_text")), words).alias("c"))
+    rows = rows.select("id", "path", F.col("c")[0].alias("doc_len"), *(F.col("c")[i + 1].alias(f"tf{i}") for i in range(len(words))))
     names = [f"tf{i}" for i in range(len(words))]
     hit = F.greatest(F.lit(0), F.lit(0), *names) > 0
     keys = ("id", "path", "doc_len", *names)

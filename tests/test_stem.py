@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from notelattice.functions.stem import stem, stems
+from notelattice.functions.stem import IRREGULAR, stem, stem_counts, stems
 from notelattice.operators import search
 
 #: Word and stem, as published for the English rules.
@@ -32,6 +32,14 @@ def test_arrow_form(spark):
     assert {r["i"]: r["s"] for r in sliced} == {2: [], 3: None, 4: ["a", "xy", "7s"]}
 
 
+def test_counts_of_stems(spark):
+    rows = [(1, ["running", "runs", "dying", "running"]), (2, []), (3, ["die", "rung"]), (4, [])]
+    df = spark.createDataFrame(rows, "i int, w array<string>").coalesce(1)
+    got = {r["i"]: r["c"] for r in df.select("i", stem_counts(F.col("w"), ["run", "die", "nowhere"]).alias("c")).collect()}
+    assert got == {1: [4, 3, 1, 0], 2: [0, 0, 0, 0], 3: [2, 0, 1, 0], 4: [0, 0, 0, 0]}
+    assert all(stem(w)[0] == w[0] for w in [*IRREGULAR, "yes", "ying", "ed", "sing"])
+
+
 def test_words_meet_by_stem(spark):
     rows = [("a", "a.md", "Connections and connected connectors"), ("b", "b.md", "the of and"), ("c", "c.md", "a river"), ("d", "d.md", None), ("d2", "d.md", "connect connect rivers")]
     chunks = spark.createDataFrame(rows, "id string, path string, embed_text string")
