@@ -20,6 +20,8 @@ from notelattice.functions.text import clip_line, escape_literal, split_lines, w
 from notelattice.serving import FairSemaphore
 
 MAX_FILE, BUDGET = 1 << 20, 64 << 20
+#: Paths that the path order is cut at.
+CUTS = 127
 
 
 @dataclass(frozen=True)
@@ -115,9 +117,14 @@ def compiled(spark: SparkSession, options: GrepOptions) -> None:
         raise InvalidInput(f"bad pattern: {str(e).splitlines()[0]}") from e
 
 
-def _group(path: Column) -> Column:
-    """The first two folders: groups of paths that lie together in path order."""
-    return F.slice(order_key(path), 1, 2)
+def _part(files: DataFrame) -> Column:
+    """The number of the part of the path order that a path lies in. The order is cut at a bounded
+    sample of the paths, those of least hash: a folder with most of the files is many parts."""
+    picked = files.select("path").orderBy(F.xxhash64("path"), "path").limit(CUTS).collect()
+    cuts = sorted({tuple(r["path"].split("/")) for r in picked if r["path"] is not None}, key=lambda p: [s.encode() for s in p])
+    if not cuts:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*(F.array(*map(F.lit, c)) for c in cuts)), lambda c: c <= order_key(F.col("path"))))
 
 
 def in_budget(files: DataFrame, max_file: int = MAX_FILE, budget: int = BUDGET) -> DataFrame:
@@ -125,15 +132,16 @@ def in_budget(files: DataFrame, max_file: int = MAX_FILE, budget: int = BUDGET)
     on that would go over the budget. Over-size files are not read and cost nothing; they need room
     for the look that finds them over-size.
 
-    Only paths and sizes are shuffled. The running sum is per group of folders first, so that no task
-    orders all files.
+    Only paths and sizes are shuffled. The running sum is per part of the path order first, so that no
+    task orders all files or those of one folder.
     """
     cost = F.when(F.col("size") <= max_file, F.col("size")).otherwise(F.lit(0)).cast("long")
-    rows = files.select("path", "size", _group(F.col("path")).alias("group"), cost.alias("cost"))
-    sums = rows.groupBy("group").agg(F.sum("cost").alias("group_cost"))
-    before = sums.select(F.col("group").alias("g2"), F.coalesce(F.sum("group_cost").over(W.orderBy("group").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    run = W.partitionBy("group").orderBy(order_key(F.col("path"))).rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.join(before, F.col("group") == F.col("g2")).withColumn("ahead", F.col("base") + F.coalesce(F.sum("cost").over(run), F.lit(0))).select("path", "size", "ahead")
+    rows = files.select("path", "size", _part(files).alias("part"), cost.alias("cost"))
+    sums = rows.groupBy("part").agg(F.sum("cost").alias("part_cost"))
+    # CUTS + 1 rows at most
+    before = sums.select(F.col("part").alias("p2"), F.coalesce(F.sum("part_cost").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    run = W.partitionBy("part").orderBy(order_key(F.col("path"))).rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.join(F.broadcast(before), F.col("part") == F.col("p2")).withColumn("ahead", F.col("base") + F.coalesce(F.sum("cost").over(run), F.lit(0))).select("path", "size", "ahead")
     met = placed.join(F.broadcast(_stop(placed, max_file, budget)), F.lit(True))  # one row
     return met.withColumn("reached", _reached()).drop("stop")
 

@@ -301,3 +301,21 @@ def test_empty_frontmatter_is_frontmatter():
     assert chunking.split_frontmatter("---\na: [1]\n---\nbody") == ({"a": [1]}, "body")
     assert chunking.split_frontmatter("---\nno end") == ({}, "---\nno end")
     assert chunking.split_frontmatter("text\n---\n---\n") == ({}, "text\n---\n---\n")
+
+
+def test_budget_over_a_hot_folder(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(f"{rng.choice(['hot', 'hot', 'hot', 'a/b', 'a', 'z.d', 'é'])}/{rng.choice('xyz')}{i}.md", rng.randint(0, 90)) for i in range(400)]
+    files = spark.createDataFrame(rows, "path string, size long").repartition(3)
+    for cuts, budget in ((5, 7000), (127, 7000), (40, 10**9)):
+        monkeypatch.setattr(grep, "CUTS", cuts)
+        ahead, stopped, want = 0, False, []
+        for path, size in sorted(rows, key=lambda r: [s.encode() for s in r[0].split("/")]):
+            stopped = stopped or ahead + min(size, 81) > budget
+            want.append((path, ahead, not stopped))
+            ahead += size if size <= 80 else 0
+        got = grep.in_budget(files, 80, budget).select("path", "ahead", "reached").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    parts = files.select(grep._part(files).alias("p")).groupBy("p").count().collect()
+    assert max(r["count"] for r in parts) < 100
+    assert grep.in_budget(files.limit(0)).count() == 0
