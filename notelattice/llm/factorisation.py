@@ -7,7 +7,8 @@ in numpy blocks; the model is a few MB, whatever the corpus.
 
 Defined results: a null or empty text has no words and is scored by its statistics; without labels
 of both classes every score is the share of label 1 (or 1/2); a null n_chars counts as the text's
-own length; equal rows get equal scores; other columns are not read.
+own length; equal rows get equal scores, also where several documents have one id; a text longer than a
+block is taken whole, as a block of its own; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ The running sum is in two steps, so that no source, however hot, is sorted in on
 (source, slice of the key) first, which is a table of at most SLICES rows for a source, then rows
 within a slice. Defined results: a null text has size 0 and is taken 0 words; the null source is a
 source of its own, ordered last; equal ids are told apart by text, full duplicates may swap places;
-columns other than doc_id, text and source are not read by the sampling.
+words are counted over whole texts of any length; an empty table gives no rows; columns other than
+doc_id, text and source are not read by the sampling.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ conditional random field, trained from the small labelled table below by gradien
 likelihood and decoded by Viterbi, the lines of a block at a time in numpy. It adds spans of the base
 kinds (an e-mail spelled out, a phone without '+') and of the kinds `id` and `secret`; a span that overlaps a base span or an earlier one is not added.
 
-Defined results: a null or empty text has no spans; equal texts get equal spans; an
+Defined results: a null or empty text has no spans; equal texts get equal spans; a text longer
+than a block is taken whole, in time in proportion to its length; repeated rows are searched each; an
 empty table gives no rows; a redacted null text stays null; other columns are passed through by
 redact() and not read otherwise, whatever their names.
 """

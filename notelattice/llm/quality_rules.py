@@ -8,7 +8,8 @@ words and, with order 2, pairs too.
 
 Defined results: a null or empty text has no word and fails the base rules; a table without trusted
 texts has all ratios 0, so only the base rules decide; repeated rows are judged one by one, equal
-texts alike; columns other than doc_id and text are not read, whatever their names.
+texts alike; a ratio equal to the threshold passes; texts of any length are taken whole; an empty table
+gives no rows, in keep_good() too; columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,8 +5,8 @@ distinct pre-token once with the tokenizers library (a bounded table per worker)
 to the documents' pre-token frequencies and sums. No token ids are made, and nothing is shuffled.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; special strings in a text count as
-one token each, which is the library's default; equal rows get equal counts; an empty table gives no
-rows; columns other than doc_id and text are not read.
+one token each, which is the library's default; equal rows get equal counts; a text longer than a block
+is taken whole; an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

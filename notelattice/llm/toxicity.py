@@ -14,7 +14,8 @@ A logistic model over these sums, fitted on the same bounded sample, gives the s
 
 Defined results: a null or empty text has no hit and gets the score of one; without labels of both
 classes every score is the share of label 1 (or 0); equal texts get equal scores; labels, source,
-lang and doc_id are not inputs; other columns are not read.
+lang and doc_id are not inputs; a text longer than a block is taken whole; repeated rows are scored each;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
