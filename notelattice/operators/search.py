@@ -124,16 +124,6 @@ def vector_arm(chunks: DataFrame, query: DataFrame, k: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.col("distance").asc_nulls_last(), "id")))
 
 
-def vector_hits(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, id, path, distance, position of the k nearest chunks to each of a stated set of
-    queries (query_id, query). The set is small against the chunks, which stay where they are; each
-    task keeps its own k best of a query before anything is shuffled."""
-    met = chunks.select("id", "path", "vector").crossJoin(queries)
-    near = met.select("query_id", "id", "path", F.round(squared_distance(F.col("vector"), F.col("query")), DIGITS).alias("distance"))
-    order = W.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "id")
-    return near.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
-
-
 def text_arm(scored: DataFrame, k: int) -> DataFrame:
     """id, path, bm25, rank of the k best chunks."""
     top = scored.orderBy(F.desc("bm25"), "id").limit(k)

@@ -191,7 +191,7 @@ class VectorIndex:
         blocks of bounded size, which pass on k rows a query."""
         ship(self.spark)
         told = self.current()
-        hits = T.StructType([queries.schema["query_id"], *(T.StructField(c, T.StringType()) for c in ("id", "path")), T.StructField("distance", T.DoubleType())])
+        hits = _hits(queries)
         if not told or not told["rows"]:
             return self.spark.createDataFrame([], T.StructType([*hits, T.StructField("position", T.IntegerType())]))
         shared, probes = self.spark.sparkContext.broadcast(np.array(told["centres"])), probes or told["probes"]
@@ -211,26 +211,55 @@ class VectorIndex:
         mine = there.join(plan, "list").withColumn("crowd", F.pmod(F.xxhash64("query_id"), F.col("crowds")).cast("int")).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
         rows = self.lists(told).join(plan, "list").withColumn("crowd", F.explode(F.expr("sequence(0, crowds - 1)")))
 
-        def meet(queries: pa.Table, rows: pa.Table) -> pa.Table:
-            out = []
-            if len(queries) and len(rows):
-                q, v = (matrix(t.column(c).combine_chunks()) for t, c in ((queries, "query"), (rows, "vector")))
-                half = (v**2).sum(1) / 2
-                step = max(1, (1 << 22) // len(v))
-                for at in range(0, len(q), step):
-                    score = half - q[at : at + step] @ v.T
-                    own = np.argpartition(score, min(k, len(v)) - 1, axis=1)[:, :k] if len(v) > k else np.tile(np.arange(len(v)), (len(score), 1))
-                    who = np.repeat(np.arange(at, at + len(score)), own.shape[1])
-                    flat = own.ravel()
-                    distance = np.round(((v[flat] - q[who]) ** 2).sum(1), DIGITS)
-                    taken = rows.take(pa.array(flat))
-                    out.append(pa.table([queries.column("query_id").take(pa.array(who)), taken.column("id"), taken.column("path"), pa.array(distance)], names=hits.fieldNames()))
-            return pa.concat_tables(out) if out else pa.table([queries.column("query_id").slice(0, 0), *(pa.array([], kind) for kind in (pa.string(), pa.string(), pa.float64()))], names=hits.fieldNames())
-
         key = ("list", "part", "crowd")
-        found = mine.select(*key, "query_id", "query").groupBy(*key).cogroup(rows.select(*key, "id", "path", "vector").groupBy(*key)).applyInArrow(meet, hits)
-        order = W.partitionBy("query_id").orderBy("distance", "id")
-        return found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+        return _first(_met(mine.select(*key, "query_id", "query"), rows.select(*key, "id", "path", "vector"), key, k, hits), k)
+
+
+def _met(queries: DataFrame, rows: DataFrame, key: tuple[str, ...], k: int, hits: T.StructType) -> DataFrame:
+    """The k nearest rows of each query in every block: of equal distances those of least id."""
+
+    def meet(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        out = []
+        if len(queries) and len(rows):
+            rows = rows.sort_by("id")
+            q, v = (matrix(t.column(c).combine_chunks()) for t, c in ((queries, "query"), (rows, "vector")))
+            half, most = (v**2).sum(1) / 2, min(k, len(v))
+            step = max(1, (1 << 22) // len(v))
+            for at in range(0, len(q), step):
+                score = half - q[at : at + step] @ v.T
+                own = np.argpartition(score, most - 1, axis=1)[:, :most]
+                last = np.take_along_axis(score, own, 1).max(axis=1, keepdims=True)
+                for i in np.flatnonzero((score <= last + 1e-9).sum(axis=1) > most):  # ties at the end
+                    own[i] = np.argsort(np.round(score[i], DIGITS), kind="stable")[:most]
+                who, flat = np.repeat(np.arange(at, at + len(score)), most), own.ravel()
+                distance = np.round(((v[flat] - q[who]) ** 2).sum(1), DIGITS)
+                taken = rows.take(pa.array(flat))
+                out.append(pa.table([queries.column("query_id").take(pa.array(who)), taken.column("id"), taken.column("path"), pa.array(distance)], names=hits.fieldNames()))
+        return pa.concat_tables(out) if out else pa.table([queries.column("query_id").slice(0, 0), *(pa.array([], kind) for kind in (pa.string(), pa.string(), pa.float64()))], names=hits.fieldNames())
+
+    return queries.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(meet, hits)
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
+    order = W.partitionBy("query_id").orderBy("distance", "id")
+    return found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+
+
+def _hits(queries: DataFrame) -> T.StructType:
+    return T.StructType([queries.schema["query_id"], *(T.StructField(c, T.StringType()) for c in ("id", "path")), T.StructField("distance", T.DoubleType())])
+
+
+def all_hits(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, id, path, distance, position of the k nearest chunks to each of a stated set of queries
+    (query_id, query), without an index: rows and queries meet in blocks of bounded size, each of which
+    passes on k rows a query. The set may grow with the table; nothing is broadcast."""
+    ship(chunks.sparkSession)
+    parts, crowds = _blocks(chunks.count(), BLOCK_ROWS), _blocks(queries.count(), BLOCK_QUERIES)
+    deal = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = chunks.where(F.col("vector").isNotNull()).select("id", "path", F.col("vector").cast("array<double>").alias("vector"), deal("id", parts).alias("part"), every(crowds).alias("crowd"))
+    mine = queries.select("query_id", F.col("query").cast("array<double>").alias("query"), deal("query_id", crowds).alias("crowd"), every(parts).alias("part"))
+    return _first(_met(mine, rows, ("part", "crowd"), k, _hits(queries)), k)
 
 
 def nearest_order(points: np.ndarray, centres: np.ndarray) -> np.ndarray:

@@ -136,7 +136,7 @@ SELECT round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1,
 FROM qs e LEFT JOIN best b ON b.query_id = e.query_id AND b.path = e.expected_path""")
 def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = inputs.query_set(spark, sf_dir)
-    hits = search.vector_hits(inputs.chunks(spark, sf_dir, vectors=True), wanted.select("query_id", "query"), 60)
+    hits = vectors.all_hits(inputs.chunks(spark, sf_dir, vectors=True), wanted.select("query_id", "query"), 60)
     return search.evaluate(wanted.select("query_id", "expected_path"), hits)
 
 

@@ -82,6 +82,22 @@ def test_one_query_reads_only_its_lists(spark, index, points):
     assert good >= 27
 
 
+def test_all_rows_in_blocks(spark, chunks, points, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 900)
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 7)
+    asked = list(range(0, 6000, 300))
+    queries = spark.createDataFrame([(i, points[i].tolist()) for i in asked], "query_id long, query array<double>")
+    got = {}
+    for r in vectors.all_hits(chunks, queries, 12).collect():
+        got.setdefault(r["query_id"], []).append((r["position"], r["distance"], r["id"]))
+    kept = points.astype(np.float32).astype(float)
+    for i in asked:  # the first query has 300 equal vectors: those of least id count
+        want = sorted((round(float(d), 9), f"c{j}") for j, d in enumerate(((kept - points[i]) ** 2).sum(1)))[:12]
+        mine = sorted(got[i])
+        assert [p for p, *_ in mine] == list(range(1, 13)) and [x for *_, x in mine] == [x for _, x in want]
+        assert np.allclose([d for _, d, _ in mine], [d for d, _ in want], atol=1e-8)
+
+
 def test_small_and_empty(spark, tmp_path):
     schema = "id string, path string, vector array<float>"
     empty = vectors.VectorIndex(spark, str(tmp_path / "empty"))
