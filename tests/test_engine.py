@@ -251,6 +251,21 @@ def test_config():
         load({"VAULTS_JSON": '[{"name": "a"}]', "EMBEDDER": "other"})
 
 
+def test_watch_and_health_config(capsys):
+    from notelattice.config import ConfigError, Health, Watch, load, load_or_exit
+
+    base = {"VAULTS_JSON": '[{"name": "a"}]'}
+    assert load(base).watch == Watch(300, 30, True) and load(base).health == Health(0, 0, 3)
+    own = load({**base, "STALL_SECONDS": "0", "POLL_SECONDS": "90", "LOG_FORWARD": "false", "MAX_CRASHES": "7", "FAILURES": "0"})
+    assert own.watch == Watch(0, 90, False) and own.health == Health(7, 0, 0)
+    for bad in ({"POLL_SECONDS": "0"}, {"STALL_SECONDS": "10"}, {"STALL_SECONDS": "-1"}, {"STALL_SECONDS": "1e3"}, {"LOG_FORWARD": "yes"}, {"MAX_CRASHES": "9" * 400}, {"MAX_STALLS": "10001"}, {"FAILURES": ""}):
+        with pytest.raises(ConfigError):
+            load({**base, **bad})
+    with pytest.raises(SystemExit) as e:
+        load_or_exit({})
+    assert e.value.code == 78 and "VAULTS_JSON" in capsys.readouterr().err
+
+
 def test_embedders():
     import numpy as np
 
