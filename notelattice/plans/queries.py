@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from notelattice.functions import frontmatter, paths, scores, text
 from notelattice.functions.stem import stem
-from notelattice.operators import chunking, grep, health, impacts, links, listing, search, store, vectors
+from notelattice.operators import chunking, embed, grep, health, impacts, links, listing, search, store, vectors
 from notelattice.streaming import events
 from notelattice.vault import index_folder
 
@@ -169,6 +169,20 @@ def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("*", F.lit(told["probes"]).alias("probed"), F.lit(len(told["centres"])).alias("lists"))
 
 
+def _shift_step(i: int) -> str:
+    """The next state of a 32-bit xorshift."""
+    a, b = "xor(x, (x << 13) & 4294967295)", "xor(a, a >> 17)"
+    return f"s{i} AS (SELECT p_partkey, list_append(v, x / 2147483647.0::DOUBLE - 1) AS v, x FROM (SELECT p_partkey, v, xor(b, (b << 5) & 4294967295) AS x FROM (SELECT *, {b} AS b FROM (SELECT *, {a} AS a FROM s{i - 1}))))"
+
+
+@query("E2_hash_vectors", f"""WITH s0 AS (SELECT p_partkey, CAST([] AS DOUBLE[]) AS v, CASE h WHEN 0 THEN 1 ELSE h END AS x FROM (SELECT p_partkey,
+ list_reduce(list_prepend(5381::BIGINT, list_transform(range(1, length(p_name) + 1), lambda i: CAST(ascii(substr(p_name, i, 1)) AS BIGINT))), lambda h, u: (h * 33 + u) & 4294967295) AS h FROM part)),
+{', '.join(_shift_step(i) for i in range(1, 6))} SELECT p_partkey, list_transform(v, lambda e: CAST(CAST(e / sqrt(list_sum(list_transform(v, lambda y: y * y))) AS FLOAT) AS DOUBLE)) AS vector FROM s5""")
+def hash_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inputs.table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("embed_text"))
+    return embed.with_vectors(rows, embed.HashEmbedder(5)).select("p_partkey", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+
+
 # ---------------------------------------------------------------- store
 
 
