@@ -1,13 +1,14 @@
 """English stemming by the published Porter2 (Snowball English) rules, and its Arrow form.
 
 The rules are a few tables of endings and the two regions they apply in. Spark sends token lists as Arrow
-arrays; each batch is dictionary-encoded, so that a word is stemmed once however often it stands
-there, and a worker remembers the words it has met.
+arrays; each slice of a batch is dictionary-encoded, so that a word is stemmed once however often it stands
+there, and a worker remembers the words it has met last.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -16,9 +17,10 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from notelattice.functions.ship import ship
+from notelattice.functions.slices import sliced
 
-#: Words that a worker remembers with their stems.
-REMEMBERED = 1 << 18
+#: Words that a worker remembers with their stems: some 20 MB.
+REMEMBERED = 1 << 16
 
 # Letters, exceptions and endings of the published rules.
 VOWELS = "aeiouy"
@@ -131,15 +133,19 @@ def stems(words: Column) -> Column:
     ship(SparkSession.active())
 
     @F.arrow_udf("array<string>")
-    def run(lists: pa.Array) -> pa.Array:
-        lists = pa.concat_arrays([lists])  # without an offset, as a mask needs it
-        coded = lists.values.dictionary_encode()
-        known = pa.array([None if w is None else stem(w) for w in coded.dictionary.to_pylist()], pa.string())
-        return pa.ListArray.from_arrays(lists.offsets, known.take(coded.indices), mask=lists.is_null() if lists.null_count else None)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from sliced(stemmed, batches)
 
     return run(words)
 
 
+def stemmed(lists: pa.Array) -> pa.Array:
+    lists = pa.concat_arrays([lists])  # without an offset, as a mask needs it
+    coded = lists.values.dictionary_encode()
+    known = pa.array([None if w is None else stem(w) for w in coded.dictionary.to_pylist()], pa.string())
+    return pa.ListArray.from_arrays(lists.offsets, known.take(coded.indices), mask=lists.is_null() if lists.null_count else None)
+
+
 def stem_counts(words: Column, wanted: list[str]) -> Column:
     """For a list of words its length and how often each of the wanted stems is in it: all that comes
     back of a text. A stem begins as its word does, so that few distinct words are stemmed."""

@@ -1,9 +1,11 @@
 """The stemmer on words of the published vocabulary and in its Arrow form."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from notelattice.functions.stem import IRREGULAR, stem, stem_counts, stems
+from notelattice.functions.slices import SLICE_BYTES, sliced
+from notelattice.functions.stem import IRREGULAR, stem, stem_counts, stemmed, stems
 from notelattice.operators import search
 
 #: Word and stem, as published for the English rules.
@@ -59,3 +61,30 @@ def test_one_pass(spark):
     plan = scored._jdf.queryExecution().executedPlan().toString()
     final = plan.split("Initial Plan")[0]
     assert final.count("ArrowEvalPython") == 1 and "Generate" not in final and "ReusedExchange" in plan
+
+
+def test_slices():
+    """A batch is worked on in bounded slices, whatever their offsets and nulls; all rows come back in order."""
+    lists = pa.array([None if i % 50 == 0 else [f"running{i}", "runs"] * (i % 40) for i in range(20_000)], pa.list_(pa.string()))
+    seen = []
+
+    def work(part):
+        seen.append(part.nbytes)
+        return stemmed(part)
+
+    got = pa.concat_arrays(list(sliced(work, iter([lists.slice(3), lists.slice(0, 0)]))))
+    assert max(seen) <= SLICE_BYTES < lists.nbytes / 4
+    assert got.to_pylist() == [None if w is None else [stem(x) for x in w] for w in lists.slice(3).to_pylist()]
+
+
+def test_large_batches(spark):
+    df = spark.range(6000).selectExpr("id", "IF(id % 11 = 0, NULL, array_repeat(concat('words', id % 13), cast(id % 97 as int))) w").coalesce(1)
+    got = df.select("w", stems(F.col("w")).alias("s")).collect()
+    assert len(got) == 6000 and all(r["s"] == (None if r["w"] is None else [stem(x) for x in r["w"]]) for r in got)
+
+
+def test_lengths_need_no_stems(spark):
+    chunks = spark.createDataFrame([("Connections, and the rivers",), (None,), ("of",)], "embed_text string")
+    stats = search.corpus_stats(chunks)
+    assert (stats.first()["n"], round(stats.first()["avgdl"], 9)) == (3, round(2 / 3, 9))
+    assert "EvalPython" not in stats._jdf.queryExecution().executedPlan().toString()
