@@ -62,12 +62,13 @@ def tokens(text: Column) -> Column:
 def postings(chunks: DataFrame) -> DataFrame:
     """id, path, token, tf, doc_len: the text index, kept as a table."""
     rows = chunks.select("id", "path", tokens(F.col("embed_text")).alias("t")).withColumn("doc_len", F.size("t"))
-    return rows.select("id", "path", "doc_len", F.explode("t").alias("token")).groupBy("id", "path", "doc_len", "token").agg(F.count("*").alias("tf"))
+    # a plain explode drops empty lists before it, for which Spark would stem every text a second time
+    return rows.select("id", "path", "doc_len", F.explode_outer("t").alias("token")).where("token IS NOT NULL").groupBy("id", "path", "doc_len", "token").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """n and avgdl, one row; a chunk without words counts."""
-    lengths = chunks.select(F.size(tokens(F.col("embed_text"))).alias("doc_len"))
+    lengths = chunks.select(F.size(words_of(F.col("embed_text"))).alias("doc_len"))  # a stem for each word
     return lengths.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl"))
 
 

@@ -88,3 +88,11 @@ def test_lengths_need_no_stems(spark):
     stats = search.corpus_stats(chunks)
     assert (stats.first()["n"], round(stats.first()["avgdl"], 9)) == (3, round(2 / 3, 9))
     assert "EvalPython" not in stats._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_stem_once(spark):
+    """An explode of what Python made runs it once; chunks without words have no postings."""
+    chunks = spark.createDataFrame([("a", "a.md", "Rivers river"), ("b", "b.md", "the of"), ("c", "c.md", None), ("d", "d.md", "")], "id string, path string, embed_text string")
+    kept = search.postings(chunks)
+    assert [tuple(r) for r in kept.select("id", "path", "doc_len", "token", "tf").collect()] == [("a", "a.md", 2, "river", 2)]
+    assert kept._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ArrowEvalPython") == 1
