@@ -153,7 +153,11 @@ def stem_counts(words: Column, wanted: list[str]) -> Column:
     place, first = {w: i + 1 for i, w in enumerate(wanted)}, frozenset(w[:1] for w in wanted)
 
     @F.arrow_udf("array<int>")
-    def run(lists: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from sliced(counted, batches)
+
+    def counted(lists: pa.Array) -> pa.Array:
+        lists = pa.concat_arrays([lists])  # without what lies outside of a slice
         coded = lists.values.dictionary_encode()
         number = np.fromiter((place.get(stem(w), 0) if w[:1] in first else 0 for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
         found = number[coded.indices.to_numpy(zero_copy_only=False)] if len(number) else np.empty(0, np.int64)
