@@ -7,11 +7,14 @@ import re
 from collections.abc import Iterator
 from datetime import date, datetime
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from notelattice.functions.ship import ship
+from notelattice.functions.slices import sliced
 
 from .links import ITEM, code_ranges
 
@@ -165,11 +168,14 @@ def without_code(text: str) -> str:
 def tags_without_code(content: Column) -> Column:
     """Tags of a text, those in code left out, in first-seen order."""
 
-    @F.pandas_udf("array<string>")
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list(dict.fromkeys(TAG.findall(without_code(t or "")))))
+    def found(texts: pa.Array) -> pa.Array:
+        return pa.array([list(dict.fromkeys(TAG.findall(without_code(t or "")))) for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    return found(content)
+    @F.arrow_udf("array<string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from sliced(found, batches)
+
+    return run(content)
 
 
 def chunk_note(path: str, source: str) -> list[dict]:
@@ -189,14 +195,18 @@ def chunk_notes(files: DataFrame, every: bool = False) -> DataFrame:
     is a row without chunk_index."""
     ship(files.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        for b in batches:
-            rows = [{**c, "mtime_ms": r.mtime_ms, "sha256": r.sha256} for r in b.itertuples() for c in chunk_note(r.path, r.content or "") or [{**dict.fromkeys(names), "path": r.path}] * every]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.assign(chunk_index=out["chunk_index"].astype("Int32")) if every else out
+    schema = to_arrow_schema(T.StructType.fromDDL(SCHEMA))
+
+    def chunked(part: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for path, content, mtime_ms, sha256 in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            rows += [{**c, "mtime_ms": mtime_ms, "sha256": sha256} for c in chunk_note(path, content or "")] or [{"path": path}] * every
+        return pa.RecordBatch.from_pylist(rows, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from sliced(chunked, batches)
 
-    rows = files.select("path", "content", "mtime_ms", "sha256").mapInPandas(run, SCHEMA)
+    rows = files.select("path", "content", "mtime_ms", "sha256").mapInArrow(run, SCHEMA)
     return rows.withColumn("id", F.concat("path", F.lit("#"), "chunk_index"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
 from notelattice.functions.stem import stem, stem_counts
-from notelattice.operators import search
+from notelattice.operators import chunking, search
 
 ITER = f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}"
 TEXT = "# Head\n\n #tag [[a%d|x]] [y](b%d.md) `[[code]]`\n\n" + "some words that fill é " * 60
@@ -35,3 +35,15 @@ def test_counts(spark):
     assert len(got) == 6000 and all(r["c"] == [len(r["w"]), 1, sum(stem(x) == "runs1" for x in r["w"])] for r in got)
     chunks = spark.createDataFrame([("a", "p", "running")], "id string, path string, embed_text string")
     assert iterates(search.scanned(chunks, ["run"]))
+
+
+def test_chunks(spark):
+    for every in (False, True):
+        out = chunking.chunk_notes(notes(spark), every)
+        assert "MapInArrow" in plan(out)
+        got = [r.asDict() for r in out.collect()]
+        want = []
+        for r in notes(spark).collect():
+            made = [{**c, "mtime_ms": r["mtime_ms"], "sha256": "s", "id": f"{r['path']}#{c['chunk_index']}"} for c in chunking.chunk_note(r["path"], r["content"] or "")]
+            want += made or [{**dict.fromkeys(got[0]), "path": r["path"]}] * every
+        assert got == want
