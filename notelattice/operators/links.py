@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window as W
 
 from notelattice.functions.paths import folder_of, join_normalized, order_key, relative_form, segments, suffix_keys, under
 from notelattice.functions.ship import ship
+from notelattice.functions.slices import sliced
 from notelattice.functions.text import decode_link, encode_link, unescape_markdown
 
 #: The note grammar.
@@ -114,11 +119,16 @@ def links_of(notes: DataFrame) -> DataFrame:
     """source, link_no, kind, linkpath, raw_start, raw_end, angle of (path, content) notes."""
     ship(notes.sparkSession)
 
-    @F.pandas_udf(LINK)
-    def found(content: pd.Series) -> pd.Series:
-        return content.map(lambda t: find_links(t or ""))
+    kind = to_arrow_type(T.DataType.fromDDL(LINK))
 
-    rows = notes.select(F.col("path").alias("source"), F.posexplode(found("content")).alias("link_no", "l"))
+    def found(texts: pa.Array) -> pa.Array:
+        return pa.array([find_links(t or "") for t in texts.to_pylist()], kind)
+
+    @F.arrow_udf(LINK)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from sliced(found, batches)
+
+    rows = notes.select(F.col("path").alias("source"), F.posexplode(run("content")).alias("link_no", "l"))
     return rows.select("source", "link_no", "l.*")
 
 

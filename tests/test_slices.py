@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
 from notelattice.functions.stem import stem, stem_counts
-from notelattice.operators import chunking, search
+from notelattice.operators import chunking, links, search
 
 ITER = f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}"
 TEXT = "# Head\n\n #tag [[a%d|x]] [y](b%d.md) `[[code]]`\n\n" + "some words that fill é " * 60
@@ -47,3 +47,13 @@ def test_chunks(spark):
             made = [{**c, "mtime_ms": r["mtime_ms"], "sha256": "s", "id": f"{r['path']}#{c['chunk_index']}"} for c in chunking.chunk_note(r["path"], r["content"] or "")]
             want += made or [{**dict.fromkeys(got[0]), "path": r["path"]}] * every
         assert got == want
+
+
+def test_links_and_tags(spark):
+    out = links.links_of(notes(spark))
+    assert iterates(out)
+    want = [(r["path"], i, x["kind"], x["linkpath"], x["raw_start"], x["raw_end"], x["angle"]) for r in notes(spark).collect() for i, x in enumerate(links.find_links(r["content"] or ""))]
+    assert [tuple(r) for r in out.select("source", "link_no", "kind", "linkpath", "raw_start", "raw_end", "angle").collect()] == want and len(want) == 2 * 3920
+    tags = notes(spark).select("content", chunking.tags_without_code(F.col("content")).alias("t"))
+    assert iterates(tags)
+    assert all(r["t"] == (["tag"] if r["content"] else []) for r in tags.collect())
