@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -256,9 +255,12 @@ def plan_move(files: DataFrame, notes: DataFrame, src: str, dst: str) -> DataFra
     rows = rows.where((F.col("expected") != F.col("t0")) | (F.col("new_source") != F.col("source"))).join(after, ["new_source", "link_no"], "left")
     todo = rows.where(F.col("t1").isNull() | (F.col("t1") != F.col("expected")) | ((F.col("s0") == 1) & (F.col("s1") != 1)))
 
-    @F.pandas_udf("string")
-    def again(head: pd.Series, raw: pd.Series, tail: pd.Series, kind: pd.Series) -> pd.Series:
-        return pd.Series([parsed_again(*x) for x in zip(head, raw, tail, kind, strict=True)], dtype=object)
+    def read(part: pa.RecordBatch) -> pa.Array:
+        return pa.array([parsed_again(*x) for x in zip(*(c.to_pylist() for c in part.columns), strict=True)], pa.string())
+
+    @F.arrow_udf("string")
+    def again(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        yield from sliced(read, (pa.RecordBatch.from_arrays(list(x), ["head", "raw", "tail", "kind"]) for x in batches))
 
     tried = choices(todo).withColumn("raw", F.when(F.col("kind") == "wiki", F.col("form")).when(F.col("angle"), encode_link(F.col("form"), angle=True)).otherwise(encode_link(F.col("form"))))
     tried = tried.withColumn("reads", again("head", "raw", "tail", "kind"))
@@ -278,9 +280,12 @@ def rewrite(notes: DataFrame, plan: DataFrame) -> DataFrame:
     whole = plan.groupBy("source").agg(F.bool_and(F.col("new_linkpath").isNotNull()).alias("whole")).where("whole").drop("whole")
     edits = plan.join(whole, "source", "left_semi").groupBy("source").agg(F.first("new_source").alias("path"), F.sort_array(F.collect_list(F.struct("raw_start", "raw_end", "new_linkpath"))).alias("edits"))
 
-    @F.pandas_udf("string")
-    def spliced(content: pd.Series, edits: pd.Series) -> pd.Series:
-        return pd.Series([splice(c, [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in e]) for c, e in zip(content, edits, strict=True)])
+    def edited(part: pa.RecordBatch) -> pa.Array:
+        return pa.array([splice(c, [tuple(x.values()) for x in e]) for c, e in zip(*(c.to_pylist() for c in part.columns), strict=True)], pa.string())
+
+    @F.arrow_udf("string")
+    def spliced(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        yield from sliced(edited, (pa.RecordBatch.from_arrays(list(x), ["content", "edits"]) for x in batches))
 
     met = notes.select(F.col("path").alias("source"), "content").join(edits, "source")
     return met.select("path", spliced("content", "edits").alias("content"), F.size("edits").alias("links"))

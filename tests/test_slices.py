@@ -57,3 +57,15 @@ def test_links_and_tags(spark):
     tags = notes(spark).select("content", chunking.tags_without_code(F.col("content")).alias("t"))
     assert iterates(tags)
     assert all(r["t"] == (["tag"] if r["content"] else []) for r in tags.collect())
+
+
+def test_moves(spark):
+    """Forms are read again, and notes are rewritten, in slices too."""
+    pages = spark.createDataFrame([(f"m/{i}.md", f"[x]({i + 1}.md) [[{i}]] " + "words " * 400) for i in range(2000)], "path string, content string").coalesce(1)
+    plan_ = links.plan_move(pages.select("path"), pages, "m/7.md", "k/7.md")
+    assert iterates(plan_)
+    got = {(r["source"], r["link_no"]): r["new_linkpath"] for r in plan_.collect()}
+    assert got == {("m/6.md", 0): "../k/7.md", ("m/7.md", 0): "../m/8.md"}
+    new = links.rewrite(pages, plan_)
+    assert iterates(new)
+    assert {r["path"]: r["content"][:16] for r in new.collect()} == {"m/6.md": "[x](../k/7.md) [", "k/7.md": "[x](../m/8.md) ["}
