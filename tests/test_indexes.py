@@ -114,6 +114,17 @@ def test_small_and_empty(spark, tmp_path):
     assert two.current()["mark"] == "3" and len(two.files._names("v")) == 2
 
 
+def test_sample_is_bounded_before_it_is_sorted(spark):
+    """The sort of the sample gets little more than the sample, which is that of a sort of all rows."""
+    rows = spark.range(0, 60_000, 1, 8).select("id", F.xxhash64("id").alias("h"))
+    out = vectors.least_hashed(rows, 60_000, 2000)
+    assert [r["id"] for r in out.collect()] == [r["id"] for r in rows.orderBy("h").limit(2000).collect()]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter (" in plan and 2000 <= rows.where("h < " + plan.split(" < ")[1].split(")")[0].rstrip("L")).count() < 5000
+    same = rows.withColumn("h", F.lit(5).cast("long"))  # no bound parts these
+    assert vectors.least_hashed(same, 60_000, 2000).count() == 2000
+
+
 @pytest.fixture(scope="module")
 def texts(spark):
     """Some words are in most chunks, some in few; lengths differ widely."""
