@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +30,12 @@ from .store import Snapshots
 LEAST_ROWS = 256
 #: Bytes of the sample that k-means gets, its rounds, rows of the sample for each centroid, and lists at most.
 SAMPLE_BYTES, ROUNDS, ROWS_A_LIST, MOST_LISTS = 64 << 20, 12, 32, 4096
-#: Rows of a list that one task handles, and queries that meet them there.
-BLOCK_ROWS, BLOCK_QUERIES = 50_000, 1000
+#: Rows that one task handles, and queries that meet them there, at most: their number, and the bytes of their vectors.
+#: All rows are sent once for each block of queries and all queries once for each block of rows, so that blocks are large.
+BLOCK_ROWS, BLOCK_QUERIES = 131_072, 32_768
+ROW_BYTES, QUERY_BYTES = 64 << 20, 16 << 20
+#: Rows of a block in indexes that don't say.
+UNTOLD_ROWS = 50_000
 #: The recall that the number of probed lists is set for, and the queries it is measured with.
 TARGET, MEASURED = 0.95, 64
 #: Rows ranked by codes that are scored again, a multiple of what is asked for.
@@ -69,7 +74,7 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.nda
 def matrix(column: pa.Array) -> np.ndarray:
     """A column of vectors of one length."""
     values = column.flatten().to_numpy(zero_copy_only=False)
-    return values.reshape(len(column), -1).astype(np.float64)
+    return values.reshape(len(column), -1).astype(np.float64, copy=False)
 
 
 def least_hashed(rows: DataFrame, n: int, most: int) -> DataFrame:
@@ -88,6 +93,11 @@ def _blocks(n: int, size: int) -> int:
     return max(1, -(-n // size))
 
 
+def _most(rows: int, size: int, dim: int) -> int:
+    """Vectors of a block."""
+    return max(1, min(rows, size // (8 * max(dim, 1))))
+
+
 @dataclass
 class VectorIndex:
     """The index in a folder: a table of lists for each version, and pointer files with centroids, list
@@ -126,11 +136,12 @@ class VectorIndex:
         placed.write.parquet(f"{at}/placed")
         placed = self.spark.read.schema(placed.schema).parquet(f"{at}/placed")
         sizes = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}  # a row for each list
-        parts = self.spark.createDataFrame([(int(k), _blocks(v, BLOCK_ROWS)) for k, v in sizes.items()], "list int, parts int")
+        block = _most(BLOCK_ROWS, ROW_BYTES, dim)
+        parts = self.spark.createDataFrame([(int(k), _blocks(v, block)) for k, v in sizes.items()], "list int, parts int")
         dealt = placed.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
         dealt.repartition("list", "part").sortWithinPartitions("list", "part", "id").write.partitionBy("list").parquet(f"{at}/lists")
         self.files.remove(f"{name}/placed")
-        told = {"rows": n, "dim": dim, "at": name, "centres": centres.tolist(), "sizes": {str(k): v for k, v in sizes.items()}, "scale": scale, "mark": mark, "probes": lists, "recall": 1.0}
+        told = {"rows": n, "dim": dim, "at": name, "block": block, "centres": centres.tolist(), "sizes": {str(k): v for k, v in sizes.items()}, "scale": scale, "mark": mark, "probes": lists, "recall": 1.0}
         return self.files.publish(told | self._measured(told, rows, target))
 
     def _placed(self, rows: DataFrame, centres: np.ndarray, scale: float) -> DataFrame:
@@ -216,8 +227,9 @@ class VectorIndex:
                     yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(at)) for i in range(2)), pa.array(own.ravel().astype(np.int32))], ["query_id", "query", "list"])
 
         there = asked.mapInArrow(sent, T.StructType([*asked.schema, T.StructField("list", T.IntegerType())]))
-        sizes = self.spark.createDataFrame([(int(x), _blocks(n, BLOCK_ROWS)) for x, n in told["sizes"].items()], "list int, parts int")
-        crowd = there.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("crowds"))
+        sizes = self.spark.createDataFrame([(int(x), _blocks(n, told.get("block", UNTOLD_ROWS))) for x, n in told["sizes"].items()], "list int, parts int")
+        most = _most(BLOCK_QUERIES, QUERY_BYTES, told["dim"])
+        crowd = there.groupBy("list").agg(F.ceil(F.count("*") / most).cast("int").alias("crowds"))
         plan = F.broadcast(sizes.join(crowd, "list"))  # a row for each list
         mine = there.join(plan, "list").withColumn("crowd", F.pmod(F.xxhash64("query_id"), F.col("crowds")).cast("int")).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
         rows = self.lists(told).join(plan, "list").withColumn("crowd", F.explode(F.expr("sequence(0, crowds - 1)")))
@@ -232,9 +244,10 @@ def _met(queries: DataFrame, rows: DataFrame, key: tuple[str, ...], k: int, hits
     def meet(queries: pa.Table, rows: pa.Table) -> pa.Table:
         out = []
         if len(queries) and len(rows):
-            rows = rows.sort_by("id")
-            q, v = (matrix(t.column(c).combine_chunks()) for t, c in ((queries, "query"), (rows, "vector")))
-            half, most = (v**2).sum(1) / 2, min(k, len(v))
+            by_id = pc.sort_indices(rows, sort_keys=[("id", "ascending")])
+            q, v = matrix(queries.column("query").combine_chunks()), matrix(rows.column("vector").combine_chunks())
+            v, rows = v[by_id.to_numpy()], rows.select(["id", "path"]).take(by_id)  # vectors are not copied once more
+            half, most = np.einsum("ij,ij->i", v, v) / 2, min(k, len(v))
             step = max(1, (1 << 22) // len(v))
             for at in range(0, len(q), step):
                 score = half - q[at : at + step] @ v.T
@@ -265,7 +278,8 @@ def all_hits(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     (query_id, query), without an index: rows and queries meet in blocks of bounded size, each of which
     passes on k rows a query. The set may grow with the table; nothing is broadcast."""
     ship(chunks.sparkSession)
-    parts, crowds = _blocks(chunks.count(), BLOCK_ROWS), _blocks(queries.count(), BLOCK_QUERIES)
+    asked, dim = queries.agg(F.count("*"), F.max(F.size("query"))).first()
+    parts, crowds = _blocks(chunks.count(), _most(BLOCK_ROWS, ROW_BYTES, dim or 0)), _blocks(asked, _most(BLOCK_QUERIES, QUERY_BYTES, dim or 0))
     deal = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = chunks.where(F.col("vector").isNotNull()).select("id", "path", F.col("vector").cast("array<double>").alias("vector"), deal("id", parts).alias("part"), every(crowds).alias("crowd"))

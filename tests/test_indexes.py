@@ -98,6 +98,18 @@ def test_all_rows_in_blocks(spark, chunks, points, monkeypatch):
         assert np.allclose([d for _, d, _ in mine], [d for d, _ in want], atol=1e-8)
 
 
+def test_rows_are_not_sent_for_every_thousand_queries(spark):
+    """Blocks are bounded by bytes: 4,000 queries of 64 numbers meet the rows in one crowd, and longer vectors in more."""
+    rows = spark.range(300).selectExpr("cast(id as string) id", "'p' path", "array_repeat(cast(id as double), 64) vector")
+    queries = spark.range(4000).selectExpr("id query_id", "array_repeat(cast(id as double), 64) query")
+    out = vectors.all_hits(rows, queries, 2)
+    assert "sequence(0, 0," in out._jdf.queryExecution().analyzed().toString()
+    assert "sequence(0, 3," not in out._jdf.queryExecution().analyzed().toString()
+    got = {(r["query_id"], r["position"]): r["id"] for r in out.collect()}
+    assert len(got) == 8000 and got[7, 1] == "7" and got[7, 2] == "6" and got[3999, 1] == "299"
+    assert vectors._most(vectors.BLOCK_ROWS, vectors.ROW_BYTES, 1536) * 1536 * 8 <= 64 << 20
+
+
 def test_small_and_empty(spark, tmp_path):
     schema = "id string, path string, vector array<float>"
     empty = vectors.VectorIndex(spark, str(tmp_path / "empty"))
