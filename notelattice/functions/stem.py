@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from notelattice.functions.slices import sliced
 
 #: Words that a worker remembers with their stems: some 20 MB.
 REMEMBERED = 1 << 16
+#: A text as its number of words and its stems with their numbers.
+BAGS = "struct<doc_len: int, bag: array<struct<token: string, tf: bigint>>>"
 
 # Letters, exceptions and endings of the published rules.
 VOWELS = "aeiouy"
@@ -146,6 +149,39 @@ def stemmed(lists: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(lists.offsets, known.take(coded.indices), mask=lists.is_null() if lists.null_count else None)
 
 
+def stem_bags(words: Column, left_out: tuple[str, ...] = ()) -> Column:
+    """For a list of lower-case words how many of them are not left out (doc_len), and each stem of those with
+    its number (bag), so that a text comes back as a row for each distinct stem; a null list has none."""
+    ship(SparkSession.active())
+    gone = frozenset(left_out)
+
+    @F.arrow_udf(BAGS)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from sliced(lambda lists: bagged(lists, gone), batches)
+
+    return run(words)
+
+
+def bagged(lists: pa.Array, left_out: frozenset[str] = frozenset()) -> pa.Array:
+    """One struct (doc_len, bag) for each list."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    coded = lists.flatten().dictionary_encode()
+    known = [None if w is None or w in left_out else stem(w) for w in coded.dictionary.to_pylist()]
+    place: dict[str, int] = {}
+    number = np.array([-1 if w is None else place.setdefault(w, len(place)) for w in known] or [-1], np.int64)
+    own = number[coded.indices.fill_null(0).to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
+    row, counted = np.repeat(np.arange(len(lists)), lengths), own >= 0
+    if coded.null_count:
+        counted &= coded.indices.is_valid().to_numpy(zero_copy_only=False)
+    met, tf = np.unique(row[counted] * max(len(place), 1) + own[counted], return_counts=True)
+    row, own = np.divmod(met, max(len(place), 1))
+    offsets = np.searchsorted(row, np.arange(len(lists) + 1)).astype(np.int32)
+    tokens = pa.array(list(place), pa.string()).take(pa.array(own))
+    bag = pa.StructArray.from_arrays([tokens, pa.array(tf.astype(np.int64))], ["token", "tf"])
+    doc_len = np.bincount(row, tf, len(lists)).astype(np.int32)
+    return pa.StructArray.from_arrays([pa.array(doc_len), pa.ListArray.from_arrays(pa.array(offsets), bag)], ["doc_len", "bag"])
+
+
 def stem_counts(words: Column, wanted: list[str]) -> Column:
     """For a list of words its length and how often each of the wanted stems is in it: all that comes
     back of a text. A stem begins as its word does, so that few distinct words are stemmed."""

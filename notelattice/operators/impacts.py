@@ -9,8 +9,10 @@ What is skipped cannot be among the first k, so that the hits are those of a sea
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ RANGE_ROWS, LENGTHS = 256, 1024
 #: A token in more chunks than this has its blocks kept; of others all postings are read.
 HEAVY = 2048
 #: Postings of a bucket of tokens, and of a file.
-BUCKET_ROWS, FILE_ROWS = 20_000_000, 2_000_000
+BUCKET_ROWS, FILE_ROWS = 20_000_000, 1_000_000
 #: Ranges that are scored first, and ranges that a filter lists by number.
 FIRST, LISTED = 32, 2000
 #: Sums of floats depend on their order by less than this.
@@ -48,26 +50,46 @@ class ImpactIndex:
     # ---- making
 
     def build(self, postings: DataFrame, stats: DataFrame, mark: str = "") -> dict:
-        """Indexes postings (id, path, token, tf, doc_len); stats is one row with n and avgdl of all
-        chunks, those without words included."""
+        """Indexes postings (id, path, token, tf, doc_len), a kept table that is read three times; stats is
+        one row with n and avgdl of all chunks, those without words included."""
         n, avgdl = stats.select("n", "avgdl").first()
+        return self._made(self.files.new(), postings, postings.select("id", "doc_len").distinct(), postings.count(), n, avgdl, mark)
+
+    def build_from(self, chunks: DataFrame, mark: str = "") -> dict:
+        """Indexes chunks (id, path, embed_text). Their texts are read once: what they are counted to is
+        written to the index's folder, and lengths, statistics and postings are read from there."""
         name = self.files.new()
+        bags = search.bags(chunks)
+        bags.write.parquet(f"{self.root}/{name}/bags")
+        bags = self.spark.read.schema(bags.schema).parquet(f"{self.root}/{name}/bags")
+        n, avgdl, total = bags.agg(F.count("*"), F.avg("doc_len"), F.coalesce(F.sum(F.size("bag")), F.lit(0))).first()
+        key = ("id", "path", "doc_len")
+        rows = bags.select(*key, F.explode("bag").alias("p")).select(*key, "p.token", "p.tf")
+        if not bags.groupBy(*key).count().where("count > 1").isEmpty():  # copies of a chunk are one, with all their words
+            rows = rows.groupBy(*key, "token").agg(F.sum("tf").alias("tf"))
+        told = self._made(name, rows, bags.where("doc_len > 0").select("id", "doc_len"), total, n, avgdl, mark)
+        self.files.remove(f"{name}/bags")
+        return told
+
+    def _made(self, name: str, postings: DataFrame, lengths: DataFrame, total: int, n: int, avgdl: float | None, mark: str) -> dict:
         at = f"{self.root}/{name}"
-        lengths = postings.select("id", "doc_len").distinct()
         steps = min(LENGTHS, max(1, n // RANGE_ROWS))
         cuts = lengths.agg(F.percentile_approx("doc_len", [i / steps for i in range(1, steps)] or [1.0], 10_000)).first()[0] or []
         cuts = sorted(set(cuts)) if steps > 1 else []
         fine = max(1, -(-n // (RANGE_ROWS * (len(cuts) + 1))))
-        coarse = F.expr(f"size(filter(array({', '.join(map(str, cuts))}), c -> c < doc_len))") if cuts else F.lit(0)
-        place = (coarse * fine + F.pmod(F.xxhash64("id"), F.lit(fine))).cast("int")
+        if cuts:  # the number of cuts below a length, by a binary search
+            postings = Bucketizer(splits=[-math.inf, *(c + 0.5 for c in cuts), math.inf], inputCol="doc_len", outputCol="coarse").transform(postings)
+        else:
+            postings = postings.withColumn("coarse", F.lit(0))
+        place = (F.col("coarse") * fine + F.pmod(F.xxhash64("id"), F.lit(fine))).cast("int")
         rows = postings.select("token", place.alias("range"), "id", "path", search.impact(F.col("tf"), F.col("doc_len"), F.lit(avgdl)).alias("impact"))
-        total = postings.count()
         buckets, ranges = max(1, -(-total // BUCKET_ROWS)), (len(cuts) + 1) * fine
         bucket = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int").alias("bucket")
         # a frequent token fills many files, each with the ranges of one part of them
         parts = max(1, -(-total // (buckets * FILE_ROWS)))
         dealt = rows.withColumn("bucket", bucket).withColumn("slice", F.expr(f"cast(range * {parts} div {ranges} as int)"))
-        dealt = dealt.repartition("bucket", "slice").sortWithinPartitions("bucket", "token", "range").drop("slice")
+        # each has a task of its own: by hash, several would meet in one
+        dealt = dealt.repartitionById(buckets * parts, F.col("bucket") * parts + F.col("slice")).drop("slice").sortWithinPartitions("bucket", "token", "range")
         dealt.write.option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{at}/postings")
         told = {"at": name, "n": n, "avgdl": avgdl, "buckets": buckets, "ranges": ranges, "mark": mark}
         kept = self._postings(told)

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 
 from notelattice.errors import InvalidInput
 from notelattice.functions.scores import RRF_K, rrf_term, squared_distance, text_score, vector_score
-from notelattice.functions.stem import stem_counts, stems
+from notelattice.functions.stem import stem_bags, stem_counts, stems
 
 from .store import where_path_and_tag
 
@@ -48,10 +48,14 @@ class SearchOptions:
         return self
 
 
+def runs_of(text: Column) -> Column:
+    """Lower-case runs of letters and digits; a null text has none."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+
+
 def words_of(text: Column) -> Column:
-    """Lower-case runs of letters and digits without stop words; a null text has none."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    return F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
+    """The runs without stop words."""
+    return F.filter(runs_of(text), lambda w: ~w.isin(*STOP_WORDS))
 
 
 def tokens(text: Column) -> Column:
@@ -66,6 +70,13 @@ def postings(chunks: DataFrame) -> DataFrame:
     return rows.select("id", "path", "doc_len", F.explode_outer("t").alias("token")).where("token IS NOT NULL").groupBy("id", "path", "doc_len", "token").agg(F.count("*").alias("tf"))
 
 
+def bags(chunks: DataFrame) -> DataFrame:
+    """id, path, doc_len, bag: each chunk with its tokens and their tf, in one pass over the texts. Chunks
+    without words stay."""
+    rows = chunks.select("id", "path", stem_bags(runs_of(F.col("embed_text")), STOP_WORDS).alias("b"))
+    return rows.select("id", "path", "b.doc_len", "b.bag")
+
+
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """n and avgdl, one row; a chunk without words counts."""
     lengths = chunks.select(F.size(words_of(F.col("embed_text"))).alias("doc_len"))  # a stem for each word

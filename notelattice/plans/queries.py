@@ -145,7 +145,7 @@ def impact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hits of an index made of all chunks, which skips what cannot be among them."""
     c = inputs.chunks(spark, sf_dir)
     index = impacts.ImpactIndex(spark, index_folder(spark))
-    index.build(search.postings(c), search.corpus_stats(c))
+    index.build_from(c)
     return index.search(WORDS, 60)
 
 

@@ -1,10 +1,15 @@
 """The vector index and the impact index against searches of everything."""
 
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from notelattice.functions import stem
 from notelattice.operators import impacts, search, vectors
+from notelattice.plans import inputs, queries
 
 
 @pytest.fixture(scope="module")
@@ -183,3 +188,46 @@ def test_impacts_of_nothing(spark, texts, tmp_path):
     assert index.search(["w1"], 5).count() == 0
     index.build(search.postings(texts.limit(0)), search.corpus_stats(texts.limit(0)))
     assert index.search(["w1"], 5).count() == 0
+
+
+def test_impact_query_reads_texts_once(spark, sf_dir, monkeypatch):
+    """Texts are tokenised and stemmed once, however many steps the index is made in."""
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        met.add(1)
+        return text
+
+    made = inputs.chunks(spark, sf_dir).select("id", "path", "embed_text").cache()
+    monkeypatch.setattr(inputs, "chunks", lambda *_: made.withColumn("embed_text", seen.asNondeterministic()("embed_text")))
+    assert queries.QUERIES["K3_impact_index"](spark, sf_dir).count() == 60
+    assert met.value == made.count()
+
+
+def test_impacts_of_chunks(spark, texts, tmp_path, monkeypatch):
+    """Made of chunks, copies of some among them, the index is that of their postings."""
+    monkeypatch.setattr(impacts, "RANGE_ROWS", 32)
+    monkeypatch.setattr(impacts, "BUCKET_ROWS", 20_000)
+    monkeypatch.setattr(impacts, "FILE_ROWS", 5_000)
+    copies = texts.where("id LIKE 'c1%'").unionByName(texts.where("id = 'c17'"))
+    for i, chunks in enumerate((texts, texts.unionByName(copies), texts.limit(0), texts.where("id = 'null'"))):
+        one, two = (impacts.ImpactIndex(spark, str(tmp_path / f"{k}{i}")) for k in "ab")
+        told = one.build_from(chunks)
+        want = two.build(search.postings(chunks).cache(), search.corpus_stats(chunks))
+        assert (told["n"], told["avgdl"]) == (want["n"], want["avgdl"])
+        rows = [sorted(tuple(r) for r in x._postings(t).select("token", "id", "path", F.round("impact", 12)).collect()) for x, t in ((one, told), (two, want))]
+        assert rows[0] == rows[1]
+        for words in (["w0"], ["w1", "w399"], ["w3", "w5", "w17"]):
+            assert one.search(words, 20).collect() == two.search(words, 20).collect()
+        assert not (tmp_path / f"a{i}" / told["at"] / "bags").exists()
+
+
+def test_bags():
+    """Null lists, null words, words left out, and a slice of an array."""
+    lists = pa.array([["x"], ["running", "runs", "the", None, "cats"], None, [], ["the"], ["cat", "run", "cat"]])
+    for at in range(len(lists) + 1):
+        got = stem.bagged(lists.slice(at), frozenset(["the"])).to_pylist()
+        for text, bag in zip(lists.to_pylist()[at:], got, strict=True):
+            want = Counter(stem.stem(w) for w in text or [] if w not in (None, "the"))
+            assert bag["doc_len"] == want.total() and {p["token"]: p["tf"] for p in bag["bag"]} == want and len(bag["bag"]) == len(want)
