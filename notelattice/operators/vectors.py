@@ -22,6 +22,7 @@ from pyspark.sql.window import Window as W
 
 from notelattice.functions.scores import squared_distance
 from notelattice.functions.ship import ship
+from notelattice.functions.slices import SLICE_BYTES
 
 from .search import DIGITS
 from .store import Snapshots
@@ -34,6 +35,8 @@ SAMPLE_BYTES, ROUNDS, ROWS_A_LIST, MOST_LISTS = 64 << 20, 12, 32, 4096
 #: All rows are sent once for each block of queries and all queries once for each block of rows, so that blocks are large.
 BLOCK_ROWS, BLOCK_QUERIES = 131_072, 32_768
 ROW_BYTES, QUERY_BYTES = 64 << 20, 16 << 20
+#: Blocks that lists are dealt to while these have so many rows at least: work for that many tasks.
+SPREAD, LEAST_BLOCK = 16, 8192
 #: Rows of a block in indexes that don't say.
 UNTOLD_ROWS = 50_000
 #: The recall that the number of probed lists is set for, and the queries it is measured with.
@@ -209,53 +212,105 @@ class VectorIndex:
 
     def search_all(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
         """query_id, id, path, distance, position of the k nearest rows found for each of a table of
-        queries (query_id, query). A query goes to its lists; a list's rows and queries meet in
-        blocks of bounded size, which pass on k rows a query."""
+        queries (query_id, query). Lists are dealt to blocks of bounded size. A query goes once to each block
+        that has some of its lists, with their numbers, and meets the rows of these; a block passes on
+        k rows a query, however many lists are in it."""
         ship(self.spark)
         told = self.current()
         hits = _hits(queries)
         if not told or not told["rows"]:
             return self.spark.createDataFrame([], T.StructType([*hits, T.StructField("position", T.IntegerType())]))
-        shared, probes = self.spark.sparkContext.broadcast(np.array(told["centres"])), probes or told["probes"]
+        home = dealt_lists({int(x): n for x, n in told["sizes"].items()}, told.get("block", UNTOLD_ROWS))
+        holds = np.zeros((max(b for _, _, b in home) + 1, len(told["centres"])), bool)  # which lists a block has rows of
+        for number, _, block in home:
+            holds[block, number] = True
+        shared, probes = self.spark.sparkContext.broadcast((np.array(told["centres"]), holds)), probes or told["probes"]
         asked = queries.select("query_id", F.col("query").cast("array<double>").alias("query"))
 
         def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centres, holds = shared.value
+            step = max(1, SLICE_BYTES // (8 * (len(holds) * centres.shape[1] + len(centres))))
             for batch in batches:
-                if len(batch):
-                    own = nearest_order(matrix(batch.column(1)), shared.value)[:, :probes]
-                    at = np.repeat(np.arange(len(batch)), own.shape[1])
-                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(at)) for i in range(2)), pa.array(own.ravel().astype(np.int32))], ["query_id", "query", "list"])
-
-        there = asked.mapInArrow(sent, T.StructType([*asked.schema, T.StructField("list", T.IntegerType())]))
-        sizes = self.spark.createDataFrame([(int(x), _blocks(n, told.get("block", UNTOLD_ROWS))) for x, n in told["sizes"].items()], "list int, parts int")
-        most = _most(BLOCK_QUERIES, QUERY_BYTES, told["dim"])
-        crowd = there.groupBy("list").agg(F.ceil(F.count("*") / most).cast("int").alias("crowds"))
-        plan = F.broadcast(sizes.join(crowd, "list"))  # a row for each list
-        mine = there.join(plan, "list").withColumn("crowd", F.pmod(F.xxhash64("query_id"), F.col("crowds")).cast("int")).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
-        rows = self.lists(told).join(plan, "list").withColumn("crowd", F.explode(F.expr("sequence(0, crowds - 1)")))
-
-        key = ("list", "part", "crowd")
-        return _first(_met(mine.select(*key, "query_id", "query"), rows.select(*key, "id", "path", "vector"), key, k, hits), k)
+                for start in range(0, len(batch), step):
+                    part = batch.slice(start, step)
+                    own = np.zeros((len(part), len(centres)), bool)
+                    np.put_along_axis(own, nearest_order(matrix(part.column(1)), centres)[:, :probes], True, axis=1)
+                    for block, here in enumerate(holds):
+                        mine = own & here
+                        at = np.flatnonzero(mine.any(axis=1))
+                        if not len(at):
+                            continue
+                        who, lists = np.nonzero(mine[at])
+                        ends = np.searchsorted(who, np.arange(len(at) + 1)).astype(np.int32)
+                        columns = [*(part.column(i).take(pa.array(at)) for i in range(2)), pa.ListArray.from_arrays(pa.array(ends), pa.array(lists.astype(np.int32))), pa.array(np.full(len(at), block, np.int32))]
+                        yield pa.RecordBatch.from_arrays(columns, ["query_id", "query", "lists", "block"])
+
+        fields = [T.StructField("lists", T.ArrayType(T.IntegerType())), T.StructField("block", T.IntegerType())]
+        crowds = _blocks(asked.count(), _most(BLOCK_QUERIES, QUERY_BYTES, told["dim"]))
+        mine = asked.mapInArrow(sent, T.StructType([*asked.schema, *fields])).withColumn("crowd", F.pmod(F.xxhash64("query_id"), F.lit(crowds)).cast("int"))
+        plan = F.broadcast(self.spark.createDataFrame(home, "list int, part int, block int"))  # a row for each list, or part of a long one
+        rows = self.lists(told).join(plan, ["list", "part"]).withColumn("crowd", F.explode(F.sequence(F.lit(0), F.lit(crowds - 1))))
+
+        key = ("block", "crowd")
+        return _first(_met(mine.select(*key, "query_id", "query", "lists"), rows.select(*key, "id", "path", "vector", "list"), key, k, hits), k)
+
+
+def dealt_lists(sizes: dict[int, int], most: int) -> list[tuple[int, int, int]]:
+    """(list, part, block) of all lists: one of more than `most` rows is in parts, and neighbours share a block
+    up to `most` rows, or up to a share of all rows that leaves work for SPREAD tasks."""
+    full = min(most, max(LEAST_BLOCK, -(-sum(sizes.values()) // SPREAD)))
+    out, block, held = [], 0, 0
+    for number, n in sorted(sizes.items()):
+        parts = _blocks(n, most)
+        for part in range(parts):
+            own = -(-n // parts)
+            if held and held + own > full:
+                block, held = block + 1, 0
+            out.append((number, part, block))
+            held += own
+    return out
 
 
 def _met(queries: DataFrame, rows: DataFrame, key: tuple[str, ...], k: int, hits: T.StructType) -> DataFrame:
-    """The k nearest rows of each query in every block: of equal distances those of least id."""
+    """The k nearest rows of each query in every block: of equal distances those of least id. Where queries
+    have `lists`, of the rows whose `list` is among them."""
 
     def meet(queries: pa.Table, rows: pa.Table) -> pa.Table:
         out = []
         if len(queries) and len(rows):
             by_id = pc.sort_indices(rows, sort_keys=[("id", "ascending")])
             q, v = matrix(queries.column("query").combine_chunks()), matrix(rows.column("vector").combine_chunks())
+            held = rows.column("list").to_numpy()[by_id.to_numpy()] if "list" in rows.column_names else None
             v, rows = v[by_id.to_numpy()], rows.select(["id", "path"]).take(by_id)  # vectors are not copied once more
-            half, most = np.einsum("ij,ij->i", v, v) / 2, min(k, len(v))
+            half = np.einsum("ij,ij->i", v, v) / 2
+            asked = _Asked(queries, held) if held is not None else None
+            if asked:
+                q, queries = q[asked.order], queries.select(["query_id"]).take(pa.array(asked.order))
             step = max(1, (1 << 22) // len(v))
             for at in range(0, len(q), step):
-                score = half - q[at : at + step] @ v.T
+                open_ = asked.open(at, step) if asked else None  # for each query which lists it may see
+                near = np.flatnonzero(open_.any(axis=0)[asked.place]) if asked else None
+                if near is not None and not len(near):  # a block may have no row of a part of a list
+                    continue
+                if near is None or 2 * len(near) > len(v):  # else few lists are left, and only their rows are scored
+                    near = slice(None)
+                score = half[near] - q[at : at + step] @ v[near].T
+                close = ~open_[:, asked.place[near]] if asked else None  # rows that a query doesn't see
+                if asked:
+                    score[close] = np.inf
+                most = min(k, score.shape[1])
                 own = np.argpartition(score, most - 1, axis=1)[:, :most]
                 last = np.take_along_axis(score, own, 1).max(axis=1, keepdims=True)
                 for i in np.flatnonzero((score <= last + 1e-9).sum(axis=1) > most):  # ties at the end
+                    if close is not None and len(score[i]) - close[i].sum() <= most:  # all that it sees are there
+                        continue
                     own[i] = np.argsort(np.round(score[i], DIGITS), kind="stable")[:most]
                 who, flat = np.repeat(np.arange(at, at + len(score)), most), own.ravel()
+                if close is not None:
+                    seen = ~np.take_along_axis(close, own, 1).ravel()
+                    who, flat = who[seen], flat[seen]
+                if not isinstance(near, slice):
+                    flat = near[flat]
                 distance = np.round(((v[flat] - q[who]) ** 2).sum(1), DIGITS)
                 taken = rows.take(pa.array(flat))
                 out.append(pa.table([queries.column("query_id").take(pa.array(who)), taken.column("id"), taken.column("path"), pa.array(distance)], names=hits.fieldNames()))
@@ -264,6 +319,27 @@ def _met(queries: DataFrame, rows: DataFrame, key: tuple[str, ...], k: int, hits
     return queries.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(meet, hits)
 
 
+class _Asked:
+    """Which lists of a block its queries see. Queries with the same first list are neighbours in `order`;
+    place: for each row the column of its list."""
+
+    def __init__(self, queries: pa.Table, held: np.ndarray):
+        numbers, self.place = np.unique(held, return_inverse=True)
+        column = queries.column("lists").combine_chunks()
+        lists, ends = column.flatten().to_numpy(), np.concatenate(([0], np.cumsum(pc.list_value_length(column).to_numpy())))
+        self.order = np.argsort(lists[ends[:-1]], kind="stable")
+        at = np.minimum(np.searchsorted(numbers, lists), len(numbers) - 1)
+        self.lists, self.there, self.ends, self.n = at, numbers[at] == lists, ends, len(numbers)
+
+    def open(self, at: int, step: int) -> np.ndarray:
+        own = self.order[at : at + step]
+        out = np.zeros((len(own), self.n), bool)
+        for i, x in enumerate(own):
+            part = slice(self.ends[x], self.ends[x + 1])
+            out[i, self.lists[part][self.there[part]]] = True
+        return out
+
+
 def _first(found: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)

@@ -231,3 +231,42 @@ def test_bags():
         for text, bag in zip(lists.to_pylist()[at:], got, strict=True):
             want = Counter(stem.stem(w) for w in text or [] if w not in (None, "the"))
             assert bag["doc_len"] == want.total() and {p["token"]: p["tf"] for p in bag["bag"]} == want and len(bag["bag"]) == len(want)
+
+
+def asked_of(spark, points):
+    ids = list(range(0, 6000, 150))
+    return ids, spark.createDataFrame([(i, (points[i] * 0.9 + 0.05).tolist()) for i in ids], "query_id long, query array<double>")
+
+
+def test_a_query_is_sent_once_to_a_block(spark, index, points, monkeypatch):
+    """Not once for each list that it probes: neither queries nor hits grow with the number of lists."""
+    met, first, kept = vectors._met, vectors._first, {}
+    monkeypatch.setattr(vectors, "_met", lambda queries, *a: met(kept.setdefault("queries", queries), *a))
+    monkeypatch.setattr(vectors, "_first", lambda found, k: first(kept.setdefault("found", found), k))
+    ids, queries = asked_of(spark, points)
+    assert index.search_all(queries, 20, probes=10**6).count() == 20 * len(ids)
+    assert kept["queries"].count() == len(ids) and kept["found"].count() == 20 * len(ids)
+
+
+@pytest.mark.parametrize("probes", [1, 3, 30, 10**6])
+def test_blocks_hold_the_probed_lists_alone(spark, chunks, points, tmp_path, monkeypatch, probes):
+    """Many blocks, lists in parts, several crowds: the rows of the probed lists, as a plain reading has them."""
+    for name, value in (("BLOCK_ROWS", 80), ("LEAST_BLOCK", 40), ("BLOCK_QUERIES", 9)):
+        monkeypatch.setattr(vectors, name, value)
+    index = vectors.VectorIndex(spark, str(tmp_path / "ix"))
+    told = index.build(chunks)
+    home = vectors.dealt_lists({int(x): n for x, n in told["sizes"].items()}, told["block"])
+    assert len({b for *_, b in home}) > 10 and len(home) > len(told["sizes"])
+    rows = index.lists(told).select("id", "list", "vector").collect()
+    ids, queries = asked_of(spark, points)
+    got = {}
+    for r in index.search_all(queries, 20, probes=probes).collect():
+        got.setdefault(r["query_id"], []).append((r["position"], r["id"], r["distance"]))
+    lists, v = np.array([r["list"] for r in rows]), np.array([r["vector"] for r in rows])
+    for i in ids:
+        q = points[i] * 0.9 + 0.05
+        own = np.flatnonzero(np.isin(lists, vectors.nearest_order(q[None, :], np.array(told["centres"]))[0][:probes]))
+        want = sorted((round(float(((v[x] - q) ** 2).sum()), 8), rows[x]["id"]) for x in own)[:20]
+        mine = sorted(got.get(i, []))
+        assert [(x, p) for p, x, _ in mine] == [(x, p) for p, (_, x) in enumerate(want, 1)]
+        assert np.allclose([d for *_, d in mine], [d for d, _ in want], atol=1e-7)
